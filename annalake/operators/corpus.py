@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -35,14 +35,16 @@ def chunk_documents(
     overlap: int = CHUNK_OVERLAP,
     separator: str = PARAGRAPH_SEPARATOR,
     with_metadata: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, chunk_index, content[, headers, section]) of every document.
+    """(id, chunk_index, content[, headers, section][, carried...]) of every document.
 
     Packing is a fold along one text with a growing string, which the built-in
     ``aggregate`` would copy at each step; it runs as an Arrow map over the
     scan instead, with no shuffle. The metadata needs the full text beside the
-    chunk and is therefore taken in the same pass. Chunks leave in bounded
-    batches, so a long document never has to fit a batch as a whole.
+    chunk and is therefore taken in the same pass; ``carry`` names document
+    columns to repeat on the chunks, which saves joining them back. Chunks
+    leave in bounded batches, however many one document has.
     """
     out = [
         T.StructField(id_col, docs.schema[id_col].dataType),
@@ -54,40 +56,43 @@ def chunk_documents(
             T.StructField("headers", T.ArrayType(T.StringType())),
             T.StructField("section", T.StringType()),
         ]
+    out += [docs.schema[name] for name in carry]
     names = [f.name for f in out]
     rows_per_batch = 4096
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            whole = text.as_py()
-            if whole is None:
-                continue
-            sections = Sections(whole) if with_metadata else None
-            for index, chunk in enumerate(pack_paragraphs(whole, size, overlap, separator)):
-                if sections is None:
-                    yield doc_id, index, chunk
-                else:
-                    yield doc_id, index, chunk, headers_in(chunk), sections.before(chunk)
-
-    def as_batch(buffer: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*buffer, strict=True))
-        types = [id_type, pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]
-        ids = pa.array([i.as_py() for i in columns[0]], type=id_type)
-        rest = [pa.array(c, type=t) for c, t in zip(columns[1:], types[1:])]
-        return pa.RecordBatch.from_arrays([ids, *rest], names=names)
-
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buffer: list[tuple] = []
-            for row in rows(batch):
-                buffer.append(row)
-                if len(buffer) == rows_per_batch:
-                    yield as_batch(buffer, batch.schema.field(0).type)
-                    buffer = []
-            if buffer:
-                yield as_batch(buffer, batch.schema.field(0).type)
+    def chunks_of(text: str) -> Iterator[tuple]:
+        sections = Sections(text) if with_metadata else None
+        for index, chunk in enumerate(pack_paragraphs(text, size, overlap, separator)):
+            if sections is None:
+                yield index, chunk
+            else:
+                yield index, chunk, headers_in(chunk), sections.before(chunk)
+
+    types = [pa.int32(), pa.string(), *([pa.list_(pa.string()), pa.string()] if with_metadata else [])]
+
+    def as_batch(source: pa.RecordBatch, owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        owner = pa.array(owners, pa.int64())
+        made = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), types, strict=True)]
+        repeated = [source.column(2 + i).take(owner) for i in range(len(carry))]
+        return pa.RecordBatch.from_arrays([source.column(0).take(owner), *made, *repeated], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(chunk, T.StructType(out))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners: list[int] = []
+            rows: list[tuple] = []
+            for position, text in enumerate(batch.column(1)):
+                if not text.is_valid:
+                    continue
+                for row in chunks_of(text.as_py()):
+                    owners.append(position)
+                    rows.append(row)
+                    if len(rows) == rows_per_batch:
+                        yield as_batch(batch, owners, rows)
+                        owners, rows = [], []
+            if rows:
+                yield as_batch(batch, owners, rows)
+
+    return docs.select(id_col, text_col, *carry).mapInArrow(split, T.StructType(out))
 
 
 def content_hash(text: Column) -> Column:
@@ -96,13 +101,9 @@ def content_hash(text: Column) -> Column:
 
 def index_documents(docs: DataFrame, id_col: str, text_col: str, **chunking_options) -> DataFrame:
     """Chunk rows as the index stores them: the document's hash on chunk 0 only."""
-    chunks = chunk_documents(docs, id_col, text_col, **chunking_options)
-    hashes = docs.select(id_col, content_hash(F.col(text_col)).alias("_hash"))
-    return (
-        chunks.join(hashes, id_col)
-        .withColumn("content_hash", F.when(F.col("chunk_index") == 0, F.col("_hash")))
-        .drop("_hash")
-    )
+    hashed = docs.select(id_col, text_col, content_hash(F.col(text_col)).alias("content_hash"))
+    chunks = chunk_documents(hashed, id_col, text_col, carry=["content_hash"], **chunking_options)
+    return chunks.withColumn("content_hash", F.when(F.col("chunk_index") == 0, F.col("content_hash")))
 
 
 def reindex_plan(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -34,8 +34,12 @@ def time_slice(ts: Column, unit: str = "hour") -> Column:
 
 
 def next_later(df: DataFrame, key: str, ts: str, unit: str = "hour") -> DataFrame:
-    """One row per distinct (key, ts) with ``next_ts``, the key's next later time."""
-    points = df.select(key, ts).distinct().withColumn("_slice", time_slice(F.col(ts), unit))
+    """One row per distinct (key, ts) with ``next_ts``, the key's next later time.
+
+    Rows without key or time belong to no timeline and are left out; joined
+    back, they stay open.
+    """
+    points = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts).distinct().withColumn("_slice", time_slice(F.col(ts), unit))
     within = Window.partitionBy(key, "_slice").orderBy(ts)
     across = Window.partitionBy(key).orderBy("_slice")
     chained = points.withColumn("_inside", F.lead(ts).over(within))
@@ -48,8 +52,7 @@ def next_later(df: DataFrame, key: str, ts: str, unit: str = "hour") -> DataFram
             F.lead("_head").over(across).alias("_outside"),
         )
     )
-    # Null-safe on the key: a NULL key has a timeline like any other.
-    same = F.col(key).eqNullSafe(F.col("_head_key")) & (F.col("_slice") == F.col("_head_slice"))
+    same = (F.col(key) == F.col("_head_key")) & (F.col("_slice") == F.col("_head_slice"))
     return chained.join(heads, same).select(key, ts, F.coalesce("_inside", "_outside").alias("next_ts"))
 
 
@@ -57,7 +60,7 @@ def _close(df: DataFrame, key: str, ts: str, flag: str, end: str, unit: str) ->
     order = [c for c in df.columns if c not in (flag, end)]
     rows = df.select(*[f"`{c}`" for c in order])
     later = next_later(rows, key, ts, unit).withColumnsRenamed({key: "_key", ts: "_ts"})
-    joined = rows.join(later, rows[key].eqNullSafe(F.col("_key")) & (rows[ts] == F.col("_ts")), "left")
+    joined = rows.join(later, (rows[key] == F.col("_key")) & (rows[ts] == F.col("_ts")), "left")
     return joined.select(
         *[rows[f"`{c}`"] for c in order],
         F.when(F.col("next_ts").isNull(), F.lit("Y")).otherwise(F.lit("N")).alias(flag),
@@ -94,7 +97,7 @@ def close_open_only(
     """
     order = table.columns
     later = next_later(table, key, ts, unit).withColumnsRenamed({key: "_key", ts: "_ts"})
-    joined = table.join(later, table[key].eqNullSafe(F.col("_key")) & (table[ts] == F.col("_ts")), "left")
+    joined = table.join(later, (table[key] == F.col("_key")) & (table[ts] == F.col("_ts")), "left")
     closing = (F.col(flag) == "Y") & F.col("next_ts").isNotNull()
     return joined.select(
         *[table[f"`{c}`"] for c in order if c not in (flag, end)],
@@ -126,6 +129,6 @@ def relationship_as_of(eff: DataFrame, moment: str) -> DataFrame:
 def interval_overlaps(sat: DataFrame, hk: str, ts: str = LOAD_DATE, end: str = END_DATE, unit: str = "hour") -> DataFrame:
     """Versions whose interval reaches past the start of the key's next version."""
     later = next_later(sat, hk, ts, unit).withColumnsRenamed({hk: "_key", ts: "_ts"})
-    joined = sat.join(later, sat[hk].eqNullSafe(F.col("_key")) & (sat[ts] == F.col("_ts")), "left")
+    joined = sat.join(later, (sat[hk] == F.col("_key")) & (sat[ts] == F.col("_ts")), "left")
     reaches = F.col("next_ts").isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col("next_ts")))
     return joined.where(reaches).select(*[sat[f"`{c}`"] for c in sat.columns], F.col("next_ts").alias("next_load_date"))

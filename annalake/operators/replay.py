@@ -20,9 +20,9 @@ from annalake.specs import END_DATE, IS_ACTIVE, LOAD_DATE, RECORD_SOURCE, START_
 
 def _first_seen(feed: DataFrame, columns: list[str], key: str, batch: str) -> DataFrame:
     """Distinct rows whose batch is the first one carrying their key."""
-    rows = feed.groupBy(*columns).agg(F.min(batch).alias("_batch"))
+    rows = feed.where(F.col(key).isNotNull()).groupBy(*columns).agg(F.min(batch).alias("_batch"))
     first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_batch").alias("_first"))
-    match = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_batch") == F.col("_first"))
+    match = (F.col(key) == F.col("_key")) & (F.col("_batch") == F.col("_first"))
     return rows.join(first, match, "left_semi").select(*columns)
 
 

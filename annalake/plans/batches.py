@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,10 @@ from annalake.sources import sinks
 from annalake.specs import EffSatelliteSpec, HubSpec, LinkSpec, SatelliteSpec
 
 
+# Table loads of one batch submitted at the same time.
+PARALLEL_TABLES = 8
+
+
 @dataclass(frozen=True)
 class VaultSpec:
     hubs: Sequence[HubSpec] = ()
@@ -47,32 +53,45 @@ class Vault:
         return sinks.read_appended(self.spark, self._path(name), before)
 
     def load(self, staged: DataFrame, load_id: int) -> None:
-        """Apply one staged batch: hubs, links, satellites, effectivity satellites."""
+        """Apply one staged batch. The tables do not depend on one another, so
+        their jobs are submitted together and share the cluster."""
         staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
+        steps = [
+            *[partial(self._load_hub, staged, hub, load_id) for hub in self.spec.hubs],
+            *[partial(self._load_link, staged, link, load_id) for link in self.spec.links],
+            *[partial(self._load_satellite, staged, sat, load_id) for sat in self.spec.satellites],
+            *[partial(self._load_eff_satellite, staged, eff, load_id) for eff in self.spec.eff_satellites],
+        ]
         try:
-            for hub in self.spec.hubs:
-                new = loads.load_hub(staged, hub.hk, hub.business_keys, self.rows(hub.name, load_id))
-                sinks.write_append(new, self._path(hub.name), load_id)
-            for link in self.spec.links:
-                new = loads.load_link(
-                    staged, link.link_hk, link.hub_hks, self.rows(link.name, load_id), link.extra, link.not_null
-                )
-                sinks.write_append(new, self._path(link.name), load_id)
-            for sat in self.spec.satellites:
-                existing = self.rows(sat.name, load_id)
-                new = loads.load_satellite(staged, sat.hk, sat.hd, sat.payload, existing, sat.compare)
-                sinks.write_append(new, self._path(sat.name), load_id)
-                if self.strict:
-                    self._update_state(sat, load_id)
-            for eff in self.spec.eff_satellites:
-                existing = self.rows(eff.name, load_id)
-                if existing is not None:
-                    existing = history.close_relationships(existing, eff.driving_hk)
-                new = loads.load_eff_satellite(staged, eff.link_hk, eff.driving_hk, eff.hub_hks, existing, eff.mode)
-                sinks.write_append(new, self._path(eff.name), load_id)
+            with ThreadPoolExecutor(max_workers=PARALLEL_TABLES) as pool:
+                for running in [pool.submit(step) for step in steps]:
+                    running.result()
         finally:
             staged.unpersist()
 
+    def _load_hub(self, staged: DataFrame, hub: HubSpec, load_id: int) -> None:
+        new = loads.load_hub(staged, hub.hk, hub.business_keys, self.rows(hub.name, load_id))
+        sinks.write_append(new, self._path(hub.name), load_id)
+
+    def _load_link(self, staged: DataFrame, link: LinkSpec, load_id: int) -> None:
+        existing = self.rows(link.name, load_id)
+        new = loads.load_link(staged, link.link_hk, link.hub_hks, existing, link.extra, link.not_null)
+        sinks.write_append(new, self._path(link.name), load_id)
+
+    def _load_satellite(self, staged: DataFrame, sat: SatelliteSpec, load_id: int) -> None:
+        existing = self.rows(sat.name, load_id)
+        new = loads.load_satellite(staged, sat.hk, sat.hd, sat.payload, existing, sat.compare)
+        sinks.write_append(new, self._path(sat.name), load_id)
+        if self.strict:
+            self._update_state(sat, load_id)
+
+    def _load_eff_satellite(self, staged: DataFrame, eff: EffSatelliteSpec, load_id: int) -> None:
+        existing = self.rows(eff.name, load_id)
+        if existing is not None and eff.mode == "active":
+            existing = history.close_relationships(existing, eff.driving_hk)
+        new = loads.load_eff_satellite(staged, eff.link_hk, eff.driving_hk, eff.hub_hks, existing, eff.mode)
+        sinks.write_append(new, self._path(eff.name), load_id)
+
     def _update_state(self, sat: SatelliteSpec, load_id: int) -> None:
         state = f"{self._path(sat.name)}_state"
         new = self.spark.read.parquet(f"{self._path(sat.name)}/load_id={load_id}")

@@ -9,6 +9,7 @@ some clients move to another country. events is a daily change feed.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -20,7 +21,8 @@ from annalake.functions.hashing import hash_diff, hash_key, link_hash_key
 from annalake.operators import history, loads, replay
 from annalake.operators.staging import stage
 from annalake.plans import company as c
-from annalake.session import tune
+from annalake.session import shared_dir, tune
+from annalake.sources import sinks
 from annalake.sources.readers import read_source
 from annalake.specs import LOAD_DATE, RECORD_SOURCE
 
@@ -135,18 +137,47 @@ def project_feed(orders: DataFrame) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/annalake/{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Warehouse:
-    """Vault tables of the fixture after both loads, as lazy DataFrames."""
+    """Vault tables of the fixture after both loads.
+
+    The staged company rows are written once and read by every table built
+    from them: their hashes are computed once, and each reader takes only the
+    columns it needs. ``stored`` keeps the vault tables in the same way, for
+    jobs that read them many times.
+    """
 
     spark: SparkSession
     sf_dir: str
+    stored: bool = False
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def folder(self) -> str:
+        return scratch(self.spark)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table to the shared folder and read it back."""
+        path = f"{self.folder}/{name}"
+        sinks.write_overwrite(df, path)
+        return sinks.read_current(self.spark, path)
+
+    def _vault(self, name: str, df: DataFrame) -> DataFrame:
+        return self.keep(name, df) if self.stored else df
+
     @cached_property
     def staged(self) -> DataFrame:
+        return self.keep("stg_company", self.staged_view)
+
+    @cached_property
+    def staged_view(self) -> DataFrame:
         customer, supplier = self.table("customer"), self.table("supplier")
         summary = order_summary(self.table("orders"))
         feeds = [
@@ -171,12 +202,12 @@ class Warehouse:
     @cached_property
     def hub_company(self) -> DataFrame:
         s = c.HUB_COMPANY
-        return replay.replay_hub(self.staged, "batch", s.hk, s.business_keys)
+        return self._vault("hub_company", replay.replay_hub(self.staged, "batch", s.hk, s.business_keys))
 
     @cached_property
     def hub_country(self) -> DataFrame:
         s = c.HUB_COUNTRY
-        return loads.load_hub(self.staged_country, s.hk, s.business_keys)
+        return self._vault("hub_country", loads.load_hub(self.staged_country, s.hk, s.business_keys))
 
     @cached_property
     def hub_project(self) -> DataFrame:
@@ -186,12 +217,12 @@ class Warehouse:
     @cached_property
     def sat_company(self) -> DataFrame:
         s = c.SAT_COMPANY
-        return history.close_versions(replay.replay_satellite(self.staged, "batch", s.hk, s.hd, s.payload), s.hk)
+        return self._vault("sat_company", history.close_versions(replay.replay_satellite(self.staged, "batch", s.hk, s.hd, s.payload), s.hk))
 
     @cached_property
     def sat_country(self) -> DataFrame:
         s = c.SAT_COUNTRY
-        return history.close_versions(loads.load_satellite(self.staged_country, s.hk, s.hd, s.payload), s.hk)
+        return self._vault("sat_country", history.close_versions(loads.load_satellite(self.staged_country, s.hk, s.hd, s.payload), s.hk))
 
     @cached_property
     def sat_project(self) -> DataFrame:
@@ -207,23 +238,23 @@ class Warehouse:
     def sat_client_ext(self) -> DataFrame:
         first = self.client_ext(self.staged_batch(1))
         second = self.client_ext(self.staged_batch(2), first)
-        return history.close_versions(first.unionByName(second), c.SAT_CLIENT_EXT.hk)
+        return self._vault("sat_company_client_ext", history.close_versions(first.unionByName(second), c.SAT_CLIENT_EXT.hk))
 
     @cached_property
     def link_role(self) -> DataFrame:
         s = c.LINK_ROLE
-        return replay.replay_link(self.staged, "batch", s.link_hk, s.hub_hks, s.extra)
+        return self._vault("link_company_role", replay.replay_link(self.staged, "batch", s.link_hk, s.hub_hks, s.extra))
 
     @cached_property
     def link_country(self) -> DataFrame:
         s = c.LINK_COUNTRY
-        return replay.replay_link(self.staged, "batch", s.link_hk, s.hub_hks, not_null=s.not_null)
+        return self._vault("link_company_country", replay.replay_link(self.staged, "batch", s.link_hk, s.hub_hks, not_null=s.not_null))
 
     @cached_property
     def eff_country(self) -> DataFrame:
         s = c.EFF_COUNTRY
         rows = replay.replay_eff_satellite(self.staged, "batch", s.link_hk, s.driving_hk, s.hub_hks)
-        return history.close_relationships(rows, s.driving_hk)
+        return self._vault("eff_sat_company_country", history.close_relationships(rows, s.driving_hk))
 
     @cached_property
     def roles(self) -> DataFrame:

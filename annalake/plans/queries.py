@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from annalake.operators import (
 from annalake.plans import company as c
 from annalake.plans import fixtures as fx
 from annalake.plans.batches import Vault, VaultSpec
-from annalake.session import shared_dir, tune
+from annalake.session import tune
 from annalake.sources import sinks
 from annalake.specs import IS_CURRENT, LOAD_DATE, RECORD_SOURCE, START_DATE
 from annalake.specs import EffSatelliteSpec, HubSpec, SatelliteSpec
@@ -65,16 +65,12 @@ def query(function: Callable[[fx.Warehouse], DataFrame]) -> Callable[[fx.Warehou
     return function
 
 
-def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/annalake/{uuid.uuid4().hex}"
-
-
 # -- staging -------------------------------------------------------------------
 
 
 @query
 def stage_company(w: fx.Warehouse) -> DataFrame:
-    return w.staged
+    return w.staged_view
 
 
 @query
@@ -556,6 +552,7 @@ def count_by_country(w: fx.Warehouse) -> DataFrame:
 
 @query
 def reconciliation(w: fx.Warehouse) -> DataFrame:
+    w = replace(w, stored=True)
     return quality.load_reconciliation(
         [
             ("hub_company", w.staged, w.hub_company),
@@ -604,6 +601,7 @@ def check_relationships(w: fx.Warehouse) -> DataFrame:
 
 @query
 def check_suite(w: fx.Warehouse) -> DataFrame:
+    w = replace(w, stored=True)
     tables = {
         "stg_company": w.staged,
         "stg_country": w.staged_country,
@@ -797,12 +795,15 @@ def _weekly(w: fx.Warehouse) -> list[DataFrame]:
     """The last event of each user and week, one staged batch per week."""
     feed = _events(w).withColumn("batch", F.to_date(F.date_trunc("week", LOAD_DATE)))
     reduced = replay.last_of_batch(feed, "batch", "hk_user", [LOAD_DATE])
-    weeks = [r[0] for r in reduced.select("batch").distinct().orderBy("batch").collect()]
-    return [reduced.where(F.col("batch") == week) for week in weeks]
+    path = f"{w.folder}/weeks"
+    sinks.write_overwrite(reduced, path, partition_by=["batch"])
+    stored = sinks.read_current(w.spark, path)
+    weeks = [r[0] for r in stored.select("batch").distinct().orderBy("batch").collect()]
+    return [stored.where(F.col("batch") == week) for week in weeks]
 
 
 def _loaded(w: fx.Warehouse) -> Vault:
-    vault = Vault(w.spark, scratch(w.spark), USER_VAULT)
+    vault = Vault(w.spark, f"{w.folder}/vault", USER_VAULT)
     vault.run(_weekly(w))
     return vault
 
@@ -820,11 +821,10 @@ def batches_eff_satellite(w: fx.Warehouse) -> DataFrame:
 @query
 def stream_satellite(w: fx.Warehouse) -> DataFrame:
     """Event files loaded as they are found, one load per micro-batch."""
-    root = scratch(w.spark)
-    vault = Vault(w.spark, f"{root}/vault", USER_VAULT)
+    vault = Vault(w.spark, f"{w.folder}/vault", USER_VAULT)
     # A pattern serves a single file as well as a folder of files.
     feed = feed_stream(w.spark, f"{w.sf_dir}/events.parque[t]", w.table("events").schema)
-    running = stream_loads(feed, fx.event_feed, vault, f"{root}/progress")
+    running = stream_loads(feed, fx.event_feed, vault, f"{w.folder}/progress")
     running.awaitTermination()
     return vault.satellite(USER_VAULT.satellites[0])
 
