@@ -19,6 +19,7 @@ from annalake.functions.chunking import (
     headers_in,
     pack_paragraphs,
 )
+from annalake.operators.matching import absent_from
 
 # The helpers travel with the task, so workers need no installed package.
 cloudpickle.register_pickle_by_value(chunking)
@@ -128,7 +129,8 @@ def incremental_reindex(docs: DataFrame, index: DataFrame, id_col: str, text_col
     plan = reindex_plan(docs, index, id_col, text_col)
     stale = plan.where("action = 'changed'").select(id_col)
     todo = docs.join(plan.where("action <> 'unchanged'").select(id_col), id_col, "left_semi")
-    kept = index.join(stale, id_col, "left_anti")
+    # One document may own a large part of the chunks.
+    kept = absent_from(index, stale, [id_col])
     return kept.unionByName(index_documents(todo, id_col, text_col, **chunking_options).select(*index.columns))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalake.operators.matching import present_in
 from annalake.session import shared_dir
 
 
@@ -42,7 +43,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_r
     distance = 0
     while max_rounds is None or distance < max_rounds:
         distance += 1
-        step = hops.join(frontier.select(F.col("node").alias("_from")), "_from", "left_semi").select("node").distinct()
+        step = present_in(hops, frontier.select(F.col("node").alias("_from")), ["_from"]).select("node").distinct()
         seen = reduce(DataFrame.union, [v.select("node") for v in visited])
         frontier = step.join(seen, "node", "left_anti").withColumn("distance", F.lit(distance)).checkpoint()
         if frontier.isEmpty():

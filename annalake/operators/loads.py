@@ -3,7 +3,7 @@
 Every loader returns the rows to append; ``existing=None`` is the first load
 (or a full refresh) and skips the anti join. Duplicates are folded before the
 join wherever the result allows it, so a key that fills a third of the batch
-reaches the shuffle as a handful of rows; the probe side of the anti joins is
+reaches the shuffle as a handful of rows, and stored satellites are probed with
 one row per key. What remains hot on the staged side is split by AQE.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalake.functions.hashing import digest, text_of
+from annalake.operators.matching import absent_from
 from annalake.specs import (
     END_DATE,
     IS_ACTIVE,
@@ -32,12 +33,6 @@ def _present(cols: Sequence[str]) -> Column:
     return condition
 
 
-def _absent_from(rows: DataFrame, existing: DataFrame | None, keys: list[str]) -> DataFrame:
-    if existing is None:
-        return rows
-    return rows.join(existing.select(*keys).distinct(), keys, "left_anti")
-
-
 def open_version(df: DataFrame) -> DataFrame:
     return df.withColumns({IS_CURRENT: F.lit("Y"), END_DATE: F.lit(None).cast("timestamp_ntz")})
 
@@ -48,7 +43,8 @@ def load_hub(
     """New hub rows. Load date and source belong to the distinct row, so one
     batch holding a key under two load dates yields two rows."""
     rows = staged.where(_present([hk])).select(hk, *business_keys, LOAD_DATE, RECORD_SOURCE).distinct()
-    return _absent_from(rows, existing, [hk])
+    # A stored hub has a row per key (and first load date): nothing to fold.
+    return rows if existing is None else rows.join(existing.select(hk), hk, "left_anti")
 
 
 def load_link(
@@ -65,7 +61,7 @@ def load_link(
         .select(link_hk, *hub_hks, *extra, LOAD_DATE, RECORD_SOURCE)
         .distinct()
     )
-    return _absent_from(rows, existing, [link_hk])
+    return rows if existing is None else rows.join(existing.select(link_hk), link_hk, "left_anti")
 
 
 def latest_diff(sat: DataFrame, hk: str, hd: str) -> DataFrame:
@@ -93,7 +89,7 @@ def load_satellite(
         existing = latest_diff(existing, hk, hd)
     elif compare not in ("any", "latest"):
         raise ValueError("compare must be 'any' or 'latest'")
-    return open_version(_absent_from(rows, existing, [hk, hd]))
+    return open_version(rows if existing is None else absent_from(rows, existing, [hk, hd]))
 
 
 def load_subset_satellite(
@@ -135,8 +131,10 @@ def load_eff_satellite(
         RECORD_SOURCE,
     )
     if mode == "active":
-        active = None if existing is None else existing.where(F.col(IS_ACTIVE) == "Y")
-        return _absent_from(rows.distinct(), active, [link_hk])
+        rows = rows.distinct()
+        if existing is None:
+            return rows
+        return absent_from(rows, existing.where(F.col(IS_ACTIVE) == "Y"), [link_hk])
     if mode == "driving_start":
-        return _absent_from(rows, existing, [driving_hk, START_DATE])
+        return rows if existing is None else absent_from(rows, existing, [driving_hk, START_DATE])
     raise ValueError("mode must be 'active' or 'driving_start'")

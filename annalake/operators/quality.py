@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalake.operators.matching import absent_from
+
 
 @dataclass(frozen=True)
 class Check:
@@ -41,13 +43,13 @@ def accepted_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFr
 
 def relationships(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
     """Child rows whose non-NULL key has no parent."""
-    keys = parent.select(F.col(field).alias(column)).distinct()
-    return child.where(F.col(column).isNotNull()).join(keys, column, "left_anti")
+    keys = parent.select(F.col(field).alias(column))
+    return absent_from(child.where(F.col(column).isNotNull()), keys, [column])
 
 
 def orphans(sat: DataFrame, hub: DataFrame, hk: str) -> DataFrame:
     """Satellite rows whose key is missing in the hub."""
-    return sat.join(hub.select(hk).distinct(), hk, "left_anti")
+    return absent_from(sat, hub, [hk])
 
 
 def _result(df: DataFrame, check: Check) -> DataFrame:
