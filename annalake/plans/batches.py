@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from annalake.operators import history, loads
 from annalake.sources import sinks
@@ -49,8 +50,8 @@ class Vault:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def rows(self, name: str, before: int | None = None) -> DataFrame | None:
-        return sinks.read_appended(self.spark, self._path(name), before)
+    def rows(self, name: str, before: int | None = None, schema: T.StructType | None = None) -> DataFrame | None:
+        return sinks.read_appended(self.spark, self._path(name), before, schema)
 
     def load(self, staged: DataFrame, load_id: int) -> None:
         """Apply one staged batch. The tables do not depend on one another, so
@@ -69,33 +70,38 @@ class Vault:
         finally:
             staged.unpersist()
 
+    def _append(self, name: str, load_id: int, new_rows: Callable[[DataFrame | None], DataFrame]) -> None:
+        """Append what ``new_rows`` finds missing in the loads before this one."""
+        everything = new_rows(None)
+        existing = self.rows(name, load_id, everything.schema)
+        new = everything if existing is None else new_rows(existing)
+        sinks.write_append(new, self._path(name), load_id)
+
     def _load_hub(self, staged: DataFrame, hub: HubSpec, load_id: int) -> None:
-        new = loads.load_hub(staged, hub.hk, hub.business_keys, self.rows(hub.name, load_id))
-        sinks.write_append(new, self._path(hub.name), load_id)
+        self._append(hub.name, load_id, partial(loads.load_hub, staged, hub.hk, hub.business_keys))
 
     def _load_link(self, staged: DataFrame, link: LinkSpec, load_id: int) -> None:
-        existing = self.rows(link.name, load_id)
-        new = loads.load_link(staged, link.link_hk, link.hub_hks, existing, link.extra, link.not_null)
-        sinks.write_append(new, self._path(link.name), load_id)
+        args = (staged, link.link_hk, link.hub_hks)
+        self._append(link.name, load_id, partial(loads.load_link, *args, extra=link.extra, not_null=link.not_null))
 
     def _load_satellite(self, staged: DataFrame, sat: SatelliteSpec, load_id: int) -> None:
-        existing = self.rows(sat.name, load_id)
-        new = loads.load_satellite(staged, sat.hk, sat.hd, sat.payload, existing, sat.compare)
-        sinks.write_append(new, self._path(sat.name), load_id)
+        args = (staged, sat.hk, sat.hd, sat.payload)
+        self._append(sat.name, load_id, partial(loads.load_satellite, *args, compare=sat.compare))
         if self.strict:
             self._update_state(sat, load_id)
 
     def _load_eff_satellite(self, staged: DataFrame, eff: EffSatelliteSpec, load_id: int) -> None:
-        existing = self.rows(eff.name, load_id)
-        if existing is not None and eff.mode == "active":
-            existing = history.close_relationships(existing, eff.driving_hk)
-        new = loads.load_eff_satellite(staged, eff.link_hk, eff.driving_hk, eff.hub_hks, existing, eff.mode)
-        sinks.write_append(new, self._path(eff.name), load_id)
+        def new_rows(existing: DataFrame | None) -> DataFrame:
+            if existing is not None and eff.mode == "active":
+                existing = history.close_relationships(existing, eff.driving_hk)
+            return loads.load_eff_satellite(staged, eff.link_hk, eff.driving_hk, eff.hub_hks, existing, eff.mode)
+
+        self._append(eff.name, load_id, new_rows)
 
     def _update_state(self, sat: SatelliteSpec, load_id: int) -> None:
         state = f"{self._path(sat.name)}_state"
         new = self.spark.read.parquet(f"{self._path(sat.name)}/load_id={load_id}")
-        before = sinks.read_current(self.spark, state, load_id)
+        before = sinks.read_current(self.spark, state, load_id, new.schema)
         rows = new if before is None else before.unionByName(new)
         sinks.write_overwrite(history.close_open_only(rows, sat.hk), state, version=load_id)
 

@@ -167,7 +167,7 @@ class Warehouse:
         """Write a table to the shared folder and read it back."""
         path = f"{self.folder}/{name}"
         sinks.write_overwrite(df, path)
-        return sinks.read_current(self.spark, path)
+        return sinks.read_current(self.spark, path, schema=df.schema)
 
     def _vault(self, name: str, df: DataFrame) -> DataFrame:
         return self.keep(name, df) if self.stored else df

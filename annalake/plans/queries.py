@@ -797,7 +797,7 @@ def _weekly(w: fx.Warehouse) -> list[DataFrame]:
     reduced = replay.last_of_batch(feed, "batch", "hk_user", [LOAD_DATE])
     path = f"{w.folder}/weeks"
     sinks.write_overwrite(reduced, path, partition_by=["batch"])
-    stored = sinks.read_current(w.spark, path)
+    stored = sinks.read_current(w.spark, path, schema=reduced.schema)
     weeks = [r[0] for r in stored.select("batch").distinct().orderBy("batch").collect()]
     return [stored.where(F.col("batch") == week) for week in weeks]
 

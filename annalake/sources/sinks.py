@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,11 @@ def _numbers(names: list[str], label: str) -> list[int]:
     return sorted(int(m.group(1)) for m in (re.fullmatch(rf"{label}=(\d+)", n) for n in names) if m)
 
 
+def _reader(spark: SparkSession, schema: T.StructType | None) -> DataFrameReader:
+    """With a known schema no job has to look for one."""
+    return spark.read if schema is None else spark.read.schema(schema)
+
+
 def write_append(df: DataFrame, table: str, load_id: int) -> None:
     """Append one load; repeating the same ``load_id`` is idempotent."""
     df.write.mode("overwrite").parquet(f"{table}/load_id={load_id}")
@@ -42,8 +47,7 @@ def read_appended(
     loads = [n for n in _numbers(_children(spark, table), "load_id") if before is None or n < before]
     if not loads:
         return None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(*[f"{table}/load_id={n}" for n in loads])
+    return _reader(spark, schema).parquet(*[f"{table}/load_id={n}" for n in loads])
 
 
 def _complete_versions(spark: SparkSession, table: str) -> list[int]:
@@ -65,10 +69,14 @@ def write_overwrite(
     return version
 
 
-def read_current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+def read_current(
+    spark: SparkSession, table: str, before: int | None = None, schema: T.StructType | None = None
+) -> DataFrame | None:
     """The latest complete version (older than ``before``), or None."""
     versions = [v for v in _complete_versions(spark, table) if before is None or v < before]
-    return spark.read.parquet(f"{table}/version={versions[-1]}") if versions else None
+    if not versions:
+        return None
+    return _reader(spark, schema).parquet(f"{table}/version={versions[-1]}")
 
 
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
