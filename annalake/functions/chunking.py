@@ -20,7 +20,7 @@ WHITESPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 LINE_ENDS = "\n\r\u2028\u2029"
 
 _SPACES = re.compile(f"[{WHITESPACE}]+")
-_EDGES = re.compile(f"^[{WHITESPACE}]+|[{WHITESPACE}]+\\Z")
+_EDGES = "".join(chr(c) for c in range(0x10000) if _SPACES.fullmatch(chr(c)))
 _HEADER_BODY = re.compile(f"#{{1,6}}[{WHITESPACE}]+[^{LINE_ENDS}]+")
 _HEADER = re.compile(f"(?:\\A|(?<=[{LINE_ENDS}]))" + _HEADER_BODY.pattern)
 _HEADER_MARK = re.compile(f"^#+[{WHITESPACE}]+")
@@ -31,7 +31,18 @@ def utf16_length(text: str) -> int:
 
 
 def trim(text: str) -> str:
-    return _EDGES.sub("", text)
+    return text.strip(_EDGES)
+
+
+def last_words(text: str, count: int) -> list[str]:
+    """The last ``count`` whitespace-separated words, read from the end."""
+    reach = 16 * count
+    while count:
+        words = _SPACES.split(text[-reach:])
+        if len(words) > count or reach >= len(text):
+            return words[-count:]
+        reach *= 2
+    return []
 
 
 def pack_paragraphs(
@@ -52,7 +63,7 @@ def pack_paragraphs(
         added = utf16_length(paragraph)
         if open_chunk and length + added > size:
             yield trim(open_chunk)
-            tail = " ".join(_SPACES.split(open_chunk)[-keep:]) if keep else ""
+            tail = " ".join(last_words(open_chunk, keep))
             open_chunk = f"{tail}\n\n{paragraph}"
             length = utf16_length(tail) + 2 + added
         elif open_chunk:
@@ -64,9 +75,13 @@ def pack_paragraphs(
         yield last
 
 
+def _headers(text: str) -> list[re.Match]:
+    return list(_HEADER.finditer(text)) if "#" in text else []
+
+
 def headers_in(text: str) -> list[str]:
     """Markdown header titles in order."""
-    return [_HEADER_MARK.sub("", m.group()) for m in _HEADER.finditer(text)]
+    return [_HEADER_MARK.sub("", m.group()) for m in _headers(text)]
 
 
 class Sections:
@@ -74,7 +89,7 @@ class Sections:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        found = list(_HEADER.finditer(text))
+        found = _headers(text)
         self.starts = [m.start() for m in found]
         self.ends = [m.end() for m in found]
         self.titles = [m.group() for m in found]
@@ -83,8 +98,8 @@ class Sections:
         """Last header ahead of the chunk's first occurrence, None when the
         chunk opens the document, was re-spaced by the overlap, or no header
         precedes it."""
-        position = self.text.find(chunk)
-        if position <= 0 or not self.titles:
+        position = self.text.find(chunk) if self.titles else 0
+        if position <= 0:
             return None
         whole = bisect_right(self.ends, position)
         if whole < len(self.starts) and self.starts[whole] < position:
