@@ -3,7 +3,7 @@
 The end of a version is the next strictly later load date of its key. One
 window over the key would put a hot key's whole history into a single task, so
 the timeline is cut twice instead: distinct (key, time) pairs are chained
-inside one time slice of the key, and only the first time of each slice is
+inside one time slice of the key, and only the last pair of each slice is
 chained across slices. The longest ordered run is then a slice, or one row per
 slice, however many rows the key has; rows sharing a time never meet in a
 window because the pairs are distinct. The result goes back to the rows by an
@@ -39,21 +39,16 @@ def next_later(df: DataFrame, key: str, ts: str, unit: str = "hour") -> DataFram
     Rows without key or time belong to no timeline and are left out; joined
     back, they stay open.
     """
-    points = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts).distinct().withColumn("_slice", time_slice(F.col(ts), unit))
+    given = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    points = given.select(key, ts).distinct().withColumn("_slice", time_slice(F.col(ts), unit))
     within = Window.partitionBy(key, "_slice").orderBy(ts)
     across = Window.partitionBy(key).orderBy("_slice")
-    chained = points.withColumn("_inside", F.lead(ts).over(within))
-    heads = (
-        points.groupBy(key, "_slice")
-        .agg(F.min(ts).alias("_head"))
-        .select(
-            F.col(key).alias("_head_key"),
-            F.col("_slice").alias("_head_slice"),
-            F.lead("_head").over(across).alias("_outside"),
-        )
-    )
-    same = (F.col(key) == F.col("_head_key")) & (F.col("_slice") == F.col("_head_slice"))
-    return chained.join(heads, same).select(key, ts, F.coalesce("_inside", "_outside").alias("next_ts"))
+    chained = points.withColumns({"_inside": F.lead(ts).over(within), "_head": F.first(ts).over(within)})
+    inner = chained.where(F.col("_inside").isNotNull()).select(key, ts, F.col("_inside").alias("next_ts"))
+    # One row per slice is left, its last; what follows is the next slice's head.
+    # Both branches read the same shuffled pairs.
+    last = chained.where(F.col("_inside").isNull()).select(key, ts, F.lead("_head").over(across).alias("next_ts"))
+    return inner.unionByName(last)
 
 
 def _close(df: DataFrame, key: str, ts: str, flag: str, end: str, unit: str) -> DataFrame:
