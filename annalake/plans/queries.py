@@ -29,6 +29,7 @@ from annalake.operators import (
 from annalake.plans import company as c
 from annalake.plans import fixtures as fx
 from annalake.plans.batches import Vault, VaultSpec
+from annalake.plans.entity import EntitySpec
 from annalake.session import tune
 from annalake.sources import sinks
 from annalake.specs import IS_CURRENT, LOAD_DATE, RECORD_SOURCE, START_DATE
@@ -268,6 +269,47 @@ def link_replay(w: fx.Warehouse) -> DataFrame:
     return replay.replay_link(_events(w), "batch", "hk_link_user_type", ["hk_user", "hk_type"])
 
 
+PRODUCT = EntitySpec(
+    name="product",
+    business_keys=("object_id",),
+    attributes=("name", "kind", "size", "price"),
+    foreign_keys={"brand": "brand"},
+    default_source=fx.DEFAULT_SOURCE,
+    now=fx.NOW,
+)
+
+
+def _products(w: fx.Warehouse) -> DataFrame:
+    return PRODUCT.stage(
+        w.table("part").select(
+            F.col("p_partkey").alias("object_id"),
+            F.col("p_name").alias("name"),
+            F.col("p_type").alias("kind"),
+            F.col("p_size").alias("size"),
+            F.col("p_retailprice").alias("price"),
+            F.col("p_brand").alias("brand"),
+        )
+    )
+
+
+@query
+def hub_product(w: fx.Warehouse) -> DataFrame:
+    (hub,) = PRODUCT.vault().hubs
+    return loads.load_hub(_products(w), hub.hk, hub.business_keys)
+
+
+@query
+def sat_product(w: fx.Warehouse) -> DataFrame:
+    (sat,) = PRODUCT.vault().satellites
+    return history.close_versions(loads.load_satellite(_products(w), sat.hk, sat.hd, sat.payload), sat.hk)
+
+
+@query
+def link_product_brand(w: fx.Warehouse) -> DataFrame:
+    (link,) = PRODUCT.vault().links
+    return loads.load_link(_products(w), link.link_hk, link.hub_hks, not_null=link.not_null)
+
+
 # -- history ---------------------------------------------------------------------
 
 

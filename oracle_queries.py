@@ -446,6 +446,14 @@ WHERE batch = (SELECT min(batch) FROM feed g WHERE g.hk_user = f.hk_user AND g.h
     sql["hub_replay"] = f"WITH {EVENTS} SELECT * FROM user_hub"
     sql["link_replay"] = f"""WITH {EVENTS} SELECT DISTINCT hk_link_user_type, hk_user, hk_type, dss_load_date, dss_record_source
 FROM feed f WHERE batch = (SELECT min(batch) FROM feed g WHERE g.hk_link_user_type = f.hk_link_user_type)"""
+    product = f"""{sha('CAST(p_partkey AS VARCHAR)')} AS hk_product"""
+    diff = "p_name || p_type || CAST(p_size AS VARCHAR) || CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR)"
+    loaded = f"{NOW} AS dss_load_date, 'portal' AS dss_record_source"
+    sql["hub_product"] = f"SELECT {product}, p_partkey AS object_id, {loaded} FROM part"
+    sql["sat_product"] = f"""SELECT {product}, {sha(diff)} AS hd_product, {loaded}, p_name AS name, p_type AS kind, p_size AS size,
+  p_retailprice AS price, 'Y' AS dss_is_current, CAST(NULL AS TIMESTAMP) AS dss_end_date FROM part"""
+    sql["link_product_brand"] = f"""SELECT DISTINCT {sha("p_partkey || '^^' || p_brand")} AS hk_link_product_brand, {product},
+  {sha('p_brand')} AS hk_brand, {loaded} FROM part"""
     # history
     sql["sat_closed"] = f"WITH {EVENTS} SELECT {CLOSED_COLUMNS} FROM closed"
     sql["sat_closed_ties"] = f"""WITH {EVENTS},

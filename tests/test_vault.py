@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annalake.operators import evolve, ghosts, history, loads, replay
 from annalake.functions.hashing import hash_diff, hash_key, link_hash_key
 from annalake.plans.batches import Vault, VaultSpec
+from annalake.plans.entity import EntitySpec
 from annalake.specs import EffSatelliteSpec, HubSpec, LinkSpec, SatelliteSpec
 
 SAT = SatelliteSpec("sat_item", "hk_item", "hd_item", ("value",))
@@ -245,6 +246,22 @@ def test_repeating_a_load_changes_nothing(spark, loaded):
     assert {t: vault.rows(t).count() for t in before} == before
 
 
+def test_entity_builds_loads_and_evolves(spark, tmp_path):
+    entity = EntitySpec("item", ("item_id",), ("colour", "weight"), "shop", "2024-02-01 00:00:00", {"place": "place"})
+    rows = spark.createDataFrame([(1, "red", 2.5, "A"), (2, None, 1.0, None)], "item_id bigint, colour string, weight double, place string")
+    staged_rows = entity.stage(rows)
+    assert {"hk_item", "hk_place", "hk_link_item_place", "hd_item"} <= set(staged_rows.columns)
+    vault = Vault(spark, str(tmp_path), entity.vault())
+    vault.run([staged_rows, entity.stage(rows.withColumn("colour", F.lit("blue")))])
+    assert vault.rows("hub_item").count() == 2
+    assert vault.rows("link_item_place").count() == 1
+    assert vault.rows("sat_item").count() == 4
+    changed = entity.evolve(add=["size"], drop=["weight"], diff_drop=["colour"], foreign_keys={"maker": "maker"})
+    assert changed.staging().diffs["hd_item"].columns == ("size",)
+    assert changed.vault().satellites[0].payload == ("colour", "size")
+    assert [link.name for link in changed.vault().links] == ["link_item_place", "link_item_maker"]
+
+
 def test_last_of_batch(spark):
     feed = staged(spark, [(1, "A", day(1, 1)), (1, "B", day(1, 9)), (2, "C", day(1))])
     reduced = replay.last_of_batch(feed, "batch", "hk_item", ["dss_load_date"])
