@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalake.functions import hashing
+from annalake.functions import hashing, vectors
 from annalake.operators import (
     corpus,
     evolve,
@@ -733,6 +733,14 @@ def _centroids(w: fx.Warehouse) -> DataFrame:
     return means.groupBy(F.col("label").alias("query_id")).agg(vector.alias("embedding"))
 
 
+@query
+def cosine_to_label(w: fx.Warehouse) -> DataFrame:
+    """How close every vector is to the mean of its label."""
+    means = _centroids(w).select(F.col("query_id").alias("label"), F.col("embedding").alias("mean"))
+    close = vectors.cosine_similarity(F.col("embedding"), F.col("mean"))
+    return w.table("embeddings").join(means, "label").select("vec_id", "label", F.round(close, 6).alias("similarity"))
+
+
 def _search(w: fx.Warehouse, k: int, threshold: float | None) -> DataFrame:
     found = similarity.similarity_search(_centroids(w), w.table("embeddings"), k=k, threshold=threshold)
     return found.withColumn("similarity", F.round("similarity", 6))

@@ -610,6 +610,8 @@ FROM documents d LEFT JOIN old o ON o.doc_id = d.doc_id"""
 SELECT count(*) AS documents_count, CAST(sum(n) AS BIGINT) AS chunks_count, round(avg(n), 6) AS avg_chunks_per_doc FROM per_doc"""
     sql["duplicate_content"] = """SELECT md5(text) AS content_hash, count(*) AS n_copies, min(doc_id) AS first_id
 FROM documents GROUP BY md5(text) HAVING count(*) > 1"""
+    sql["cosine_to_label"] = f"""WITH {SIMILAR} SELECT vec_id, label, round(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6)
+  AS similarity FROM embeddings JOIN queries ON query_id = label"""
     sql["similar_topk"] = f"WITH {SIMILAR} {ranked(5, None)}"
     sql["similar_threshold"] = f"WITH {SIMILAR} {ranked(20, 0.3)}"
     sql["context"] = f"""WITH {SIMILAR}, hits AS ({ranked(5, 0.3)})
