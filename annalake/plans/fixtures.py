@@ -10,7 +10,8 @@ some clients move to another country. events is a daily change feed.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,12 +150,14 @@ class Warehouse:
     The staged company rows are written once and read by every table built
     from them: their hashes are computed once, and each reader takes only the
     columns it needs. ``stored`` keeps the vault tables in the same way, for
-    jobs that read them many times.
+    jobs that read them many times; ``direct`` stages in place, for jobs that
+    read the staged rows once.
     """
 
     spark: SparkSession
     sf_dir: str
     stored: bool = False
+    direct: bool = False
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -169,12 +172,21 @@ class Warehouse:
         sinks.write_overwrite(df, path)
         return sinks.read_current(self.spark, path, schema=df.schema)
 
+    def store(self, *names: str) -> Warehouse:
+        """This warehouse with the named tables on storage. They need only the
+        staged rows, so their jobs are submitted together."""
+        kept = replace(self, stored=True)
+        _ = kept.folder, kept.staged, kept.staged_country
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            list(pool.map(lambda name: getattr(kept, name), names))
+        return kept
+
     def _vault(self, name: str, df: DataFrame) -> DataFrame:
         return self.keep(name, df) if self.stored else df
 
     @cached_property
     def staged(self) -> DataFrame:
-        return self.keep("stg_company", self.staged_view)
+        return self.staged_view if self.direct else self.keep("stg_company", self.staged_view)
 
     @cached_property
     def staged_view(self) -> DataFrame:

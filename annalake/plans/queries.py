@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,14 +58,18 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*shown)
 
 
-def query(function: Callable[[fx.Warehouse], DataFrame]) -> Callable[[fx.Warehouse], DataFrame]:
+def query(function: Callable[[fx.Warehouse], DataFrame], direct: bool = False) -> Callable[[fx.Warehouse], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(function(fx.Warehouse(tune(spark), sf_dir)))
+        return comparable(function(fx.Warehouse(tune(spark), sf_dir, direct=direct)))
 
     QUERIES[function.__name__] = run
     return function
 
 
+# Queries that read the staged rows once need no stored copy of them.
+query_in_place = partial(query, direct=True)
+
+
 # -- staging -------------------------------------------------------------------
 
 
@@ -145,7 +149,7 @@ def load_metadata(w: fx.Warehouse) -> DataFrame:
 # -- hubs, links, satellites -----------------------------------------------------
 
 
-@query
+@query_in_place
 def hub_company(w: fx.Warehouse) -> DataFrame:
     return w.hub_company
 
@@ -194,12 +198,12 @@ def link_incremental(w: fx.Warehouse) -> DataFrame:
     return loads.load_link(staged.where(F.col(LOAD_DATE) >= start), *link, existing, extra=["priority_code"])
 
 
-@query
+@query_in_place
 def link_company_role(w: fx.Warehouse) -> DataFrame:
     return w.link_role
 
 
-@query
+@query_in_place
 def link_company_country(w: fx.Warehouse) -> DataFrame:
     return w.link_country
 
@@ -399,7 +403,7 @@ def relationship_as_of(w: fx.Warehouse) -> DataFrame:
     return history.relationship_as_of(history.close_relationships(_relationships(w), "hk_user"), MOMENT)
 
 
-@query
+@query_in_place
 def ghost_hub(w: fx.Warehouse) -> DataFrame:
     return ghosts.insert_ghosts(w.hub_company, "hk_company", "hub")
 
@@ -577,24 +581,24 @@ def companies_in_country(w: fx.Warehouse) -> DataFrame:
 # -- reports and checks ----------------------------------------------------------------
 
 
-@query
+@query_in_place
 def client_count(w: fx.Warehouse) -> DataFrame:
     return quality.count_where(w.link_role, F.col("role_code") == "CLIENT")
 
 
-@query
+@query_in_place
 def count_by_role(w: fx.Warehouse) -> DataFrame:
     return quality.count_by(w.link_role, "role_code")
 
 
-@query
+@query_in_place
 def count_by_country(w: fx.Warehouse) -> DataFrame:
     return quality.count_by(w.link_country, "hk_country")
 
 
 @query
 def reconciliation(w: fx.Warehouse) -> DataFrame:
-    w = replace(w, stored=True)
+    w = w.store("hub_company", "hub_country", "sat_company", "link_country")
     return quality.load_reconciliation(
         [
             ("hub_company", w.staged, w.hub_company),
@@ -621,12 +625,12 @@ def first_and_last_load(w: fx.Warehouse) -> DataFrame:
     return _order_versions(w).groupBy("hk_user").agg(F.min(LOAD_DATE).alias("first_load"), F.max(LOAD_DATE).alias("last_load"))
 
 
-@query
+@query_in_place
 def check_not_null(w: fx.Warehouse) -> DataFrame:
     return quality.not_null(w.staged, "country").select("hk_company", "object_id", "role_code", "batch")
 
 
-@query
+@query_in_place
 def check_unique(w: fx.Warehouse) -> DataFrame:
     return quality.unique(w.hub_company, "object_id")
 
@@ -643,7 +647,9 @@ def check_relationships(w: fx.Warehouse) -> DataFrame:
 
 @query
 def check_suite(w: fx.Warehouse) -> DataFrame:
-    w = replace(w, stored=True)
+    w = w.store(
+        "hub_company", "hub_country", "sat_company", "sat_country", "sat_client_ext", "link_role", "link_country"
+    )
     tables = {
         "stg_company": w.staged,
         "stg_country": w.staged_country,
