@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annalake.functions.hashing import ERROR_KEY, ZERO_KEY
 from annalake.specs import IS_CURRENT, LOAD_DATE, RECORD_SOURCE
@@ -25,15 +26,19 @@ SATELLITE_GHOSTS = {
 
 def ghost_rows(table: DataFrame, hk: str, values: Mapping[str, Mapping[str, object]], hd: str | None = None) -> DataFrame:
     """The sentinel rows in the schema of ``table``; unnamed columns are NULL."""
-    base = table.sparkSession.range(1).select()
-    rows = None
-    for key, given in values.items():
-        fixed = {hk: key, LOAD_DATE: GHOST_DATE, RECORD_SOURCE: GHOST_SOURCE, **given}
-        if hd:
-            fixed[hd] = key
-        row = base.select(*[F.lit(fixed.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema.fields])
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    rows = [
+        {hk: key, LOAD_DATE: GHOST_DATE, RECORD_SOURCE: GHOST_SOURCE, **({hd: key} if hd else {}), **given}
+        for key, given in values.items()
+    ]
+    names = [f.name for f in table.schema.fields if f.name in rows[0]]
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    local = table.sparkSession.createDataFrame([tuple(str(row[n]) for n in names) for row in rows], texts)
+    return local.select(
+        *[
+            (F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in table.schema.fields
+        ]
+    )
 
 
 def insert_ghosts(table: DataFrame, hk: str, kind: str, hd: str | None = None) -> DataFrame:
