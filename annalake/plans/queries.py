@@ -254,13 +254,14 @@ def sat_replay_any(w: fx.Warehouse) -> DataFrame:
     return replay.replay_satellite(_events(w), "batch", "hk_user", "hd_user", fx.EVENT_PAYLOAD)
 
 
-def _user_versions(w: fx.Warehouse) -> DataFrame:
+@query
+def sat_replay_latest(w: fx.Warehouse) -> DataFrame:
     return replay.replay_satellite(_events(w), "batch", "hk_user", "hd_user", fx.EVENT_PAYLOAD, "latest")
 
 
-@query
-def sat_replay_latest(w: fx.Warehouse) -> DataFrame:
-    return _user_versions(w)
+def _user_versions(w: fx.Warehouse) -> DataFrame:
+    """The replayed satellite on storage; what follows reads it more than once."""
+    return w.keep("sat_user", sat_replay_latest(w))
 
 
 @query
@@ -344,10 +345,11 @@ def sat_closed_ties(w: fx.Warehouse) -> DataFrame:
 
 def _late_state(w: fx.Warehouse) -> DataFrame:
     """Versions of days 16 to 20 arrive after all others were closed."""
-    rows = loads.open_version(fx.daily_feed(_events(w)).select("hk_user", *fx.EVENT_PAYLOAD, LOAD_DATE))
+    rows = w.keep("daily", loads.open_version(fx.daily_feed(_events(w)).select("hk_user", *fx.EVENT_PAYLOAD, LOAD_DATE)))
     late = F.to_date(LOAD_DATE).between("2024-01-16", "2024-01-20")
     on_time = history.close_versions(rows.where(~late), "hk_user")
-    return history.close_open_only(on_time.unionByName(rows.where(late)), "hk_user")
+    state = w.keep("sat_user_state", on_time.unionByName(rows.where(late)))
+    return history.close_open_only(state, "hk_user")
 
 
 @query
@@ -357,7 +359,7 @@ def sat_closed_strict(w: fx.Warehouse) -> DataFrame:
 
 @query
 def interval_overlaps(w: fx.Warehouse) -> DataFrame:
-    return history.interval_overlaps(_late_state(w), "hk_user")
+    return history.interval_overlaps(w.keep("sat_user_closed", _late_state(w)), "hk_user")
 
 
 @query
@@ -384,23 +386,19 @@ def eff_sat_driving_start(w: fx.Warehouse) -> DataFrame:
 EVENT_LINK = ("hk_link_user_type", "hk_user", ("hk_user", "hk_type"))
 
 
-def _relationships(w: fx.Warehouse) -> DataFrame:
-    return replay.replay_eff_satellite(_events(w), "batch", *EVENT_LINK)
-
-
 @query
 def eff_sat_replay(w: fx.Warehouse) -> DataFrame:
-    return _relationships(w)
+    return replay.replay_eff_satellite(_events(w), "batch", *EVENT_LINK)
 
 
 @query
 def eff_closed(w: fx.Warehouse) -> DataFrame:
-    return history.close_relationships(_relationships(w), "hk_user")
+    return history.close_relationships(w.keep("eff_sat_user_type", eff_sat_replay(w)), "hk_user")
 
 
 @query
 def relationship_as_of(w: fx.Warehouse) -> DataFrame:
-    return history.relationship_as_of(history.close_relationships(_relationships(w), "hk_user"), MOMENT)
+    return history.relationship_as_of(eff_closed(w), MOMENT)
 
 
 @query_in_place
