@@ -166,10 +166,10 @@ class Warehouse:
     def folder(self) -> str:
         return scratch(self.spark)
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write a table to the shared folder and read it back."""
         path = f"{self.folder}/{name}"
-        sinks.write_overwrite(df, path)
+        sinks.write_overwrite(df, path, partition_by)
         return sinks.read_current(self.spark, path, schema=df.schema)
 
     def store(self, *names: str) -> Warehouse:

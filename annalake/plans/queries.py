@@ -481,7 +481,8 @@ def pit_multi(w: fx.Warehouse) -> DataFrame:
 @query
 def pit_lookup(w: fx.Warehouse) -> DataFrame:
     sat = _user_versions(w)
-    table = pit.pit(_user_hub(w), sat, "hk_user", "sat_user", fx.NOW)
+    # Rebuilt as a table partitioned by day: the lookup reads one partition.
+    table = w.keep("pit_user", pit.pit(_user_hub(w), sat, "hk_user", "sat_user", fx.NOW), ["snapshot_date"])
     return pit.pit_lookup(table, sat.select("hk_user", LOAD_DATE, *fx.EVENT_PAYLOAD), "hk_user", SNAPSHOT, "sat_user_load_date")
 
 
