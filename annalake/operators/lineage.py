@@ -11,6 +11,10 @@ from annalake.operators.matching import present_in
 from annalake.session import shared_dir
 
 
+# Frontiers kept apart before they are merged, which bounds the plan of a round.
+MERGE_ROUNDS = 16
+
+
 def direct_neighbours(edges: DataFrame, node: str, direction: str = "down") -> DataFrame:
     """One hop from a node: what depends on it (down) or what it depends on (up)."""
     near, far = _ends(direction)
@@ -49,4 +53,6 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_r
         if frontier.isEmpty():
             break
         visited.append(frontier)
+        if len(visited) == MERGE_ROUNDS:
+            visited = [reduce(DataFrame.union, visited).checkpoint()]
     return reduce(DataFrame.union, visited).where("distance > 0")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalake.operators.history import current
+from annalake.operators.matching import with_optional
 from annalake.specs import LOAD_DATE
 
 # Prefixes of columns that are not payload.
@@ -17,23 +18,28 @@ TECHNICAL_PREFIXES = ("hk_", "hd_", "dss_")
 
 @dataclass(frozen=True)
 class SatelliteSource:
-    """A satellite to show; ``hk`` is its parent key when it differs from the hub's."""
+    """A satellite to show; ``hk`` is its parent key when it differs from the
+    hub's, ``many`` says that one key may own a large share of the shown rows
+    (all versions, or very many tied ones)."""
 
     name: str
     df: DataFrame
     columns: Sequence[str] = ("*",)
     current_only: bool = True
     hk: str | None = None
+    many: bool = False
 
 
 @dataclass(frozen=True)
 class LinkSource:
-    """A link to follow, and the target hub's satellite to show."""
+    """A link to follow, and the target hub's satellite to show; ``many`` says
+    that one hub key may own a large share of the links."""
 
     name: str
     df: DataFrame
     target_hk: str
     target: SatelliteSource | None = None
+    many: bool = False
 
 
 def expand_star(sat: DataFrame) -> list[str]:
@@ -104,12 +110,14 @@ def mart(
     base = hub.where(F.col("object_id") > 0) if exclude_ghosts else hub
     result = base.select(hk, *hub_columns, F.col(LOAD_DATE).alias("hub_load_date"))
     for source in satellites:
-        result = result.join(_projection(source, hk, aliases), hk, "left")
+        result = with_optional(result, _projection(source, hk, aliases), [hk], source.many)
     for link in links:
-        result = result.join(link.df.select(hk, link.target_hk), hk, "left")
+        result = with_optional(result, link.df.select(hk, link.target_hk), [hk], link.many)
     for link in links:
         if link.target is not None:
-            result = result.join(_projection(link.target, link.target_hk, aliases), link.target_hk, "left")
+            result = with_optional(
+                result, _projection(link.target, link.target_hk, aliases), [link.target_hk], link.target.many
+            )
     return result.select(hk, *hub_columns, *names, "hub_load_date")
 
 

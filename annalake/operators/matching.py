@@ -1,4 +1,4 @@
-"""Existence joins that survive hot keys on the row side."""
+"""Joins that survive hot keys."""
 
 from __future__ import annotations
 
@@ -29,3 +29,26 @@ def present_in(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataF
 def absent_from(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key does not occur in ``others``; a NULL key occurs nowhere."""
     return _match(rows, others, keys, "left_anti")
+
+
+def with_partners(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` JOIN ``others``, splittable along either side even where ``rows``
+    comes from a join on the same key and would be taken as it lies."""
+    names = list(keys)
+    left, right = (df.withColumn("_fingerprint", F.xxhash64(*names)) for df in (rows, others))
+    return left.join(right, [*names, "_fingerprint"]).drop("_fingerprint")
+
+
+def with_optional(rows: DataFrame, others: DataFrame, keys: Sequence[str], many: bool = False) -> DataFrame:
+    """``rows`` LEFT JOIN ``others``.
+
+    An outer join can be split along its preserved side only. Where one key may
+    own a large share of the optional side, ``many`` joins in two parts: the
+    rows that have partners by an inner join, which splits along either side,
+    and the rows that have none.
+    """
+    names = list(keys)
+    if not many:
+        return rows.join(others, names, "left")
+    alone = absent_from(rows, others, names)
+    return with_partners(rows, others, names).unionByName(alone, allowMissingColumns=True)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annalake.operators.matching import with_partners
 from annalake.specs import LOAD_DATE, RECORD_SOURCE
 
 # Metadata of the rebuilt table.
@@ -146,7 +147,7 @@ def bridge(anchor: DataFrame, anchor_hk: str, links: Sequence[tuple[DataFrame, s
     keys: list[str] = []
     link_keys: list[str] = []
     for link, link_hk, other_hks in links:
-        result = result.join(link.select(anchor_hk, link_hk, *other_hks), anchor_hk)
+        result = with_partners(result, link.select(anchor_hk, link_hk, *other_hks), [anchor_hk])
         keys += other_hks
         link_keys.append(link_hk)
     return result.select(anchor_hk, *keys, *link_keys, LOAD_DATE, RECORD_SOURCE)

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from annalake.operators import history, lineage, loads, logs, matching, quality, replay, staging
+from annalake.operators import history, lineage, loads, logs, marts, matching, quality, replay, staging
 from annalake.plans import company as c
 from annalake.plans import fixtures as fx
 from annalake.plans.batches import Vault
@@ -229,6 +229,31 @@ def test_hot_key_is_split_in_checks_and_walks(spark, small_skew_limits):
     assert "skew=true" in step._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hot_key_is_split_in_marts(spark, small_skew_limits):
+    links = hot_rows(spark).select("hk", F.col("v").alias("hk_target"))
+    hub = spark.range(5200).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("hk"), F.lit(1).alias("object_id"))
+    hub = hub.withColumn("dss_load_date", F.lit("2024-01-01").cast("timestamp_ntz"))
+    sat = hub.select("hk", F.col("hk").alias("name"), F.lit("Y").alias("dss_is_current"))
+    target = spark.range(10).select(F.sha2(F.col("id").cast("string"), 256).alias("hk_target"), F.col("id").alias("label"), F.lit("Y").alias("dss_is_current"))
+
+    def view(many):
+        shown = marts.SatelliteSource("sat_target", target)
+        return marts.mart(hub, "hk", [marts.SatelliteSource("sat_x", sat)], [marts.LinkSource("link_x", links, "hk_target", shown, many)])
+
+    split, plain = view(True), view(False)
+    counts = [{r.hk: (r.n, r.labels) for r in v.groupBy("hk").agg(F.count("*").alias("n"), F.count("label").alias("labels")).collect()} for v in (split, plain)]
+    assert counts[0] == counts[1] and counts[0]["hot"][0] == 20_000 and counts[0]["k5100"] == (1, 0)
+    split.collect()
+    assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_walks_merge_their_frontiers(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "MERGE_ROUNDS", 3)
+    chain = spark.range(9).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    found = {r.node: r.distance for r in lineage.reachable(chain, spark.sql("SELECT '0' AS node")).collect()}
+    assert found == {str(i): i for i in range(1, 10)}
+
+
 def test_hot_key_is_split_in_replays(spark, small_skew_limits):
     feed = hot_rows(spark).select(
         "hk", F.when(F.col("hk") == "hot", "same").otherwise(F.col("v")).alias("hd"), "v", "dss_load_date",
