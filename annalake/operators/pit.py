@@ -2,8 +2,8 @@
 
 A point-in-time table asks, for every key and snapshot day, which satellite
 version was the last one loaded by the end of that day. Nothing is crossed or
-range-joined: versions are reduced to one row per key and day, the days are
-numbered in order, each row then covers the day numbers up to the key's next
+range-joined: versions are reduced to one row per key and day, the snapshots
+are numbered in order, each row then covers the snapshots up to the key's next
 row, and that run is expanded. The work is linear in the table produced.
 """
 
@@ -22,6 +22,9 @@ from annalake.specs import LOAD_DATE, RECORD_SOURCE
 # Metadata of the rebuilt table.
 PIT_SOURCE = "PIT_GENERATION"
 
+# Days one row expands to within a task.
+BLOCK_DAYS = 64
+
 
 def snapshot_spine(satellites: Sequence[DataFrame], ts: str = LOAD_DATE) -> DataFrame:
     """Distinct load days over one or many satellites."""
@@ -30,21 +33,42 @@ def snapshot_spine(satellites: Sequence[DataFrame], ts: str = LOAD_DATE) -> Data
 
 
 def _numbered(version_days: DataFrame, spine: DataFrame | None) -> DataFrame:
-    """Days in order as (day, number, day count, is_snapshot).
+    """Days as (day, is_snapshot, first, snapshots): the number of the first
+    snapshot on or after the day, and how many snapshots there are.
 
     At most one row per calendar day, about 37,000 per century: small enough
     for the ordering window and for broadcasting, by construction.
     """
-    days = version_days.select("day", F.lit(spine is None).alias("is_snapshot")).distinct()
+    days = version_days.select("day", F.lit(1 if spine is None else 0).alias("is_snapshot")).distinct()
     if spine is not None:
-        asked = spine.select(F.col("snapshot_date").alias("day"), F.lit(True).alias("is_snapshot"))
+        asked = spine.select(F.col("snapshot_date").alias("day"), F.lit(1).alias("is_snapshot"))
         days = days.union(asked).groupBy("day").agg(F.max("is_snapshot").alias("is_snapshot"))
+    so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return days.select(
         "day",
-        F.row_number().over(Window.orderBy("day")).alias("number"),
-        F.count(F.lit(1)).over(everything).alias("days"),
         "is_snapshot",
+        (F.sum("is_snapshot").over(so_far) + 1 - F.col("is_snapshot")).alias("first"),
+        F.sum("is_snapshot").over(everything).alias("snapshots"),
+    )
+
+
+def _expand(runs: DataFrame, hk: str) -> DataFrame:
+    """One row per day number from ``first`` to ``last``.
+
+    A run may cover thousands of days, and adaptive execution sizes tasks by the
+    short runs it reads, not by what they expand to. Runs are therefore cut into
+    blocks of days first and the blocks spread out; a row then yields at most
+    ``BLOCK_DAYS`` rows in its task.
+    """
+    first_block, last_block = (F.floor(F.col(c) / BLOCK_DAYS) for c in ("first", "last"))
+    return (
+        runs.withColumn("_block", F.explode(F.sequence(first_block, last_block)))
+        .withColumn("first", F.greatest(F.col("first"), F.col("_block") * BLOCK_DAYS))
+        .withColumn("last", F.least(F.col("last"), F.col("_block") * BLOCK_DAYS + BLOCK_DAYS - 1))
+        .repartition(hk, "_block")
+        .withColumn("number", F.explode(F.sequence("first", "last")))
+        .drop("first", "last", "_block")
     )
 
 
@@ -67,19 +91,20 @@ def _pointers(
     daily = versions.groupBy(hk, "day").agg(*[F.max(n).alias(n) for n in names])
     days = _numbered(versions, spine)
     # From here on a key has at most one row per day, whatever it had before.
-    by_key = Window.partitionBy(hk).orderBy("number")
+    by_key = Window.partitionBy(hk).orderBy("day")
     runs = (
-        daily.join(F.broadcast(days.select("day", "number", "days")), "day")
+        daily.join(F.broadcast(days.select("day", "first", "snapshots")), "day")
         .select(
             hk,
-            F.col("number").alias("first"),
-            (F.coalesce(F.lead("number").over(by_key), F.col("days") + 1) - 1).alias("last"),
+            "first",
+            (F.coalesce(F.lead("first").over(by_key), F.col("snapshots") + 1) - 1).alias("last"),
             *[F.last(n, ignorenulls=True).over(by_key).alias(n) for n in names],
         )
+        .where(F.col("first") <= F.col("last"))
         .join(hub.select(hk).distinct(), hk, "left_semi")
     )
-    expanded = runs.withColumn("number", F.explode(F.sequence("first", "last", F.lit(1).cast("bigint"))))
-    snapshots = days.where("is_snapshot").select(F.col("number").cast("bigint").alias("number"), F.col("day").alias("snapshot_date"))
+    expanded = _expand(runs, hk)
+    snapshots = days.where("is_snapshot = 1").select(F.col("first").alias("number"), F.col("day").alias("snapshot_date"))
     return expanded.join(F.broadcast(snapshots), "number").select(hk, "snapshot_date", *names)
 
 

@@ -31,7 +31,7 @@ from annalake.plans import fixtures as fx
 from annalake.plans.batches import Vault, VaultSpec
 from annalake.plans.entity import EntitySpec
 from annalake.session import tune
-from annalake.sources import sinks
+from annalake.sources import readers, sinks
 from annalake.specs import IS_CURRENT, LOAD_DATE, RECORD_SOURCE, START_DATE
 from annalake.specs import EffSatelliteSpec, HubSpec, SatelliteSpec
 from annalake.streaming.loads import feed_stream, stream_loads
@@ -135,6 +135,15 @@ def derived_columns(w: fx.Warehouse) -> DataFrame:
     return staging.derived_columns(w.table("customer"), definitions).select("c_custkey", "record_source", "segment_code")
 
 
+@query
+def seed_reference(w: fx.Warehouse) -> DataFrame:
+    """The regions as a CSV reference table, written and read back."""
+    regions = w.table("region").select(F.col("r_regionkey").cast("string").alias("region_code"), F.col("r_name").alias("region_name"))
+    path = f"{w.folder}/ref_region"
+    readers.write_seed(regions, path)
+    return readers.read_seed(w.spark, path, regions.schema)
+
+
 @query
 def load_metadata(w: fx.Warehouse) -> DataFrame:
     feeds = [

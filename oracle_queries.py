@@ -19,6 +19,7 @@ def text(expression: str) -> str:
     return f"coalesce(CAST({expression} AS VARCHAR), '')"
 
 
+# Column lists and types of the company tables and views.
 PAYLOAD_TYPES = {
     "name": "VARCHAR", "subscription": "VARCHAR", "org_type": "BIGINT", "uid": "VARCHAR",
     "description": "VARCHAR", "street": "VARCHAR", "citycode": "VARCHAR", "city": "VARCHAR",
@@ -414,6 +415,7 @@ SELECT hk_company, hk_country, hk_role, hk_link_company_role, hk_link_company_co
   CAST(employeecount AS VARCHAR) AS employeecount FROM feed WHERE role_code <> 'CLIENT'"""
     sql["derived_columns"] = """SELECT c_custkey, 'crm' AS record_source, lower(substring(c_mktsegment, 1, 3)) AS segment_code
 FROM customer"""
+    sql["seed_reference"] = "SELECT CAST(r_regionkey AS VARCHAR) AS region_code, r_name AS region_name FROM region"
     sql["load_metadata"] = f"""WITH {COMPANY} SELECT object_id, role_code, dss_load_date, dss_record_source FROM stg WHERE batch = 1"""
     # hubs, links, satellites
     sql["hub_company"] = f"WITH {COMPANY} SELECT {HUB_COLUMNS} FROM hub_c"

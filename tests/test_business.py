@@ -1,6 +1,7 @@
 """Point-in-time tables, bridges, marts and checks."""
 
 import datetime
+import random
 
 import pytest
 
@@ -57,6 +58,32 @@ def test_pit_with_its_own_snapshot_days(spark, hub, sat):
     ]
 
 
+@pytest.mark.parametrize("own_days", [False, True])
+def test_pit_equals_the_naive_lookup(spark, own_days):
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    versions = [
+        (f"k{k}", start + datetime.timedelta(days=rng.randrange(300), hours=rng.randrange(24)))
+        for k in range(30)
+        for _ in range(rng.randrange(6))
+    ]
+    days = {v.date() for _, v in versions}
+    if own_days:
+        days = {start.date() + datetime.timedelta(days=rng.randrange(-20, 340)) for _ in range(120)}
+    expected = set()
+    for key in {k for k, _ in versions}:
+        for d in days:
+            seen = [v for k, v in versions if k == key and v.date() <= d]
+            if seen:
+                expected.add((key, str(d), str(max(seen))))
+    sat = spark.createDataFrame(versions, "hk_x string, dss_load_date timestamp_ntz")
+    hub = sat.select("hk_x")
+    spine = spark.createDataFrame([(d,) for d in days], "snapshot_date date") if own_days else None
+    table = pit.pit(hub, sat, "hk_x", "sat_x", "2024-02-01 00:00:00", spine=spine)
+    rows = [(r.hk_x, str(r.snapshot_date), str(r.sat_x_load_date)) for r in table.collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+
+
 def test_pit_leaves_out_keys_the_hub_does_not_have(spark, hub, sat):
     table = pit.pit(hub.where("hk_x = 'b'"), sat, "hk_x", "sat_x", "2024-02-01 00:00:00")
     assert {r.hk_x for r in table.collect()} == {"b"}
