@@ -33,8 +33,9 @@ def seeded(h: np.ndarray, seed: int) -> np.ndarray:
     return mix(h ^ _U(seed * 0xD1B54A32D192ED03 & _MASK))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _U(0x632BE59BD9B4E019))
-_BYTE_VALUES[65:91] = _BYTE_VALUES[97:123]
+EXACT = mix(np.arange(1, 257, dtype=_U) * _U(0x632BE59BD9B4E019))
+_LOWERED = EXACT.copy()
+_LOWERED[65:91] = _LOWERED[97:123]
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
 _POSITION = mix(np.arange(1, 65, dtype=_U)) | _U(1)
@@ -59,6 +60,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _LOWERED) -> np.ndarray:
+    """Hashes of data[start:end] for all spans at once, from prefix sums."""
+    power, inverse = _powers(max(20, int(len(data)).bit_length()))
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum(values[data] * power[: len(data)], out=total[1:])
+    raw = (total[ends] - total[starts]) * inverse[np.minimum(starts, len(inverse) - 1)]
+    return mix(raw + (ends - starts).astype(_U))
+
+
 @dataclass(frozen=True)
 class Words:
     """hashes: of all words in order. first: each text's first word, then the end."""
@@ -84,11 +94,7 @@ def words(texts: pa.Array, separator: np.ndarray = _SEPARATOR) -> Words:
     after = np.empty_like(apart)
     after[-1], after[:-1] = True, apart[1:]
     ends = np.flatnonzero(~apart & (after | edge[1:])) + 1
-    power, inverse = _powers(max(20, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_VALUES[data] * power[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * inverse[starts]
-    return Words(mix(raw + (ends - starts).astype(_U)), np.searchsorted(starts, offsets))
+    return Words(span_hashes(data, starts, ends), np.searchsorted(starts, offsets))
 
 
 def shingles(found: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +114,7 @@ def shingles(found: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     out = mix(total[at])
     for i in np.flatnonzero((n > 0) & (n < width)):
         own = w[found.first[i] : found.first[i + 1]]
-        out[first[i]] = mix((own * _POSITION[: len(own)]).sum(keepdims=True) + _U(len(own)) * _POSITION[width])[0]
+        out[first[i]] = mix((own * _POSITION[: len(own)]).sum(keepdims=True) + _POSITION[width + len(own)])[0]
     return out, first
 
 
