@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalake.llm import jaccard_join, language_id, licenses, token_records, toxicity
+from annalake.llm import decontamination, jaccard_join, language_id, licenses, token_records, toxicity
 from annalake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -42,6 +46,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontamination": op3_decontamination,
     "op4_token_records": op4_token_records,
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
