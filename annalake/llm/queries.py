@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalake.llm import decontamination, jaccard_join, language_id, licenses, token_records, toxicity
+from annalake.llm import decontamination, jaccard_join, language_id, licenses, sentence_pieces, token_records, toxicity
 from annalake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op4_token_records": op4_token_records,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scan": op9_license_scan,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
