@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalake.llm import decontamination, jaccard_join, language_id, licenses, sentence_pieces, token_records, toxicity
+from annalake.llm import decontamination, hilbert_neighbours, jaccard_join, language_id, licenses, sentence_pieces, token_records, toxicity
 from annalake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_neighbours.neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_hilbert_neighbours": op2_hilbert_neighbours,
     "op3_decontamination": op3_decontamination,
     "op4_token_records": op4_token_records,
     "op5_language_id": op5_language_id,
