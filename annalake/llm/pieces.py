@@ -8,7 +8,7 @@ import pyarrow as pa
 from annalake.llm.shingles import EXACT, span_hashes, text_bytes
 
 #: Parts whose ids a worker keeps; beyond that it starts anew.
-KEPT_PARTS = 1 << 21
+KEPT_PARTS = 1 << 20
 _AT_START = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,8 +20,8 @@ class PieceCache:
         self.dtype = dtype
         self._forget()
 
-    def begins(self, data: np.ndarray) -> np.ndarray:
-        """Where a part begins, besides the start of a text."""
+    def begins(self, data: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """Where a part begins, besides the start of a text. final: the texts' last bytes."""
         raise NotImplementedError
 
     def ids_of(self, parts: list[str], at_start: list[bool]) -> list[list[int]]:
@@ -50,7 +50,9 @@ class PieceCache:
         data, offsets = text_bytes(texts)
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
-        begins = self.begins(data)
+        final = np.zeros(len(data), bool)
+        final[offsets[1:][np.diff(offsets) > 0] - 1] = True
+        begins = self.begins(data, final)
         opens = offsets[:-1][np.diff(offsets) > 0]
         begins[opens] = True
         starts = np.flatnonzero(begins)

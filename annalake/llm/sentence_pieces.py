@@ -172,7 +172,7 @@ class SentenceEncoder(PieceCache):
         self.decoded_length = np.fromiter(map(len, self.model.decoded), np.int64, len(self.model.decoded))
         self.decoded_first = np.cumsum(self.decoded_length) - self.decoded_length
 
-    def begins(self, data: np.ndarray) -> np.ndarray:
+    def begins(self, data: np.ndarray, final: np.ndarray) -> np.ndarray:
         """Parts begin with a run of blanks or of the characters that mark them."""
         found, last = data == 32, data == 32
         marked = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))

@@ -37,10 +37,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalake.llm.common import arrow_batch, scratch, stored, text_slices, texts_of
-from annalake.llm.shingles import EXACT, span_hashes, text_bytes
+from annalake.llm.pieces import PieceCache
 
-#: Pieces whose ids a worker keeps; beyond that it starts anew.
-KEPT_PIECES = 1 << 21
 _NO_ID = 128
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<IB")
@@ -95,7 +93,7 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return (None if flags & _NO_ID else doc_id), ids
 
 
-class PieceEncoder:
+class PieceEncoder(PieceCache):
     """Encodes texts by a byte-level BPE of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
@@ -103,55 +101,16 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), self.dtype, int(length.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        first = self.used + np.cumsum(length) - length
-        self.used += len(flat)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.first, self.length = np.concatenate([self.first, first])[order], np.concatenate([self.length, length])[order]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in order, and the bounds of each text's ids."""
-        data, offsets = text_bytes(texts)
-        if not len(data):
-            return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
-        begins = np.zeros(len(data) + 1, bool)
-        begins[:-2] = (data[:-1] == 32) & ~_SPACE_OR_UNSURE[data[1:]]
-        begins[offsets[1:-1] - 1] &= False  # a blank that ends a text begins nothing, whatever follows
-        begins[offsets] = True
-        begins[-1] = False
-        starts = np.flatnonzero(begins)
-        ends = np.append(starts[1:], len(data))
-        found, at, place = np.unique(span_hashes(data, starts, ends, EXACT), return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_PIECES:
-            self._forget()
-        slot = np.searchsorted(self.known, found)
-        new = np.ones(len(found), bool)
-        inside = slot < len(self.known)
-        new[inside] = self.known[slot[inside]] != found[inside]
-        if new.any():
-            self._learn(found[new], [data[starts[i] : ends[i]].tobytes().decode("utf-8") for i in at[new]])
-            slot = np.searchsorted(self.known, found)
-        slot = slot[place]
-        length = self.length[slot]
-        total = np.concatenate([[0], np.cumsum(length)])
-        flat = self.ids[np.repeat(self.first[slot] - total[:-1], length) + np.arange(total[-1])]
-        return flat, total[np.searchsorted(starts, offsets)]
+        super().__init__(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def begins(self, data: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """Parts begin with a blank that stands before anything but white space."""
+        found = np.zeros(len(data), bool)
+        found[:-1] = (data[:-1] == 32) & ~_SPACE_OR_UNSURE[data[1:]]
+        return found & ~final
+
+    def ids_of(self, parts: list[str], at_start: list[bool]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
