@@ -32,8 +32,8 @@ from annalake.llm.shingles import mix, text_bytes
 #: Highest order, and the order up to which the classes share their counts.
 ORDER, SHARED = 5, 2
 DISCOUNT = 0.75
-#: log2 of the size of the hashed tables.
-TABLE_BITS = 20
+#: log2 of the size of the hashed table of n-grams of each length.
+TABLE_BITS = (4, 10, 16, 18, 19, 20)
 #: Bytes of the windows whose ratio is taken.
 WINDOWS = (6, 12, 24, 96)
 #: At most so many rows fit the curve: those with the smallest hashed ids.
@@ -103,8 +103,17 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def _bucket(gram: np.ndarray, order: int) -> np.ndarray:
-    return (mix(gram + _U(order * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U(64 - TABLE_BITS)).astype(np.int64)
+def _bucket(gram: np.ndarray, length: int) -> np.ndarray:
+    return (mix(gram + _U(length * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U(64 - TABLE_BITS[length])).astype(np.int64)
+
+
+def _part(order: int, label: int, kind: int) -> int:
+    return (order * 3 + label + 1) * 3 + kind
+
+
+def _empty(part: int) -> np.ndarray:
+    """Contexts are one byte shorter than the n-grams."""
+    return np.zeros(1 << TABLE_BITS[part // 9 - (part % 3 > 0)], np.float32)
 
 
 def _tables(counted: DataFrame) -> DataFrame:
@@ -132,9 +141,10 @@ def _tables(counted: DataFrame) -> DataFrame:
             order, label, kind = (np.array(batch.column(c)) for c in ("order", "label", "kind"))
             gram = np.array(batch.column("gram")).view(_U)
             bucket = np.zeros(len(gram), np.int64)
-            for one in np.unique(order):
-                bucket[order == one] = _bucket(gram[order == one], int(one))
-            yield arrow_batch({"part": (order * 3 + label + 1) * 3 + kind, "bucket": bucket, "n": np.array(batch.column("n"))}, types)
+            length = order - (kind > 0)
+            for one in np.unique(length):
+                bucket[length == one] = _bucket(gram[length == one], int(one))
+            yield arrow_batch({"part": _part(order, label, kind), "bucket": bucket, "n": np.array(batch.column("n"))}, types)
 
     placed = union.mapInArrow(place, "part int, bucket int, n long").groupBy("part", "bucket").agg(F.sum("n").cast("float").alias("n"))
 
@@ -143,7 +153,7 @@ def _tables(counted: DataFrame) -> DataFrame:
         for batch in batches:
             part, bucket, n = (np.array(batch.column(c)) for c in ("part", "bucket", "n"))
             for one in np.unique(part):
-                tables.setdefault(int(one), np.zeros(1 << TABLE_BITS, np.float32))[bucket[part == one]] = n[part == one]
+                tables.setdefault(int(one), _empty(int(one)))[bucket[part == one]] = n[part == one]
         for one, table in tables.items():
             yield arrow_batch({"part": [one], "table": [table.tobytes()]}, {"part": pa.int32(), "table": pa.binary()})
 
@@ -163,7 +173,7 @@ class Models:
         each = [shared, shared]
         for order in range(1, ORDER + 1):
             bucket = _bucket(grams[order - 1], order)
-            context = _bucket(grams[order - 1] >> _U(8), order)
+            context = _bucket(grams[order - 1] >> _U(8), order - 1)
             for label in (0, 1):
                 if order <= SHARED and label:
                     each[1] = each[0]
@@ -177,10 +187,10 @@ def _models(counted: DataFrame) -> Models:
     found: dict[int, np.ndarray] = {}
     for row in _tables(counted).toLocalIterator():
         found[row["part"]] = np.frombuffer(row["table"], np.float32)
-    tables, empty = {}, np.zeros(1 << TABLE_BITS, np.float32)
+    tables = {}
     for order in range(1, ORDER + 1):
         for label in (-1,) if order <= SHARED else (0, 1):
-            counts, sums, kinds = (found.get((order * 3 + label + 1) * 3 + kind, empty) for kind in range(3))
+            counts, sums, kinds = (found[p] if (p := _part(order, label, kind)) in found else _empty(p) for kind in range(3))
             seen = sums > 0
             inverse = np.where(seen, 1 / np.where(seen, sums, 1), 0).astype(np.float32)
             tables[order, label] = counts, inverse, np.where(seen, np.minimum(DISCOUNT * kinds * inverse, 1), 1).astype(np.float32)
@@ -264,6 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     other = learn.where("fold = 1").select("text", F.col("label").cast("long").alias("label"), F.xxhash64("doc_id", F.lit(1)).alias("key"))
     sample = other.orderBy("key").limit(CALIBRATION_ROWS) if other.count() > CALIBRATION_ROWS else other
     found = _scored(sample, half, "label").toPandas().to_numpy()
+    del half
     if len(np.unique(found[:, 0])) < 2:
         return Toxicity(None, None)
     return Toxicity(_models(counted), fit_curve(found[:, 1:], found[:, 0]))
