@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalake.llm import decontamination, hilbert_neighbours, jaccard_join, language_id, licenses, sentence_pieces, token_records, toxicity
+from annalake.llm import decontamination, hilbert_neighbours, jaccard_join, language_id, licenses, quality, sentence_pieces, token_records, tool_calls, toxicity
 from annalake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")))
+
+
 def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_neighbours.neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -34,6 +38,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 sound but toxic, 2 sound. Selected are texts that reach grade 1."""
+    docs = table(spark, sf_dir, "documents")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    model = quality.fit(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"), grade)
+    found = quality.rate(docs, model, reach=1)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail", "selected")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
@@ -54,10 +67,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_hilbert_neighbours": op2_hilbert_neighbours,
     "op3_decontamination": op3_decontamination,
     "op4_token_records": op4_token_records,
     "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scan": op9_license_scan,
@@ -65,5 +80,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_tool_calls": tool_calls.oracle(),
     "op9_license_scan": licenses.oracle(),
 }
