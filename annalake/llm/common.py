@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,19 +48,33 @@ def arrow_batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], names=list(types))
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def row_slices(batches: Iterable[pa.RecordBatch], text_col: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The same rows in slices of about ``limit`` bytes of text, one row at
-    least. Column ``text`` gets the empty text where it is NULL."""
+    least, and their texts with the empty text where one is NULL."""
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts = batch.column(at).fill_null("")
-        batch = batch.set_column(at, "text", texts)
+        texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
         start, size = 0, 0
-        lengths = pa.compute.binary_length(texts).to_pylist()
+        lengths = pc.binary_length(texts).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and size + n > limit:
-                yield batch.slice(start, i - start)
+                yield batch.slice(start, i - start), texts.slice(start, i - start)
                 start, size = i, 0
             size += n
         if start < len(lengths):
-            yield batch.slice(start)
+            yield batch.slice(start), texts.slice(start)
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices as of ``row_slices``, with those texts as column ``text``."""
+    for batch, texts in row_slices(batches, "text", limit):
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+
+
+def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], limit: int = 1 << 20) -> DataFrame:
+    """Whole rows of ``docs`` where ``keep`` of their texts is true, without a shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in row_slices(batches, text_col, limit):
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalake.llm.common import arrow_batch, text_slices, texts_of
+from annalake.llm.common import arrow_batch, kept_rows, text_slices, texts_of
 from annalake.llm.shingles import WIDTH, seeded, shingles, words
 
 BITS, RADIUS = 64, 15
@@ -164,33 +165,56 @@ class Index:
             yield number, start, distance, alike
 
 
+def _anchored(texts: pa.Array, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Of texts with a shingle of any item: place, shingles, anchors, number of words."""
+    own, first, n_words = sequences(texts)
+    hits = index.anchors(own)
+    text_of = np.searchsorted(first, hits, side="right") - 1
+    for text in np.unique(text_of).tolist():
+        a, b = first[text], first[text + 1]
+        yield text, own[a:b], hits[text_of == text] - a, int(n_words[text])
+
+
 def _match(batches: Iterable[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     types = {"doc_id": pa.int64(), "item_id": pa.int64(), "first_word": pa.int64(), "n_words": pa.int64(), "distance": pa.int32(), "similarity": pa.float64()}
     for batch in text_slices(batches):
-        own, first, n_words = sequences(batch.column("text"))
-        hits = index.anchors(own)
-        text_of = np.searchsorted(first, hits, side="right") - 1
         rows = []
-        for text in np.unique(text_of).tolist():
-            a, b = first[text], first[text + 1]
-            for number, start, distance, alike in index.matches(own[a:b], hits[text_of == text] - a):
-                rows.append((batch.column("doc_id")[text].as_py(), index.ids[number], start, min(int(index.n_words[number]), int(n_words[text]) - start), distance, alike))
+        for text, own, at, n_words in _anchored(batch.column("text"), index):
+            for number, start, distance, alike in index.matches(own, at):
+                rows.append((batch.column("doc_id")[text].as_py(), index.ids[number], start, min(int(index.n_words[number]), n_words - start), distance, alike))
         if rows:
             yield arrow_batch(dict(zip(types, map(list, zip(*rows, strict=True)), strict=True)), types)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, first_word, n_words, distance, similarity of every item
-    that a text has: its most similar window."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> Iterator[Broadcast]:
     items = texts_of(benchmark, item_id_col, item_text_col).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = chars // ITEM_CHARS + 1
-    schema = "doc_id long, item_id long, first_word long, n_words long, distance int, similarity double"
-    found = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == block).distinct().orderBy("doc_id", "text").collect()  # bounded by ITEM_CHARS
-        index = spark.sparkContext.broadcast(Index([(r["doc_id"], r["text"]) for r in own]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["doc_id"], r["text"]) for r in own]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, first_word, n_words, distance, similarity of every item
+    that a text has: its most similar window."""
+    schema = "doc_id long, item_id long, first_word long, n_words long, distance int, similarity double"
+    found = None
+    for index in _indexes(benchmark, item_id_col, item_text_col):
         part = texts_of(docs, id_col, text_col).mapInArrow(lambda batches, index=index: _match(batches, index.value), schema)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have no item of the benchmark, with all their columns."""
+    for index in _indexes(benchmark, item_id_col, item_text_col):
+
+        def keep(texts: pa.Array, index: Broadcast = index) -> np.ndarray:
+            mask = np.ones(len(texts), bool)
+            for text, own, at, _ in _anchored(texts, index.value):
+                mask[text] = next(index.value.matches(own, at), None) is None
+            return mask
+
+        docs = kept_rows(docs, text_col, keep)
+    return docs

@@ -54,13 +54,13 @@ def prefix(own: np.ndarray, levels: np.ndarray, seed: int, percent: int = PERCEN
 
 
 def _describe(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, node, n), and of all counters blocks."""
+    """A row for each document (doc_id, text_hash, node, n), and of all counters blocks."""
     counts, waiting, held = np.zeros(COUNTERS, np.uint32), [], 0
-    types = {"doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
+    types = {"doc_id": pa.int64(), "text_hash": pa.int64(), "node": pa.int64(), "n": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
     for batch in text_slices(batches):
         found = sets(batch.column("text"), width)
         rows = len(found)
-        yield arrow_batch({"doc_id": batch.column("doc_id"), "node": [set_digest(s) if len(s) else None for s in found], "n": [len(s) for s in found], "block": [None] * rows, "counts": [None] * rows}, types)
+        yield arrow_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "node": [set_digest(s) if len(s) else None for s in found], "n": [len(s) for s in found], "block": [None] * rows, "counts": [None] * rows}, types)
         waiting.extend(map(_counter, found))
         held += sum(map(len, found))
         if held > COUNTERS:
@@ -71,7 +71,7 @@ def _describe(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     for block in range(COUNTERS // BLOCK):
         part = counts[block * BLOCK : (block + 1) * BLOCK]
         if part.any():
-            yield arrow_batch({"doc_id": [None], "node": [None], "n": [None], "block": [block], "counts": [part.tobytes()]}, types)
+            yield arrow_batch({"doc_id": [None], "text_hash": [None], "node": [None], "n": [None], "block": [block], "counts": [part.tobytes()]}, types)
 
 
 def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +185,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, levels: Br
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) for each row of ``docs``."""
+    """doc_id, n_shingles, component_id (the smallest id reachable by links) and
+    text_hash (xxhash64 of the text) for each row of ``docs``."""
     spark = docs.sparkSession
     folder = scratch(spark)
     texts = texts_of(docs, id_col, text_col)
-    described = stored(texts.mapInArrow(lambda x: _describe(x, width), "doc_id long, node long, n long, block int, counts binary"), f"{folder}/described")
-    rows = described.where("block IS NULL").select("doc_id", "node", "n")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    described = stored(hashed.mapInArrow(lambda x: _describe(x, width), "doc_id long, text_hash long, node long, n long, block int, counts binary"), f"{folder}/described")
+    rows = described.where("block IS NULL").select("doc_id", "text_hash", "node", "n")
     classes = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     levels = spark.sparkContext.broadcast(_levels(described.where("block IS NOT NULL").select("block", "counts")))
 
@@ -218,4 +220,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = smallest.groupBy("label").agg(F.min("smallest").alias("component_id"))
     by_node = smallest.join(named, "label").select(F.col("node").alias("of_node"), "component_id")
     out = rows.join(by_node, F.when(F.col("doc_id").isNotNull(), F.col("node")) == F.col("of_node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` without those that link, in the end, with a smaller
+    id, with all their columns. Of rows that repeat an id and its text one stays.
+    Rows without words or without an id all stay."""
+    found = stored(jaccard_components(docs, id_col, text_col, width).where("n_shingles > 0 AND doc_id IS NOT NULL"), f"{scratch(docs.sparkSession)}/found")
+    own = (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_text_hash"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    left = docs.join(gone, own, "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id", "text_hash").count().where("count > 1")
+    again = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, own, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(again, own, "left_anti").unionByName(repeated)

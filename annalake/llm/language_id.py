@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalake.llm.common import arrow_batch, text_slices, texts_of
+from annalake.llm.common import arrow_batch, kept_rows, text_slices, texts_of
 
 UNDETERMINED = "und"
 #: Size of the hashed feature space; with the languages it bounds the broadcast.
@@ -90,7 +90,7 @@ def _count(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    #: One row for each language.
+    #: A row for each language.
     log_probability: np.ndarray
     log_prior: np.ndarray
 
@@ -139,3 +139,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield arrow_batch({"doc_id": batch.column("doc_id"), "lang_pred": names, "score": scores}, types)
 
     return texts_of(docs, id_col, text_col).mapInArrow(score, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a language, with a posterior of ``least`` or more, and all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        names, scores = shared.value.predict(texts.to_pylist())
+        return (np.array(names, dtype=object) != UNDETERMINED) & (scores >= least)
+
+    return kept_rows(docs, text_col, keep)

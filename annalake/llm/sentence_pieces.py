@@ -238,9 +238,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned
+    """For each row: doc_id, ids, n_ids, ids_crc32 (of the ids as little-endian unsigned
     32-bit integers), n_bytes of the decoded text, same (it is the text that was encoded)."""
-    types = {"doc_id": pa.int64(), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "n_bytes": pa.int64(), "same": pa.bool_()}
+    types = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "n_bytes": pa.int64(), "same": pa.bool_()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -251,6 +251,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             wide = ids.astype("<u4")
             crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             same = [np.array_equal(data[a:b], given[c:d]) for a, b, c, d in zip(edges[:-1], edges[1:], offsets[:-1], offsets[1:], strict=True)]
-            yield arrow_batch({"doc_id": batch.column("doc_id"), "n_ids": np.diff(bounds), "ids_crc32": crc, "n_bytes": np.diff(edges), "same": same}, types)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(wide.astype(np.int32)))
+            yield arrow_batch({"doc_id": batch.column("doc_id"), "ids": lists, "n_ids": np.diff(bounds), "ids_crc32": crc, "n_bytes": np.diff(edges), "same": same}, types)
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_bytes long, same boolean")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, n_ids long, ids_crc32 long, n_bytes long, same boolean")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalake.llm.common import arrow_batch, scratch, stored, text_slices, texts_of
+from annalake.llm.common import arrow_batch, kept_rows, scratch, stored, text_slices, texts_of
 from annalake.llm.shingles import mix, text_bytes
 
 #: Highest order, and the order up to which the classes share their counts.
@@ -294,3 +294,11 @@ def detect(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: s
             yield arrow_batch({"doc_id": batch.column(0), "score": scores, "predicted": (scores >= THRESHOLD).astype(np.int32)}, {"doc_id": pa.int64(), "score": pa.float64(), "predicted": pa.int32()})
 
     return _scored(rows, model.models, "doc_id").mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted to be toxic, with all their columns."""
+    if model.models is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text_col, lambda texts: shared.value.curve.score(figures(shared.value.models, texts)) < THRESHOLD, SLICE)
