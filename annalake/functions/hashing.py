@@ -9,8 +9,8 @@ Rules shared by every hash in the warehouse:
 * ``encoding="UTF-8"`` hashes the UTF-8 bytes, ``"UTF-16LE"`` the bytes a
   two-byte character column has in the source database.
 
-Numbers and timestamps are rendered explicitly: a digest must not depend on how
-an engine prints a double.
+Doubles are rendered with all the digits that tell them apart, so any change of a
+value changes its hash. Timestamps are rendered with six decimals.
 """
 
 from __future__ import annotations
@@ -35,9 +35,7 @@ def text_of(df: DataFrame, name: str) -> Column:
     """Column ``name`` as hash input text, NULL as ''."""
     dtype = df.schema[name].dataType
     col = F.col(name)
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = col.cast("decimal(18,2)").cast("string")
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(col, TIMESTAMP_TEXT)
     elif isinstance(dtype, T.BooleanType):
         text = col.cast("int").cast("string")

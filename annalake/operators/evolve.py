@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalake.functions.hashing import hash_diff
+from annalake.operators.loads import load_satellite
+from annalake.specs import LOAD_DATE, RECORD_SOURCE
 
 
 def evolve(
@@ -19,6 +21,7 @@ def evolve(
     sep: str = "",
     staged: DataFrame | None = None,
     rebuild: bool = False,
+    hk: str | None = None,
 ) -> DataFrame:
     """Bring a satellite to a new attribute list.
 
@@ -29,9 +32,10 @@ def evolve(
     away and returns the open versions of ``staged``.
     """
     if rebuild:
-        if staged is None:
-            raise ValueError("a rebuild needs the staged rows")
-        return staged
+        if staged is None or hk is None:
+            raise ValueError("a rebuild needs the staged rows and their key")
+        rest = [c for c in staged.columns if c not in (hk, hd, LOAD_DATE, RECORD_SOURCE)]
+        return load_satellite(staged, hk, hd, rest)
     changed = existing.drop(*drop)
     new = {name: F.lit(None).cast(kind) for name, kind in (add or {}).items() if name not in changed.columns}
     if new:

@@ -43,8 +43,7 @@ def load_hub(
     """New hub rows. Load date and source belong to the distinct row, so one
     batch holding a key under two load dates yields two rows."""
     rows = staged.where(_present([hk])).select(hk, *business_keys, LOAD_DATE, RECORD_SOURCE).distinct()
-    # A stored hub has a row per key (and first load date): nothing to fold.
-    return rows if existing is None else rows.join(existing.select(hk), hk, "left_anti")
+    return rows if existing is None else absent_from(rows, existing, [hk])
 
 
 def load_link(
@@ -61,13 +60,14 @@ def load_link(
         .select(link_hk, *hub_hks, *extra, LOAD_DATE, RECORD_SOURCE)
         .distinct()
     )
-    return rows if existing is None else rows.join(existing.select(link_hk), link_hk, "left_anti")
+    return rows if existing is None else absent_from(rows, existing, [link_hk])
 
 
 def latest_diff(sat: DataFrame, hk: str, hd: str) -> DataFrame:
-    """The newest hash diff of every key, one row per key."""
-    newest = F.max(F.struct(F.col(LOAD_DATE), F.col(hd))).alias("newest")
-    return sat.groupBy(hk).agg(newest).select(hk, F.col(f"newest.{hd}").alias(hd))
+    """The distinct hash diffs at every key's newest load date: rows tied there all count."""
+    dated = sat.groupBy(hk, hd).agg(F.max(LOAD_DATE).alias("_at"))
+    newest = dated.groupBy(F.col(hk).alias("_key")).agg(F.max("_at").alias("_newest"))
+    return dated.join(newest, (F.col(hk) == F.col("_key")) & (F.col("_at") == F.col("_newest")), "left_semi").select(hk, hd)
 
 
 def load_satellite(

@@ -38,14 +38,14 @@ def upsert(
     )
 
 
-def recent_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of every key in the given (total) order.
+def recent_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int | None = None) -> DataFrame:
+    """The first ``n`` rows of every key in the given (total) order, or all of them.
 
     The rank filter is applied before the shuffle as well, so a hot key sends
     ``n`` rows per task, not all of them.
     """
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= n).withColumnRenamed("_rank", "position")
+    return (ranked if n is None else ranked.where(F.col("_rank") <= n)).withColumnRenamed("_rank", "position")
 
 
 def latest_status(run_log: DataFrame, models: DataFrame, key: str, status: str, order: Sequence[str]) -> DataFrame:

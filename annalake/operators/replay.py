@@ -3,18 +3,22 @@
 Instead of looping over batches, each rule is stated in closed form: a key is
 inserted by the first batch that carries it. First batches are plain
 aggregations (combined map-side, indifferent to hot keys) joined back to the
-rows; no window ever spans a key's rows.
+rows. Where a load compares with what the load before left, a key's batches are
+folded in order, each reduced to its last few values; no window or list ever
+spans a key's rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from annalake.operators.loads import open_version
+from annalake.operators.matching import with_partners
 from annalake.specs import END_DATE, IS_ACTIVE, LOAD_DATE, RECORD_SOURCE, START_DATE
 
 
@@ -44,27 +48,46 @@ def replay_link(
     return _first_seen(given, [link_hk, *hub_hks, *extra, LOAD_DATE, RECORD_SOURCE], link_hk, batch)
 
 
-def last_of_batch(feed: DataFrame, batch: str, key: str, order: Sequence[str]) -> DataFrame:
-    """Reduce to one row per key and batch: the last one by ``order``."""
-    rest = [c for c in feed.columns if c not in (key, batch, *order)]
-    row = F.struct(*order, *[f"`{c}`" for c in rest])
-    last = feed.groupBy(key, batch).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return last.select(*[F.col(f"_row.`{c}`").alias(c) if c not in (key, batch) else F.col(c) for c in feed.columns])
+def _states(feed: DataFrame, batch: str, key: str, value: str) -> DataFrame:
+    """(key, batch, _known): the values at the key's newest load date as the
+    loads before the batch left them.
 
-
-def _changes(feed: DataFrame, batch: str, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """Rows whose value differs from the key's row in the batch before.
-
-    After ``last_of_batch`` a key has at most one row per batch, so the window
-    is as long as the number of batches, not the number of rows.
+    A load adds the rows whose value isn't among those. Its newest added rows
+    then are the key's newest, unless older loads have later ones. All that
+    this needs of a batch is the last load date of a few of its values: with at
+    most ``m`` values tied anywhere, the last ``m + 1``. So a key keeps a short
+    list for each batch however many rows it has, and one fold follows the list.
     """
-    reduced = last_of_batch(feed, batch, key, order)
-    previous = F.lag(value).over(Window.partitionBy(key).orderBy(batch))
-    return (
-        reduced.withColumn("_previous", previous)
-        .where(F.col("_previous").isNull() | (F.col("_previous") != F.col(value)))
-        .drop("_previous")
-    )
+    last = feed.groupBy(key, batch, value).agg(F.max(LOAD_DATE).alias("_last"))
+    tied = last.groupBy(key, batch, "_last").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    newest_first = Window.partitionBy(key, batch).orderBy(F.col("_last").desc())
+    few = last.withColumn("_rank", F.rank().over(newest_first)).where(F.col("_rank") <= tied + 1)
+    lists = few.groupBy(key, batch).agg(F.collect_list(F.struct(F.col("_last").alias("at"), F.col(value).alias("value"))).alias("rows"))
+    lists = lists.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(batch).alias("batch"), "rows"))).alias("_batches"))
+
+    moment, kind = feed.schema[LOAD_DATE].dataType, feed.schema[value].dataType
+    no_values = F.array().cast(T.ArrayType(kind))
+    steps = T.ArrayType(T.StructType([T.StructField("batch", feed.schema[batch].dataType), T.StructField("known", T.ArrayType(kind))]))
+
+    def after(state: Column, one: Column) -> Column:
+        new = F.filter(one["rows"], lambda r: ~F.array_contains(state["known"], r["value"]))
+        at = F.array_max(F.transform(new, lambda r: r["at"]))
+        values = F.transform(F.filter(new, lambda r: r["at"] == at), lambda r: r["value"])
+        older = at.isNull() | (F.coalesce(at < state["at"], F.lit(False)))
+        known = F.when(older, state["known"]).when(at == state["at"], F.array_union(state["known"], values)).otherwise(values)
+        seen = F.concat(state["seen"], F.array(F.struct(one["batch"].alias("batch"), state["known"].alias("known"))))
+        return F.struct(F.when(older, state["at"]).otherwise(at).alias("at"), known.alias("known"), seen.alias("seen"))
+
+    start = F.struct(F.lit(None).cast(moment).alias("at"), no_values.alias("known"), F.array().cast(steps).alias("seen"))
+    folded = lists.select(key, F.explode(F.aggregate("_batches", start, after, lambda state: state["seen"])).alias("_step"))
+    return folded.select(key, F.col("_step.batch").alias(batch), F.col("_step.known").alias("_known"))
+
+
+def _changes(feed: DataFrame, batch: str, key: str, value: str) -> DataFrame:
+    """Rows whose value the key doesn't have at its newest load date when their batch is loaded."""
+    given = feed.where(F.col(key).isNotNull())
+    joined = with_partners(given, _states(given, batch, key, value), [key, batch])
+    return joined.where(~F.array_contains("_known", F.col(value))).drop("_known")
 
 
 def replay_satellite(
@@ -74,18 +97,17 @@ def replay_satellite(
     hd: str,
     payload: Sequence[str],
     compare: str = "any",
-    order: Sequence[str] = (LOAD_DATE,),
 ) -> DataFrame:
     """Satellite after all loads, open; pass the result to ``close_versions``.
 
-    ``compare="latest"`` first reduces each batch to the key's last row by
-    ``order``; ``"any"`` keeps every row of the inserting batch.
+    ``compare="any"`` keeps every row of the batch that first has its diff;
+    ``"latest"`` every row whose diff isn't among the key's newest ones.
     """
     if compare == "any":
         first = feed.groupBy(hk, hd).agg(F.min(batch).alias(batch))
         rows = feed.join(first, [hk, hd, batch], "left_semi")
     elif compare == "latest":
-        rows = _changes(feed, batch, hk, hd, order)
+        rows = _changes(feed, batch, hk, hd)
     else:
         raise ValueError("compare must be 'any' or 'latest'")
     return open_version(rows.select(hk, hd, LOAD_DATE, RECORD_SOURCE, *[f"`{c}`" for c in payload]))
@@ -97,15 +119,18 @@ def replay_eff_satellite(
     link_hk: str,
     driving_hk: str,
     hub_hks: Sequence[str],
-    order: Sequence[str] = (LOAD_DATE,),
 ) -> DataFrame:
-    """Effectivity satellite after all loads, open; one relationship per driving
-    key and batch (the last by ``order``)."""
-    return _changes(feed, batch, driving_hk, link_hk, order).select(
+    """Effectivity satellite after all loads, open: every relationship that
+    wasn't active when its batch was loaded. After each load those at the
+    driving key's latest start date are active."""
+    given = feed
+    for column in (link_hk, *hub_hks):
+        given = given.where(F.col(column).isNotNull())
+    return _changes(given, batch, driving_hk, link_hk).select(
         link_hk,
         *hub_hks,
         F.col(LOAD_DATE).alias(START_DATE),
         F.lit(None).cast("timestamp_ntz").alias(END_DATE),
         F.lit("Y").alias(IS_ACTIVE),
         RECORD_SOURCE,
-    )
+    ).distinct()

@@ -282,7 +282,7 @@ def event_feed(events: DataFrame) -> DataFrame:
         events.select(
             F.col("user_id").cast("string").alias("user_code"),
             "event_type",
-            money("value").alias("value"),
+            "value",
             F.col("ts").alias(LOAD_DATE),
             F.lit("events").alias(RECORD_SOURCE),
             F.to_date("ts").alias("batch"),
@@ -301,8 +301,3 @@ def event_feed(events: DataFrame) -> DataFrame:
 
 
 EVENT_PAYLOAD = ("event_type", "value")
-
-
-def daily_feed(feed: DataFrame) -> DataFrame:
-    """One row per user and day: the day's last event."""
-    return replay.last_of_batch(feed, "batch", "hk_user", [LOAD_DATE])

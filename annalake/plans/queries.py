@@ -32,7 +32,7 @@ from annalake.plans.batches import Vault, VaultSpec
 from annalake.plans.entity import EntitySpec
 from annalake.session import tune
 from annalake.sources import readers, sinks
-from annalake.specs import IS_CURRENT, LOAD_DATE, RECORD_SOURCE, START_DATE
+from annalake.specs import END_DATE, IS_CURRENT, LOAD_DATE, RECORD_SOURCE, START_DATE
 from annalake.specs import EffSatelliteSpec, HubSpec, SatelliteSpec
 from annalake.streaming.loads import feed_stream, stream_loads
 
@@ -273,6 +273,17 @@ def _user_versions(w: fx.Warehouse) -> DataFrame:
     return w.keep("sat_user", sat_replay_latest(w))
 
 
+@query
+def sat_reload(w: fx.Warehouse) -> DataFrame:
+    """All orders of a customer's last day are tied versions; loading them again adds nothing."""
+    rows = _order_versions(w).withColumn("hd_user", F.sha2(F.col("order_key").cast("string"), 256)).withColumn(RECORD_SOURCE, F.lit("orders"))
+    args = ("hk_user", "hd_user", ("order_key", "state"))
+    first = w.keep("first", loads.load_satellite(rows, *args))
+    newest = loads.latest_diff(first, "hk_user", "hd_user")
+    again = loads.load_satellite(rows.join(newest, ["hk_user", "hd_user"], "left_semi"), *args, first, "latest")
+    return first.unionByName(again).drop(END_DATE)
+
+
 @query
 def hub_replay(w: fx.Warehouse) -> DataFrame:
     return replay.replay_hub(_events(w), "batch", "hk_user", ["user_code"])
@@ -354,7 +365,7 @@ def sat_closed_ties(w: fx.Warehouse) -> DataFrame:
 
 def _late_state(w: fx.Warehouse) -> DataFrame:
     """Versions of days 16 to 20 arrive after all others were closed."""
-    rows = w.keep("daily", loads.open_version(fx.daily_feed(_events(w)).select("hk_user", *fx.EVENT_PAYLOAD, LOAD_DATE)))
+    rows = w.keep("versions", loads.open_version(_events(w).select("hk_user", *fx.EVENT_PAYLOAD, LOAD_DATE)))
     late = F.to_date(LOAD_DATE).between("2024-01-16", "2024-01-20")
     on_time = history.close_versions(rows.where(~late), "hk_user")
     state = w.keep("sat_user_state", on_time.unionByName(rows.where(late)))
@@ -619,7 +630,10 @@ def reconciliation(w: fx.Warehouse) -> DataFrame:
 
 @query
 def table_stats(w: fx.Warehouse) -> DataFrame:
-    names = ("customer", "supplier", "nation", "orders", "events", "documents", "conversations")
+    names = (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+        "pages", "benchmark", "labels", "conversations",
+    )
     return quality.table_stats({n: w.table(n) for n in names})
 
 
@@ -791,7 +805,7 @@ def upsert(w: fx.Warehouse) -> DataFrame:
     )
     half = F.lit(HALF_TIME).cast("timestamp_ntz")
     start = rows.where(F.col("updated_at") < half).groupBy("user_id").agg(
-        F.max_by("state", "updated_at").alias("state"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
+        F.max_by("state", F.struct("updated_at", "state")).alias("state"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
     )
     return logs.upsert(start, rows.where(F.col("updated_at") >= half), ["user_id"])
 
@@ -803,7 +817,8 @@ def recent_messages(w: fx.Warehouse) -> DataFrame:
 
 @query
 def session_messages(w: fx.Warehouse) -> DataFrame:
-    return logs.recent_per_key(w.table("conversations"), "conv_id", [F.col("turn").asc()], 100)
+    """Every message of each session, in order."""
+    return logs.recent_per_key(w.table("conversations"), "conv_id", [F.col("turn").asc()])
 
 
 @query
@@ -856,12 +871,11 @@ USER_VAULT = VaultSpec(
 
 
 def _weekly(w: fx.Warehouse) -> list[DataFrame]:
-    """The last event of each user and week, one staged batch per week."""
+    """All events, one staged batch per week."""
     feed = _events(w).withColumn("batch", F.to_date(F.date_trunc("week", LOAD_DATE)))
-    reduced = replay.last_of_batch(feed, "batch", "hk_user", [LOAD_DATE])
     path = f"{w.folder}/weeks"
-    sinks.write_overwrite(reduced, path, partition_by=["batch"])
-    stored = sinks.read_current(w.spark, path, schema=reduced.schema)
+    sinks.write_overwrite(feed, path, partition_by=["batch"])
+    stored = sinks.read_current(w.spark, path, schema=feed.schema)
     weeks = [r[0] for r in stored.select("batch").distinct().orderBy("batch").collect()]
     return [stored.where(F.col("batch") == week) for week in weeks]
 

@@ -135,17 +135,29 @@ sat_n AS (
   FROM stg_n)
 """
 
+def loads_in_turn(name: str, source: str, batches: list[str], key: str, value: str) -> str:
+    """A table after each batch in turn: rows whose value isn't at the key's newest load date."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT * FROM {source} WHERE batch = {batches[0]})"]
+    for i, batch in enumerate(batches[1:], 1):
+        steps.append(f"""{name}_{i} AS MATERIALIZED (SELECT * FROM {name}_{i - 1} UNION ALL SELECT * FROM {source} s WHERE batch = {batch}
+  AND NOT EXISTS (SELECT 1 FROM {name}_{i - 1} e WHERE e.{key} = s.{key} AND e.{value} = s.{value}
+    AND e.dss_load_date = (SELECT max(n.dss_load_date) FROM {name}_{i - 1} n WHERE n.{key} = s.{key})))""")
+    return ",\n".join([*steps, f"{name} AS (SELECT * FROM {name}_{len(batches) - 1})"])
+
+
+def daily_loads() -> str:
+    """The days of the events and a few more, one batch each."""
+    return loads_in_turn("versions", "feed", [f"DATE '2024-01-01' + {i}" for i in range(35)], "hk_user", "hd_user")
+
+
 EVENTS = f"""
-feed AS (
+feed AS MATERIALIZED (
   SELECT {sha(text('user_id'))} AS hk_user, {sha('event_type')} AS hk_type, CAST(user_id AS VARCHAR) AS user_code,
          {sha("CAST(user_id AS VARCHAR) || '^^' || event_type")} AS hk_link_user_type, {sha('event_type')} AS hd_user,
-         event_type, CAST(value AS DECIMAL(18,2)) AS value, ts AS dss_load_date, 'events' AS dss_record_source,
+         event_type, value, ts AS dss_load_date, 'events' AS dss_record_source,
          CAST(ts AS DATE) AS batch
   FROM events),
-daily AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY hk_user, batch ORDER BY dss_load_date DESC) = 1),
-versions AS (
-  SELECT * FROM daily
-  QUALIFY coalesce(lag(hd_user) OVER (PARTITION BY hk_user ORDER BY batch), '') <> hd_user),
+{daily_loads()},
 closed AS (
   SELECT v.*, (SELECT min(t.dss_load_date) FROM versions t
                WHERE t.hk_user = v.hk_user AND t.dss_load_date > v.dss_load_date) AS dss_end_date
@@ -164,7 +176,7 @@ OPEN_COLUMNS = """hk_user, hd_user, dss_load_date, dss_record_source, event_type
   'Y' AS dss_is_current, CAST(NULL AS TIMESTAMP) AS dss_end_date"""
 
 LATE = """
-late_rows AS (SELECT *, batch BETWEEN DATE '2024-01-16' AND DATE '2024-01-20' AS late FROM daily),
+late_rows AS (SELECT *, batch BETWEEN DATE '2024-01-16' AND DATE '2024-01-20' AS late FROM feed),
 late_state AS (
   SELECT hk_user, event_type, value, dss_load_date, late,
          CASE WHEN late THEN (SELECT min(t.dss_load_date) FROM late_rows t
@@ -386,9 +398,8 @@ WHERE found IS NOT NULL"""
 PIT_USER = pit_naive("user_hub", "versions", "SELECT DISTINCT CAST(dss_load_date AS DATE) AS snapshot_date FROM versions", "sat_user").format(hk="hk_user")
 
 WEEKS = f"""
-weeks AS (
-  SELECT *, CAST(date_trunc('week', dss_load_date) AS DATE) AS week FROM feed
-  QUALIFY row_number() OVER (PARTITION BY hk_user, week ORDER BY dss_load_date DESC) = 1)
+weeks AS MATERIALIZED (SELECT * REPLACE (CAST(date_trunc('week', dss_load_date) AS DATE) AS batch) FROM feed),
+{loads_in_turn("changes", "weeks", [f"DATE '2024-01-01' + {7 * i}" for i in range(6)], "hk_user", "hk_link_user_type")}
 """
 
 
@@ -407,7 +418,7 @@ SELECT hk_company, hk_country, hk_role, hk_link_company_role, hk_link_company_co
   {sha("c_custkey || '^^' || c_nationkey")} AS hk_link FROM customer"""
     wide = "unhex(regexp_replace(hex(c_custkey || '^^' || c_name), '(..)', '\\100', 'g'))"
     sql["hash_key_utf16"] = f"SELECT c_custkey, {sha(wide)} AS hk_company FROM customer"
-    diff = ["o_orderstatus", "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)",
+    diff = ["o_orderstatus", "CAST(o_totalprice AS VARCHAR)",
             "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')", "o_orderpriority"]
     sql["hash_diff_nosep"] = f"""SELECT o_orderkey, {sha(' || '.join(diff))} AS hd_plain,
   {sha(" || '^^' || ".join(diff))} AS hd_separated FROM orders"""
@@ -445,11 +456,13 @@ SELECT hk_company, hd_company_client_ext, dss_load_date, dss_record_source, exem
     sql["sat_replay_any"] = f"""WITH {EVENTS} SELECT {OPEN_COLUMNS} FROM feed f
 WHERE batch = (SELECT min(batch) FROM feed g WHERE g.hk_user = f.hk_user AND g.hd_user = f.hd_user)"""
     sql["sat_replay_latest"] = f"WITH {EVENTS} SELECT {OPEN_COLUMNS} FROM versions"
+    sql["sat_reload"] = f"""WITH {EVENTS} SELECT hk_user, lower(sha256(CAST(order_key AS VARCHAR))) AS hd_user, dss_load_date,
+  'orders' AS dss_record_source, order_key, state, 'Y' AS dss_is_current FROM order_versions"""
     sql["hub_replay"] = f"WITH {EVENTS} SELECT * FROM user_hub"
     sql["link_replay"] = f"""WITH {EVENTS} SELECT DISTINCT hk_link_user_type, hk_user, hk_type, dss_load_date, dss_record_source
 FROM feed f WHERE batch = (SELECT min(batch) FROM feed g WHERE g.hk_link_user_type = f.hk_link_user_type)"""
     product = f"""{sha('CAST(p_partkey AS VARCHAR)')} AS hk_product"""
-    diff = "p_name || p_type || CAST(p_size AS VARCHAR) || CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR)"
+    diff = "p_name || p_type || CAST(p_size AS VARCHAR) || CAST(p_retailprice AS VARCHAR)"
     loaded = f"{NOW} AS dss_load_date, 'portal' AS dss_record_source"
     sql["hub_product"] = f"SELECT {product}, p_partkey AS object_id, {loaded} FROM part"
     sql["sat_product"] = f"""SELECT {product}, {sha(diff)} AS hd_product, {loaded}, p_name AS name, p_type AS kind, p_size AS size,
@@ -579,7 +592,7 @@ WHERE s.dss_is_current = 'Y' AND n.name = 'NATION_7'"""
         f"SELECT '{layer}' AS layer, (SELECT count(*) FROM {s}) AS source_rows, (SELECT count(*) FROM {t}) AS vault_rows" for layer, s, t in pairs
     )
     sql["reconciliation"] = f"WITH {COMPANY} SELECT *, vault_rows - source_rows AS difference FROM ({counted})"
-    names = ("customer", "supplier", "nation", "orders", "events", "documents", "conversations")
+    names = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
     sql["table_stats"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in names)
     sql["duplicate_keys"] = f"WITH {COMPANY} SELECT hk_company, count(*) AS n_records FROM sat_c GROUP BY hk_company HAVING count(*) > 1"
     sql["first_and_last_load"] = f"""WITH {EVENTS} SELECT hk_user, min(dss_load_date) AS first_load, max(dss_load_date) AS last_load
@@ -626,9 +639,9 @@ FROM hits JOIN documents ON doc_id = vec_id GROUP BY query_id"""
     max(ts) AS updated_at, max(ts) AS newest FROM events GROUP BY user_id)
 SELECT user_id, state, coalesce(early, newest) AS created_at, updated_at FROM halves"""
     message = "conv_id, turn, role, text"
-    for name, order, n in (("recent_messages", "turn DESC", 3), ("session_messages", "turn", 100)):
+    for name, order, n in (("recent_messages", "turn DESC", 3), ("session_messages", "turn", None)):
         sql[name] = f"""SELECT {message}, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS INTEGER) AS position
-FROM conversations QUALIFY position <= {n}"""
+FROM conversations""" + (f" QUALIFY position <= {n}" if n else "")
     sql["latest_status"] = """WITH last AS (
   SELECT user_id, first(event_type ORDER BY ts DESC, event_id DESC) AS status FROM events
   WHERE event_type IN ('purchase', 'error') GROUP BY user_id)
@@ -646,12 +659,11 @@ SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM walk GROUP BY node
     sql["neighbours"] = f"WITH {EDGES} SELECT DISTINCT src AS node FROM edges WHERE dst = 'nation:7'"
     # loads kept on storage
     sql["batches_satellite"] = f"""WITH {EVENTS}, {WEEKS},
-first AS (SELECT * FROM weeks w WHERE week = (SELECT min(week) FROM weeks x WHERE x.hk_user = w.hk_user AND x.hd_user = w.hd_user)),
+first AS (SELECT * FROM weeks w WHERE batch = (SELECT min(batch) FROM weeks x WHERE x.hk_user = w.hk_user AND x.hd_user = w.hd_user)),
 ended AS (SELECT f.*, (SELECT min(t.dss_load_date) FROM first t WHERE t.hk_user = f.hk_user
   AND t.dss_load_date > f.dss_load_date) AS dss_end_date FROM first f)
 SELECT {CLOSED_COLUMNS} FROM ended"""
     sql["batches_eff_satellite"] = f"""WITH {EVENTS}, {WEEKS},
-changes AS (SELECT * FROM weeks QUALIFY coalesce(lag(hk_link_user_type) OVER (PARTITION BY hk_user ORDER BY week), '') <> hk_link_user_type),
 ended AS (SELECT f.*, (SELECT min(t.dss_load_date) FROM changes t WHERE t.hk_user = f.hk_user
   AND t.dss_load_date > f.dss_load_date) AS dss_end_date FROM changes f)
 SELECT {relation}, {flag} FROM ended"""

@@ -51,7 +51,7 @@ def test_rendering_of_numbers_times_and_flags(spark):
     )
     texts = df.select(*[hashing.text_of(df, c).alias(c) for c in df.columns]).first()
     assert texts.asDict() == {
-        "d": "10000000000.00",
+        "d": "1.0E10",
         "n": "1.500000000000000000",
         "t": "2024-01-02 03:04:05.000060",
         "b": "1",
@@ -59,6 +59,11 @@ def test_rendering_of_numbers_times_and_flags(spark):
     }
 
 
+def test_doubles_hash_in_full(spark):
+    df = spark.createDataFrame([(0.001,), (0.004,), (1e17,), (0.1 + 0.2,), (0.3,)], "d double")
+    assert df.select(hashing.hash_diff(df, ["d"]).alias("h")).distinct().count() == 5
+
+
 def test_resolve_key(spark):
     df = spark.createDataFrame([(None,), (5,), (99,)], "id bigint")
     keys = df.select(hashing.resolve_key(F.col("id"), F.col("id") < 10, hashing.hash_key(df, "id")).alias("k"))
