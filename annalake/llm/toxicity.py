@@ -116,48 +116,68 @@ def _empty(part: int) -> np.ndarray:
     return np.zeros(1 << TABLE_BITS[part // 9 - (part % 3 > 0)], np.float32)
 
 
-def _tables(counted: DataFrame) -> DataFrame:
-    """(order, label, kind, bucket-wise sums as one array) of one model; label -1
-    where the classes share. Kinds: counts of n-grams, and of their contexts the
-    sum and the number of different followers."""
-    top = counted.groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    parts, level = [], top
+def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(model, part, bucket, n): what n-grams add to the tables. A context's sum and
+    its number of followers add up over n-grams too, as each is there once."""
+    keys: list[np.ndarray] = []
+    values: list[np.ndarray] = []
+    types = {"model": pa.int32(), "part": pa.int32(), "bucket": pa.int32(), "n": pa.float64()}
+
+    def summed() -> pa.RecordBatch:
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        part = (found >> 20) & 255
+        return arrow_batch({"model": found >> 28, "part": part, "bucket": found & (1 << 20) - 1, "n": np.bincount(at, weights=np.concatenate(values))}, types)
+
+    for batch in batches:
+        model, order, label, n = (np.array(batch.column(c)).astype(np.int64) for c in ("model", "order", "label", "n"))
+        gram = np.array(batch.column("gram")).view(_U)
+        for kind in range(3):
+            grams, length = (gram >> _U(8) if kind else gram), order - (kind > 0)
+            bucket = np.zeros(len(gram), np.int64)
+            for one in np.unique(length).tolist():
+                bucket[length == one] = _bucket(grams[length == one], one)
+            keys.append(model << 28 | _part(order, label, kind) << 20 | bucket)
+            values.append(np.ones(len(n)) if kind == 2 else n)
+        if len(keys) > 6000:
+            yield summed()
+            keys, values = [], []
+    if keys:
+        yield summed()
+
+
+def _dense(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        model, part, bucket, n = (np.array(batch.column(c)) for c in ("model", "part", "bucket", "n"))
+        for key in set(zip(model.tolist(), part.tolist(), strict=True)):
+            own = (model == key[0]) & (part == key[1])
+            if key not in tables:
+                tables[key] = _empty(key[1])
+            tables[key][bucket[own]] = n[own]
+    for (one, part), table in tables.items():
+        yield arrow_batch({"model": [one], "part": [part], "table": [table.tobytes()]}, {"model": pa.int32(), "part": pa.int32(), "table": pa.binary()})
+
+
+def _models(counted: DataFrame, folder: str) -> list[Models]:
+    """Models of the first half of the rows, and of all of them.
+
+    Lower orders count the different n-grams that end in theirs, level by level;
+    at ``SHARED`` the classes' n-grams become one."""
+    both = counted.withColumn("model", F.explode(F.when(F.col("fold") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    level = both.groupBy("model", "label", "gram").agg(F.sum("n").alias("n"))
+    placed = None
     for order in range(ORDER, 0, -1):
-        context = F.shiftrightunsigned("gram", 8)
-        by_context = level.groupBy("label", context.alias("gram"))
-        parts += [level.select(F.lit(order).alias("order"), "label", F.lit(0).alias("kind"), "gram", "n")]
-        parts += [by_context.agg(F.sum("n").alias("n")).select(F.lit(order), "label", F.lit(1), "gram", "n"), by_context.agg(F.count(F.lit(1)).alias("n")).select(F.lit(order), "label", F.lit(2), "gram", "n")]
+        level = stored(level, f"{folder}/order={order}")
+        part = level.select("model", F.lit(order).alias("order"), "label", "gram", "n")
+        placed = part if placed is None else placed.union(part)
         if order - 1 == SHARED:
-            level = level.select(F.lit(-1).alias("label"), "gram").distinct()
+            level = level.select("model", F.lit(-1).alias("label"), "gram").distinct()
         lower = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
-        level = level.groupBy("label", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.union(part)
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"part": pa.int32(), "bucket": pa.int32(), "n": pa.int64()}
-        for batch in batches:
-            order, label, kind = (np.array(batch.column(c)) for c in ("order", "label", "kind"))
-            gram = np.array(batch.column("gram")).view(_U)
-            bucket = np.zeros(len(gram), np.int64)
-            length = order - (kind > 0)
-            for one in np.unique(length):
-                bucket[length == one] = _bucket(gram[length == one], int(one))
-            yield arrow_batch({"part": _part(order, label, kind), "bucket": bucket, "n": np.array(batch.column("n"))}, types)
-
-    placed = union.mapInArrow(place, "part int, bucket int, n long").groupBy("part", "bucket").agg(F.sum("n").cast("float").alias("n"))
-
-    def dense(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            part, bucket, n = (np.array(batch.column(c)) for c in ("part", "bucket", "n"))
-            for one in np.unique(part):
-                tables.setdefault(int(one), _empty(int(one)))[bucket[part == one]] = n[part == one]
-        for one, table in tables.items():
-            yield arrow_batch({"part": [one], "table": [table.tobytes()]}, {"part": pa.int32(), "table": pa.binary()})
-
-    return placed.repartition("part").mapInArrow(dense, "part int, table binary")
+        level = level.groupBy("model", "label", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    sums = placed.mapInArrow(_place, "model int, part int, bucket int, n double").groupBy("model", "part", "bucket").agg(F.sum("n").alias("n"))
+    dense = sums.repartition("model", "part").mapInArrow(_dense, "model int, part int, table binary").toArrow()
+    found = {(m, p): np.frombuffer(t.as_buffer(), np.float32) for m, p, t in zip(dense["model"].to_pylist(), dense["part"].to_pylist(), dense["table"], strict=True)}
+    return [Models.of({part: table for (one, part), table in found.items() if one == m}) for m in (0, 1)]
 
 
 @dataclass(frozen=True)
@@ -166,6 +186,17 @@ class Models:
 
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+    @classmethod
+    def of(cls, found: dict[int, np.ndarray]) -> Models:
+        tables = {}
+        for order in range(1, ORDER + 1):
+            for label in (-1,) if order <= SHARED else (0, 1):
+                counts, sums, kinds = (found[p] if (p := _part(order, label, kind)) in found else _empty(p) for kind in range(3))
+                seen = sums > 0
+                inverse = np.where(seen, 1 / np.where(seen, sums, 1), 0).astype(np.float32)
+                tables[order, label] = counts, inverse, np.where(seen, np.minimum(DISCOUNT * kinds * inverse, 1), 1).astype(np.float32)
+        return cls(tables)
+
     def ratios(self, grams: list[np.ndarray]) -> np.ndarray:
         """At each byte log P(toxic) - log P(ordinary)."""
         size = len(grams[0])
@@ -183,20 +214,6 @@ class Models:
         return np.log(each[1]) - np.log(each[0])
 
 
-def _models(counted: DataFrame) -> Models:
-    found: dict[int, np.ndarray] = {}
-    for row in _tables(counted).toLocalIterator():
-        found[row["part"]] = np.frombuffer(row["table"], np.float32)
-    tables = {}
-    for order in range(1, ORDER + 1):
-        for label in (-1,) if order <= SHARED else (0, 1):
-            counts, sums, kinds = (found[p] if (p := _part(order, label, kind)) in found else _empty(p) for kind in range(3))
-            seen = sums > 0
-            inverse = np.where(seen, 1 / np.where(seen, sums, 1), 0).astype(np.float32)
-            tables[order, label] = counts, inverse, np.where(seen, np.minimum(DISCOUNT * kinds * inverse, 1), 1).astype(np.float32)
-    return Models(tables)
-
-
 def figures(models: Models, texts: pa.Array) -> np.ndarray:
     """For each text the mean ratio, and the highest mean of the windows of each width."""
     grams, starts, ends = _grams(texts)
@@ -264,20 +281,21 @@ class Toxicity:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Learn from the rows of ``docs`` that ``labels`` marks. The halves are dealt by a hash of the id."""
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label IN (0, 1)").groupBy("_id").agg(F.max("label").alias("label"))
-    rows = texts_of(docs, id_col, text_col).join(marks, F.col("doc_id") == F.col("_id"))
+    # Labels grow with the texts: the same join whatever their number.
+    rows = texts_of(docs, id_col, text_col).join(marks.hint("merge"), F.col("doc_id") == F.col("_id"))
     folder = scratch(docs.sparkSession)
     learn = stored(rows.select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")), f"{folder}/learn")
     counted = stored(learn.select("fold", "label", "text").mapInArrow(_count, "fold int, label int, gram long, n long").groupBy("fold", "label", "gram").agg(F.sum("n").alias("n")), f"{folder}/counted")
     if learn.select("label").distinct().count() < 2:
         return Toxicity(None, None)
-    half = _models(counted.where("fold = 0"))
-    other = learn.where("fold = 1").select("text", F.col("label").cast("long").alias("label"), F.xxhash64("doc_id", F.lit(1)).alias("key"))
-    sample = other.orderBy("key").limit(CALIBRATION_ROWS) if other.count() > CALIBRATION_ROWS else other
+    half, whole = _models(counted, f"{folder}/levels")
+    other = learn.where("fold = 1").withColumn("key", F.xxhash64("doc_id", F.lit(1)))
+    last = other.select("key").orderBy("key").limit(CALIBRATION_ROWS).agg(F.max("key")).first()[0]
+    sample = other.where(F.col("key") <= F.lit(last)).select("text", F.col("label").cast("long").alias("label"))
     found = _scored(sample, half, "label").toPandas().to_numpy()
-    del half
     if len(np.unique(found[:, 0])) < 2:
         return Toxicity(None, None)
-    return Toxicity(_models(counted), fit_curve(found[:, 1:], found[:, 0]))
+    return Toxicity(whole, fit_curve(found[:, 1:], found[:, 0]))
 
 
 def detect(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
