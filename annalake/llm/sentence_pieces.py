@@ -8,9 +8,10 @@ than the longest of the vocabulary, so only so many boundaries can still be
 extended; as soon as the paths from all of them go through one boundary,
 everything before it is final: its ids are committed and forgotten.
 
-Where a run of blanks begins, no piece of the model reaches across (checked when
-the model is loaded), so all paths meet there. Texts are cut at these places, a
-task encodes each different part once, and keeps the ids.
+Where two characters stand side by side that no piece of the model has side by
+side, no piece reaches across, so all paths meet there: before a run of blanks,
+say. Texts are cut at these places, a task encodes each different part once, and
+keeps the ids.
 
 Results equal the library's for the same model. Defined results: a NULL text
 counts as empty and has no ids. Texts are taken whole, whatever their length;
@@ -49,10 +50,15 @@ class PieceModel:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
-        if any(BLANK in piece.lstrip(BLANK) for piece in self.ids):
-            raise ValueError("a piece reaches across the start of a run of blanks")
         if set(self.bytes) != set(range(256)):
             raise ValueError("the model has no pieces for bytes")
+        #: Bytes that follow each other in some piece, blanks marked or not.
+        self.adjacent = np.zeros((256, 256), bool)
+        for piece in self.ids:
+            for form in (piece.replace(BLANK, " ").encode(), piece.encode()):
+                self.adjacent[list(form[:-1]), list(form[1:])] = True
+        mark = BLANK.encode()
+        self.adjacent[[32, mark[-1]], [mark[0], 32]] = True
         #: What decoding a piece gives.
         self.decoded = [bytes([int(self.pieces[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else self.pieces[i].replace(BLANK, " ").encode() for i in range(size)]
         self._runs: dict[str, list[tuple[float, str, str]] | None] = {}
@@ -110,6 +116,26 @@ class PieceModel:
         return [found] if found is not None else [self.bytes[x] for x in piece.encode("utf-8", "surrogatepass")]
 
 
+def extend(model: PieceModel, text: str, last: list[str]) -> None:
+    """Append the last piece of the path to each further boundary of ``text``."""
+    ids, known, longest = model.ids, model._beside, model.longest
+    for end in range(len(last), len(text) + 1):
+        for start in range(max(0, end - longest), end):
+            piece = text[start:end]
+            if piece not in ids and start < end - 1:
+                continue
+            left = last[start]
+            if left:
+                fits = known.get((left, piece))
+                if fits is None:
+                    fits = model.beside(left, piece)
+            else:
+                fits = model.stands(piece)
+            if fits:
+                last.append(piece)
+                break
+
+
 class Search:
     """Takes characters as they come and gives ids as soon as they are final."""
 
@@ -119,18 +145,12 @@ class Search:
         self.last = [""]  # the last piece of the path to each boundary; at 0 the last committed piece
 
     def feed(self, characters: str) -> Iterator[list[int]]:
-        model, last = self.model, self.last
-        for c in characters:
-            self.text += c
-            end = len(self.text)
-            for n in range(min(model.longest, end), 0, -1):
-                piece = self.text[end - n :]
-                if (n == 1 or piece in model.ids) and (model.beside(last[end - n], piece) if last[end - n] else model.stands(piece)):
-                    last.append(piece)
-                    break
-            if end >= 4 * model.longest:
+        window = 4 * self.model.longest
+        for i in range(0, len(characters), window):
+            self.text += characters[i : i + window]
+            extend(self.model, self.text, self.last)
+            if len(self.text) >= window:
                 yield from self._commit()
-                last = self.last
 
     def _commit(self) -> Iterator[list[int]]:
         """Where the paths from all boundaries that can still be extended meet, all before is final."""
@@ -173,11 +193,9 @@ class SentenceEncoder(PieceCache):
         self.decoded_first = np.cumsum(self.decoded_length) - self.decoded_length
 
     def begins(self, data: np.ndarray, final: np.ndarray) -> np.ndarray:
-        """Parts begin with a run of blanks or of the characters that mark them."""
-        found, last = data == 32, data == 32
-        marked = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
-        found[marked] = last[marked + 2] = True
-        found[1:] &= ~last[:-1]
+        """Parts begin where a character starts that no piece has after the one before."""
+        found = np.zeros(len(data), bool)
+        found[1:] = ~self.model.adjacent[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80)
         return found
 
     def ids_of(self, parts: list[str], at_start: list[bool]) -> list[list[int]]:
