@@ -168,8 +168,8 @@ def _search(rows: DataFrame, k: int, share: float, every: int, folder: str) -> D
     """rows: (vec_id, vector), vectors of one length."""
     # An entry keeps one id more than is asked for, as a query leaves out its own.
     same = W.partitionBy("vector").orderBy("vec_id")
-    few = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    entries = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0])
+    few = rows.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1)
+    entries = few.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0])
     entries = stored(entries.select("entry", "ids", "vector"), f"{folder}/entries")
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("vector").toArrow()
     ranked = _ranked(entries, Grid(_matrix(sample.column("vector").combine_chunks())), folder)

@@ -228,12 +228,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id, with all their columns. Of rows that repeat an id and its text one stays.
     Rows without words or without an id all stay."""
     found = stored(jaccard_components(docs, id_col, text_col, width).where("n_shingles > 0 AND doc_id IS NOT NULL"), f"{scratch(docs.sparkSession)}/found")
-    own = (F.col(f"`{id_col}`").cast("long") == F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_text_hash"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash")).distinct()
-    left = docs.join(gone, own, "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id", "text_hash").count().where("count > 1")
-    again = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"))
+
+    def own(of: DataFrame) -> Column:
+        """Columns are taken from their frames: the documents may have any names."""
+        return (docs[f"`{id_col}`"].cast("long") == of["doc_id"]) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == of["text_hash"])
+
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    left = docs.join(gone, own(gone), "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     if again.isEmpty():
         return left
-    repeated = left.join(again, own, "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(again, own, "left_anti").unionByName(repeated)
+    repeated = left.join(again, own(again), "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(again, own(again), "left_anti").unionByName(repeated)
