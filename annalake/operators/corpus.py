@@ -125,13 +125,17 @@ def reindex_plan(docs: DataFrame, index: DataFrame, id_col: str, text_col: str)
 def incremental_reindex(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, **chunking_options) -> DataFrame:
     """The index after a run: unchanged documents keep their chunks, changed
     ones get theirs replaced, new ones are added. Chunks of documents that are
-    not in ``docs`` stay. Only new and changed texts are chunked."""
+    not in ``docs`` stay. Only new and changed texts are chunked; columns that
+    the index has besides (a vector, metadata) are NULL in their chunks."""
     plan = reindex_plan(docs, index, id_col, text_col)
     stale = plan.where("action = 'changed'").select(id_col)
     todo = docs.join(plan.where("action <> 'unchanged'").select(id_col), id_col, "left_semi")
     # One document may own a large part of the chunks.
     kept = absent_from(index, stale, [id_col])
-    return kept.unionByName(index_documents(todo, id_col, text_col, **chunking_options).select(*index.columns))
+    made = index_documents(todo, id_col, text_col, **chunking_options)
+    # What an index holds besides, vectors say, new chunks don't have yet.
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields if f.name not in made.columns]
+    return kept.unionByName(made.select("*", *rest).select(*[f"`{c}`" for c in index.columns]))
 
 
 def chunk_stats(index: DataFrame, id_col: str) -> DataFrame:

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -24,25 +22,9 @@ THRESHOLD = 0.5
 
 # Similarities equal to this many decimals count as ties, broken by id.
 TIE_DECIMALS = 9
-# Queries travel to the tasks as one matrix; more come in further blocks.
-QUERY_BLOCK_VALUES = 4_000_000
-
-
-def _blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Queries in blocks of a bounded number of vector components."""
-    ids: list = []
-    vectors: list[np.ndarray] = []
-    size = 0
-    rows = queries.select(query_id, vector).where(F.col(vector).isNotNull()).toLocalIterator()
-    for row_id, values in rows:
-        if ids and size + len(values) > QUERY_BLOCK_VALUES:
-            yield ids, vectors
-            ids, vectors, size = [], [], 0
-        ids.append(row_id)
-        vectors.append(np.asarray(values, dtype=np.float64))
-        size += len(values)
-    if ids:
-        yield ids, vectors
+# About so many queries and items meet in one tile.
+TILE_QUERIES = 512
+TILE_ITEMS = 8192
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -51,13 +33,51 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)[:, None]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(scores) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= kth
-        scores, ids = scores[near], ids[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+def _scores(queries: pa.ListArray, items: pa.ListArray) -> np.ndarray:
+    """Cosine of every query with every item; 0 where the lengths differ."""
+    scores = np.zeros((len(queries), len(items)))
+    lengths = [pc.list_value_length(a).to_numpy(zero_copy_only=False) for a in (queries, items)]
+    for length in np.intersect1d(*lengths):
+        if length:
+            rows = [np.flatnonzero(own == length) for own in lengths]
+            left, right = (
+                pc.fill_null(pc.list_flatten(a.take(pa.array(r))), 0.0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(length))
+                for a, r in zip((queries, items), rows, strict=True)
+            )
+            scores[np.ix_(*rows)] = _unit(left) @ _unit(right).T
+    return scores
+
+
+def _best(table: pa.Table, k: int, threshold: float | None) -> pa.Table:
+    """The ``k`` best items of a tile for each of its queries, ties by item."""
+    table = table.combine_chunks()
+    is_query = pc.is_null(table["item"])
+    queries = table.filter(is_query)
+    items = table.filter(pc.invert(is_query)).sort_by("item")
+    vectors = [t["vector"].combine_chunks() for t in (queries, items)]
+    if not len(queries) or not len(items):
+        rows = columns = np.zeros(0, np.int64)
+        scores = np.zeros(0)
+    else:
+        all_scores = _scores(*vectors)
+        wanted = np.ones(all_scores.shape, bool) if threshold is None else all_scores >= threshold
+        all_scores = np.round(all_scores, TIE_DECIMALS)
+        place = max(all_scores.shape[1] - k, 0)
+        kth = np.partition(np.where(wanted, all_scores, -np.inf), place, axis=1)[:, place]
+        rows, columns = np.nonzero(wanted & (all_scores >= kth[:, None]))
+        order = np.lexsort((columns, -all_scores[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+        first = np.searchsorted(rows, rows)
+        few = np.arange(len(rows)) - first < k
+        rows, columns = rows[few], columns[few]
+        scores = all_scores[rows, columns]
+    return pa.table({"query": queries["query"].take(pa.array(rows)), "item": items["item"].take(pa.array(columns)), "similarity": pa.array(scores, pa.float64())})
+
+
+def _numbered(df: DataFrame, key: Column, tile: int) -> tuple[DataFrame, int]:
+    """Rows dealt by a hash of their key to parts of about ``tile`` rows, and the number of parts."""
+    parts = max(1, -(-df.count() // tile))
+    return df.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(parts))), parts
 
 
 def similarity_search(
@@ -72,91 +92,25 @@ def similarity_search(
 ) -> DataFrame:
     """(query, item, similarity, rank): the ``k`` most similar items per query.
 
-    Brute force and exact. The index is scanned once per block of queries as
-    an Arrow map: every task scores its rows with one matrix product and keeps
-    a running top k per query, so at most k rows per query and task reach the
-    final ranking. Queries are the small side; a set beyond one block is
-    handled block by block, not dropped. Items without a vector are skipped; a
-    zero vector or a vector of another length has similarity 0.
+    Brute force and exact, on executors only: queries and items are dealt to
+    parts by hash, and every pair of parts is a tile of bounded size, scored
+    with one matrix product. A tile returns at most ``k`` rows for each query.
+    The threshold applies to the similarity itself; ties are those of its first
+    decimals. Items without a vector are skipped; a zero vector or a vector of
+    another length has similarity 0.
     """
-    id_type = index.schema[item_id].dataType
-    schema = T.StructType(
-        [
-            T.StructField("_query", T.IntegerType()),
-            T.StructField(item_id, id_type),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-    items = index.select(item_id, item_vector).where(F.col(item_vector).isNotNull())
-    query_type = queries.schema[query_id].dataType
-    spark = index.sparkSession
-    results = []
-    for ids, vectors in _blocks(queries, query_id, query_vector):
-        results.append(_search_block(items, ids, vectors, k, threshold, schema, query_id, query_type))
-    if not results:
-        empty = T.StructType([T.StructField(query_id, query_type), *schema.fields[1:], T.StructField("rank", T.IntegerType())])
-        return spark.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, results)
-
-
-def _search_block(items, ids, vectors, k, threshold, schema, query_id, query_type) -> DataFrame:
-    spark = items.sparkSession
-    item_id = schema.fields[1].name
-    by_length: dict[int, list[int]] = {}
-    for position, vector in enumerate(vectors):
-        by_length.setdefault(len(vector), []).append(position)
-    matrices = {n: (np.array(rows), np.vstack([vectors[r] for r in rows])) for n, rows in by_length.items()}
-    shared = spark.sparkContext.broadcast(matrices)
-    total = len(vectors)
-    floor = -np.inf if threshold is None else threshold
-
-    def score(batch: pa.RecordBatch) -> np.ndarray:
-        column = batch.column(1)
-        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-        scores = np.zeros((batch.num_rows, total))
-        for length, (positions, matrix) in shared.value.items():
-            rows = np.flatnonzero(lengths == length)
-            if length and len(rows):
-                values = pc.list_flatten(column.take(pa.array(rows)))
-                found = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
-                scores[np.ix_(rows, positions)] = _unit(found) @ _unit(matrix).T
-        return np.round(scores, TIE_DECIMALS)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        running: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        id_type = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            id_type = batch.schema.field(0).type
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if keys.dtype == object:
-                keys = keys.astype(str)
-            scores = score(batch)
-            for q in range(total):
-                hit = scores[:, q] >= floor
-                if not hit.any():
-                    continue
-                values, found = scores[hit, q], keys[hit]
-                if q in running:
-                    values = np.concatenate([running[q][0], values])
-                    found = np.concatenate([running[q][1], found])
-                running[q] = _best(values, found, k)
-        if running:
-            queries = np.concatenate([np.full(len(v[0]), q) for q, v in running.items()])
-            found = np.concatenate([v[1] for v in running.values()])
-            values = np.concatenate([v[0] for v in running.values()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(queries, pa.int32()), pa.array(found.tolist(), id_type), pa.array(values, pa.float64())],
-                names=["_query", item_id, "similarity"],
-            )
-
-    order = Window.partitionBy("_query").orderBy(F.col("similarity").desc(), F.col(item_id).asc())
-    ranked = (
-        items.mapInArrow(search, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    )
-    names = spark.createDataFrame(
-        [(i, q) for i, q in enumerate(ids)],
-        T.StructType([T.StructField("_query", T.IntegerType()), T.StructField(query_id, query_type)]),
-    )
-    return ranked.join(names, "_query").select(query_id, item_id, "similarity", "rank")
+    query_type, item_type = queries.schema[query_id].dataType, index.schema[item_id].dataType
+
+    def rows(df: DataFrame, key: str, vector: str) -> DataFrame:
+        return df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{vector}`").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+
+    asked, query_parts = _numbered(rows(queries, query_id, query_vector), F.col("_key"), TILE_QUERIES)
+    held, item_parts = _numbered(rows(index, item_id, item_vector).where("_key IS NOT NULL"), F.col("_key"), TILE_ITEMS)
+    asked = asked.select(F.col("_key").alias("query"), F.lit(None).cast(item_type).alias("item"), "vector", F.col("_own").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(item_parts - 1))).alias("i"))
+    held = held.select(F.lit(None).cast(query_type).alias("query"), F.col("_key").alias("item"), "vector", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"), F.col("_own").alias("i"))
+    schema = T.StructType([T.StructField("query", query_type), T.StructField("item", item_type), T.StructField("similarity", T.DoubleType())])
+    tiles = asked.unionByName(held).groupBy("q", "i")
+    found = tiles.applyInArrow(lambda table: _best(table.select(["query", "item", "vector"]), k, threshold), schema)
+    order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), F.col("item").asc())
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_id), F.col("item").alias(item_id), "similarity", "rank")

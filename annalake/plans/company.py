@@ -13,6 +13,7 @@ from annalake.operators import marts
 from annalake.operators.marts import LinkSource, SatelliteSource
 from annalake.operators.quality import Check
 from annalake.operators.staging import Feed, stage, union_sources
+from annalake.sources.readers import read_seed, write_seed
 from annalake.sources.schemas import CLIENT_SCHEMA, COUNTRY_SCHEMA, PROJECT_SCHEMA, ROLE_SCHEMA
 from annalake.specs import (
     END_DATE,
@@ -154,9 +155,10 @@ def stage_project(feed: DataFrame, spec: StageSpec) -> DataFrame:
     return stage(union_sources([Feed(feed)], PROJECT_SCHEMA), spec)
 
 
-def role_reference(spark: SparkSession) -> DataFrame:
-    """The seed of company roles, three rows."""
-    return spark.createDataFrame(list(ROLES), ROLE_SCHEMA)
+def role_reference(spark: SparkSession, path: str) -> DataFrame:
+    """The seed of company roles, three rows, kept as CSV at ``path``."""
+    write_seed(spark.createDataFrame(list(ROLES), ROLE_SCHEMA), path)
+    return read_seed(spark, path, ROLE_SCHEMA)
 
 
 # -- marts ---------------------------------------------------------------------
@@ -291,5 +293,12 @@ CHECKS: tuple[Check, ...] = (
     *_not_null("v_countries", "object_id", "name", "hk_country"),
     Check("v_countries", "object_id", "unique"),
     Check("v_countries", "hk_country", "unique"),
+    *_not_null("v_company_current", "name", "state"),
+    *_not_null("v_company_extended", "hk_company", "company_id", "company_name"),
+    Check("v_company_extended", "hk_company", "unique"),
+    Check("v_company_extended", "company_id", "unique"),
+    *_not_null("ref_role", "role_code"),
+    Check("ref_role", "role_code", "unique"),
+    *_not_null("ext_company_client", "object_id"),
+    *_not_null("ext_project", "object_id"),
 )
-SATELLITE_FLAGS = (IS_CURRENT, END_DATE)

@@ -270,7 +270,7 @@ class Warehouse:
 
     @cached_property
     def roles(self) -> DataFrame:
-        return c.role_reference(self.spark)
+        return c.role_reference(self.spark, f"{self.folder}/ref_role")
 
 
 # -- events as change feed -------------------------------------------------------

@@ -540,6 +540,19 @@ def mart_country_names(w: fx.Warehouse) -> DataFrame:
     return w.spark.table(name)
 
 
+@query
+def mart_country_view(w: fx.Warehouse) -> DataFrame:
+    """The view in a schema of its own, over a stored table; a view that became obsolete is dropped."""
+    path = f"{w.folder}/v_countries"
+    sinks.write_overwrite(c.country_view(w.hub_country, w.sat_country), path)
+    select = f"SELECT * FROM parquet.`{sinks.current_path(w.spark, path)}`"
+    obsolete = sinks.publish_sql_view(w.spark, select, "v_countries_before", "mart")
+    name = sinks.publish_sql_view(w.spark, select, "v_countries", "mart")
+    sinks.drop_views(w.spark, [obsolete, "mart.v_never_there"])
+    left = w.spark.sql("SHOW VIEWS IN mart").select("viewName")
+    return w.spark.table(name).join(left.where(F.col("viewName") == "v_countries_before"), F.lit(True), "left_anti")
+
+
 @query
 def mart_company_top3(w: fx.Warehouse) -> DataFrame:
     return c.company_top3(w.hub_company, w.sat_company)
@@ -685,6 +698,13 @@ def check_suite(w: fx.Warehouse) -> DataFrame:
         "v_company_top5": c.company_top5(w.hub_company, w.sat_company),
         "v_top10_customers": c.top10_customers(w.hub_company, w.sat_company),
         "v_countries": c.country_view(w.hub_country, w.sat_country),
+        "v_company_current": c.company_current(w.hub_company, w.sat_company),
+        "v_company_extended": c.company_extended(w.hub_company, w.sat_company, w.link_country, w.sat_country),
+        "ref_role": w.roles,
+        "ext_company_client": fx.client_feed(w.table("customer"), fx.order_summary(w.table("orders"))).select("object_id").union(
+            fx.client_redelivery(w.table("customer"), fx.order_summary(w.table("orders"))).select("object_id")
+        ),
+        "ext_project": fx.project_feed(w.table("orders")),
     }
     return quality.run_checks(tables, c.CHECKS)
 
@@ -724,7 +744,7 @@ def _old_index(w: fx.Warehouse) -> DataFrame:
         .join(labels, "doc_id", "left")
         .select("doc_id", F.when(F.col("flagged"), F.concat(F.lit("Draft.\n"), "text")).otherwise(F.col("text")).alias("text"))
     )
-    return corpus.index_documents(old, "doc_id", "text", separator=SEPARATOR)
+    return w.keep("index", corpus.index_documents(old, "doc_id", "text", separator=SEPARATOR))
 
 
 @query
@@ -784,14 +804,19 @@ def similar_threshold(w: fx.Warehouse) -> DataFrame:
     return _search(w, 20, 0.3)
 
 
+MAX_BROADCAST_HITS = 100_000
+
+
 @query
 def context(w: fx.Warehouse) -> DataFrame:
     """Contexts of the label queries; vector n belongs to document n."""
-    hits = _search(w, 5, 0.3)
+    hits = w.keep("hits", _search(w, 5, 0.3))
+    if hits.count() <= MAX_BROADCAST_HITS:  # k rows a query; beyond that Spark chooses the join
+        hits = F.broadcast(hits)
     docs = w.table("documents").select(
         F.col("doc_id").alias("vec_id"), _source_file().alias("source_file"), F.col("lang").alias("section"), F.col("text").alias("content")
     )
-    return corpus.assemble_context(hits.join(docs, "vec_id"), "query_id")
+    return corpus.assemble_context(docs.join(hits, "vec_id"), "query_id")
 
 
 # -- logs and lineage --------------------------------------------------------------------
@@ -898,12 +923,14 @@ def batches_eff_satellite(w: fx.Warehouse) -> DataFrame:
 
 @query
 def stream_satellite(w: fx.Warehouse) -> DataFrame:
-    """Event files loaded as they are found, one load per micro-batch."""
+    """Event files arrive week by week; the stream goes on where it stopped, one load per micro-batch."""
     vault = Vault(w.spark, f"{w.folder}/vault", USER_VAULT)
-    # A pattern serves a single file as well as a folder of files.
-    feed = feed_stream(w.spark, f"{w.sf_dir}/events.parque[t]", w.table("events").schema)
-    running = stream_loads(feed, fx.event_feed, vault, f"{w.folder}/progress")
-    running.awaitTermination()
+    events, arrived = w.table("events"), f"{w.folder}/arrived"
+    week = F.to_date(F.date_trunc("week", "ts"))
+    for (one,) in events.select(week).distinct().orderBy(week).collect():  # as many as the calendar has weeks
+        events.where(week == F.lit(one)).write.mode("append").parquet(arrived)
+        feed = feed_stream(w.spark, arrived, events.schema)
+        stream_loads(feed, fx.event_feed, vault, f"{w.folder}/progress").awaitTermination()
     return vault.satellite(USER_VAULT.satellites[0])
 
 

@@ -79,6 +79,11 @@ def read_current(
     return _reader(spark, schema).parquet(f"{table}/version={versions[-1]}")
 
 
+def current_path(spark: SparkSession, table: str) -> str:
+    """Folder of the latest complete version."""
+    return f"{table}/version={_complete_versions(spark, table)[-1]}"
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """Catalog table bucketed and sorted by its hash key.
 
@@ -116,7 +121,3 @@ def drop_views(spark: SparkSession, names: list[str]) -> None:
         if namespace and not spark.catalog.databaseExists(namespace):
             continue
         spark.sql(f"DROP VIEW IF EXISTS {name}")
-
-
-def row_count(df: DataFrame, alias: str = "n") -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(alias))

@@ -248,13 +248,13 @@ means AS (
   GROUP BY label, pos),
 queries AS (SELECT label AS query_id, list(x ORDER BY pos) AS q FROM means GROUP BY label),
 scored AS (
-  SELECT query_id, vec_id, round(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 9) AS s
-  FROM queries CROSS JOIN embeddings)
+  SELECT query_id, vec_id, round(raw, 9) AS s, raw
+  FROM (SELECT query_id, vec_id, list_cosine_similarity(q, CAST(embedding AS DOUBLE[])) AS raw FROM queries CROSS JOIN embeddings))
 """
 
 
 def ranked(k: int, threshold: float | None) -> str:
-    bound = "" if threshold is None else f"WHERE s >= {threshold}"
+    bound = "" if threshold is None else f"WHERE raw >= {threshold}"
     return f"""SELECT query_id, vec_id, round(s, 6) AS similarity,
       CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank
       FROM scored {bound} QUALIFY rank <= {k}"""
@@ -343,12 +343,24 @@ def checks_sql() -> str:
         *null("v_countries", "country_v", "object_id", "name", "hk_country"),
         uniq("v_countries", "country_v", "object_id"),
         uniq("v_countries", "country_v", "hk_country"),
+        *null("v_company_current", "company_v", "name", "state"),
+        *null("v_company_extended", "extended_v", "hk_company", "company_id", "company_name"),
+        uniq("v_company_extended", "extended_v", "hk_company"),
+        uniq("v_company_extended", "extended_v", "company_id"),
+        *null("ref_role", "roles", "role_code"),
+        uniq("ref_role", "roles", "role_code"),
+        *null("ext_company_client", "(SELECT object_id FROM feed WHERE role_code = 'CLIENT')", "object_id"),
+        *null("ext_project", "(SELECT o_orderkey AS object_id FROM orders)", "object_id"),
     ]
     parts = [
         f"SELECT '{m}' AS model, '{c}' AS column_name, '{t}' AS test, (SELECT count(*) FROM ({q})) AS failures" for m, c, t, q in rows
     ]
     return f"""WITH {COMPANY}, {EXT},
-company_v AS (SELECT h.hk_company, h.object_id, s.name, s.date_created FROM hub_c h
+roles(role_code) AS (VALUES ('CLIENT'), ('CONTRACTOR'), ('SUPPLIER')),
+extended_v AS (SELECT h.hk_company, h.object_id AS company_id, s.name AS company_name FROM hub_c h
+  LEFT JOIN sat_c s ON h.hk_company = s.hk_company AND s.dss_is_current = 'Y' LEFT JOIN link_n l ON l.hk_company = h.hk_company
+  LEFT JOIN sat_n n ON n.hk_country = l.hk_country AND n.dss_is_current = 'Y' WHERE h.object_id > 0),
+company_v AS (SELECT h.hk_company, h.object_id, s.name, CAST(NULL AS VARCHAR) AS state, s.date_created FROM hub_c h
   LEFT JOIN sat_c s ON h.hk_company = s.hk_company AND s.dss_is_current = 'Y' WHERE h.object_id > 0),
 country_v AS (SELECT h.hk_country, h.object_id, s.name FROM hub_n h LEFT JOIN sat_n s USING (hk_country) WHERE h.object_id > 0)
 """ + "\nUNION ALL ".join(parts)
@@ -546,6 +558,7 @@ FROM hub_c h JOIN link_n n ON n.hk_company = h.hk_company JOIN link_r r ON r.hk_
   dss_is_current FROM sat_c WHERE dss_is_current = 'Y'"""
     sql["mart_countries"] = COUNTRY_VIEW
     sql["mart_country_names"] = COUNTRY_VIEW
+    sql["mart_country_view"] = COUNTRY_VIEW
     by_date = "ORDER BY s.date_created ASC NULLS LAST, h.hk_company LIMIT"
     sql["mart_company_top3"] = company_view(TOP3)
     sql["mart_company_top3_described"] = company_view(TOP3, f"{by_date} 3")
@@ -667,8 +680,5 @@ SELECT {CLOSED_COLUMNS} FROM ended"""
 ended AS (SELECT f.*, (SELECT min(t.dss_load_date) FROM changes t WHERE t.hk_user = f.hk_user
   AND t.dss_load_date > f.dss_load_date) AS dss_end_date FROM changes f)
 SELECT {relation}, {flag} FROM ended"""
-    sql["stream_satellite"] = f"""WITH {EVENTS},
-ended AS (SELECT f.*, (SELECT min(t.dss_load_date) FROM feed t WHERE t.hk_user = f.hk_user
-  AND t.dss_load_date > f.dss_load_date) AS dss_end_date FROM feed f)
-SELECT {CLOSED_COLUMNS} FROM ended"""
+    sql["stream_satellite"] = sql["batches_satellite"]
     return sql

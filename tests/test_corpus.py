@@ -171,9 +171,10 @@ def brute_force(queries, data, k, threshold):
 @pytest.mark.parametrize("k,threshold", [(5, 0.5), (7, None), (3, 0.99)])
 def test_search_equals_brute_force(spark, vectors, monkeypatch, k, threshold):
     data, index = vectors
-    queries = [(f"q{i}", data[i * 20]) for i in range(3)]
-    # Small blocks: several scans must give the same answer as one.
-    monkeypatch.setattr(similarity, "QUERY_BLOCK_VALUES", 16)
+    queries = [(f"q{i}", data[i % len(data)]) for i in range(30)]
+    # Many small tiles must give the same answer as one.
+    monkeypatch.setattr(similarity, "TILE_QUERIES", 8)
+    monkeypatch.setattr(similarity, "TILE_ITEMS", 16)
     frame = spark.createDataFrame([(q, v.tolist()) for q, v in queries], "query_id string, embedding array<double>")
     found = similarity.similarity_search(frame, index, k=k, threshold=threshold)
     rows = sorted((r.query_id, r["rank"], r.vec_id, r.similarity) for r in found.collect())
