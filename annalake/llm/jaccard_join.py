@@ -142,25 +142,41 @@ def _between(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = _shared(x, y)
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _verify(batches: Iterable[pa.RecordBatch], levels: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that share prefixes under all further orders, and then link. Each text of a batch is read once."""
     for batch in batches:
+        nodes = [batch.column(c).to_pylist() for c in ("a", "b")]
+        first: dict[int, tuple[int, int]] = {}
+        for side, own in enumerate(nodes):
+            for row, node in enumerate(own):
+                first.setdefault(node, (side, row))
         known: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-
-        def of(node: int, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
-            if node not in known:
-                own = sets(pa.array([text]), width)[0]
-                known[node] = own, [np.sort(prefix(own, levels.value, seed)) for seed in ORDERS[1:]]
-            return known[node]
-
+        for side, column in enumerate(("text_a", "text_b")):
+            wanted = [(node, row) for node, (of, row) in first.items() if of == side]
+            texts = pa.RecordBatch.from_arrays([pa.array([node for node, _ in wanted], pa.int64()), batch.column(column).take(pa.array([row for _, row in wanted], pa.int64()))], names=["node", "text"])
+            for part in text_slices([texts]):
+                for node, own in zip(part.column("node").to_pylist(), sets(part.column("text"), width), strict=True):
+                    known[node] = own, [np.sort(prefix(own, levels.value, seed)) for seed in ORDERS[1:]]
         kept = []
-        for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-            (x, firsts), (y, others) = of(a, text_a), of(b, text_b)
-            if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(firsts, others, strict=True)) and links(x, y):
+        for a, b in zip(*nodes, strict=True):
+            (x, firsts), (y, others) = known[a], known[b]
+            if all(_shared(p, q) for p, q in zip(firsts, others, strict=True)) and links(x, y):
                 kept.append((a, b))
         yield arrow_batch({"a": [k[0] for k in kept], "b": [k[1] for k in kept]}, {"a": pa.int64(), "b": pa.int64()})
 
