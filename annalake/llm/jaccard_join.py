@@ -7,7 +7,9 @@ orders, and only what passes all of them is verified exactly.
 
 Every order puts shingles of frequent counters last (counts of all documents in
 a fixed number of hashed counters, so the broadcast is bounded) and breaks ties
-by a hash of its own. Any order that is the same everywhere loses no pair.
+by a hash of its own. Any order that is the same everywhere loses no pair. Before
+texts are fetched, the numbers of shingles in hashed buckets bound from above
+what two sets can have in common.
 
 Links inside one component needn't all be found to know the component. So each
 posting list first links neighbours only, in two sequences, which is linear in
@@ -36,14 +38,17 @@ from annalake.llm.shingles import WIDTH, mix, seeded, set_digest, sets, shingles
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Hashed counters of shingles, and how many of them travel as one row.
-COUNTERS, BLOCK = 1 << 20, 1 << 14
+COUNTER_BITS = 23
+COUNTERS, BLOCK = 1 << COUNTER_BITS, 1 << 15
 #: Seeds of the global orders; the first one makes candidates, the others filter them.
 ORDERS = (11, 23, 37)
+#: Bits of the sieve for ids, and how many partial ones the driver joins.
+SIEVE, SIEVE_PARTS = 1 << 23, 8
 _U = np.uint64
 
 
 def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(44)).astype(np.int64)
+    return (hashes >> _U(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def prefix(own: np.ndarray, levels: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
@@ -54,43 +59,73 @@ def prefix(own: np.ndarray, levels: np.ndarray, seed: int, percent: int = PERCEN
 
 
 def _describe(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, text_hash, node, n), and of all counters blocks."""
-    counts, waiting, held = np.zeros(COUNTERS, np.uint32), [], 0
-    types = {"doc_id": pa.int64(), "text_hash": pa.int64(), "node": pa.int64(), "n": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
+    """A row for each document (doc_id, text_hash, node, n, spread), and of all counters blocks."""
+    counts, waiting, held = np.zeros(COUNTERS, np.uint16), [], 0
+    types = {"doc_id": pa.int64(), "text_hash": pa.int64(), "node": pa.int64(), "n": pa.int64(), "spread": pa.binary(), "block": pa.int32(), "counts": pa.binary()}
+
+    def add() -> None:
+        found, n = np.unique(np.concatenate(waiting), return_counts=True)
+        counts[found] = np.minimum(counts[found] + n, 65535)  # orders need no more than that
+
     for batch in text_slices(batches):
         found = sets(batch.column("text"), width)
         rows = len(found)
-        yield arrow_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "node": [set_digest(s) if len(s) else None for s in found], "n": [len(s) for s in found], "block": [None] * rows, "counts": [None] * rows}, types)
+        yield arrow_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "node": [set_digest(s) if len(s) else None for s in found], "n": [len(s) for s in found], "spread": [spread(s) for s in found], "block": [None] * rows, "counts": [None] * rows}, types)
         waiting.extend(map(_counter, found))
         held += sum(map(len, found))
-        if held > COUNTERS:
-            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+        if held > 1 << 20:
+            add()
             waiting, held = [], 0
     if held:
-        counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+        add()
     for block in range(COUNTERS // BLOCK):
         part = counts[block * BLOCK : (block + 1) * BLOCK]
         if part.any():
-            yield arrow_batch({"doc_id": [None], "text_hash": [None], "node": [None], "n": [None], "block": [block], "counts": [part.tobytes()]}, types)
+            yield arrow_batch({"doc_id": [None], "text_hash": [None], "node": [None], "n": [None], "spread": [None], "block": [block], "counts": [part.tobytes()]}, types)
+
+
+def spread(own: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of its buckets, about four into one."""
+    buckets = 1 << max(4, min(16, int(len(own)).bit_length() - 3))
+    return np.bincount((own & _U(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint16).tobytes()
+
+
+def at_most(x: bytes, y: bytes) -> int:
+    """No two sets spread like this have more shingles in common."""
+    a, b = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+    buckets = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, buckets).sum(axis=0), b.reshape(-1, buckets).sum(axis=0)).sum())
 
 
 def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+            total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
     for block, counts in total.items():
         yield arrow_batch({"block": [block], "counts": [counts.tobytes()]}, {"block": pa.int32(), "counts": pa.binary()})
 
 
-def _levels(blocks: DataFrame) -> np.ndarray:
+def _levels(blocks: DataFrame, folder: str) -> np.ndarray:
     """How often each counter's shingles are met, in powers of two above the
-    mean: 1 MB, whatever the corpus."""
-    summed = blocks.repartition(COUNTERS // BLOCK // 4, "block").mapInArrow(_add_blocks, "block int, counts binary")
-    counts = np.zeros(COUNTERS)
-    for row in summed.toLocalIterator():
-        counts[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(counts.mean(), 0.5))), 0, 31).astype(np.uint8)
+    mean: a byte for each counter, whatever the corpus."""
+    summed = stored(blocks.repartition("block").mapInArrow(_add_blocks, "block int, counts binary"), folder)
+    mean = max(summed.select("counts").mapInArrow(_total, "n long").agg(F.sum("n")).first()[0] or 0, COUNTERS / 2) / COUNTERS
+
+    def leveled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = [np.clip(np.floor(np.log2(np.maximum(np.frombuffer(c, np.int64), 1) / mean)), 0, 31).astype(np.uint8).tobytes() for c in batch.column("counts").to_pylist()]
+            yield arrow_batch({"block": batch.column("block"), "levels": levels}, {"block": pa.int32(), "levels": pa.binary()})
+
+    levels = np.zeros(COUNTERS, np.uint8)
+    for row in summed.mapInArrow(leveled, "block int, levels binary").collect():
+        levels[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["levels"], np.uint8)
+    return levels
+
+
+def _total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield arrow_batch({"n": [int(np.frombuffer(c, np.int64).sum()) for c in batch.column("counts").to_pylist()]}, {"n": pa.int64()})
 
 
 def _postings(batches: Iterable[pa.RecordBatch], levels: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
@@ -181,12 +216,55 @@ def _verify(batches: Iterable[pa.RecordBatch], levels: Broadcast, width: int) ->
         yield arrow_batch({"a": [k[0] for k in kept], "b": [k[1] for k in kept]}, {"a": pa.int64(), "b": pa.int64()})
 
 
+def _promising(pairs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Pairs whose sets can have enough in common, judged by how they spread over buckets."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    spreads = classes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.min("spread").alias("spread"))
+    spreads = stored(spreads, f"{folder}/spreads")
+
+    def enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+            keep = [at_most(p, q) * (100 + PERCENT) >= PERCENT * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = spreads.select(F.col("node").alias("a"), "n", F.col("spread").alias("x"))
+    right = spreads.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("spread").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(enough, "a long, b long")
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """Bits that are set for all ids; a fixed size, so it may let others through."""
+
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(SIEVE, bool)
+        for batch in batches:
+            found[_places(np.array(batch.column("doc_id")))] = True
+        yield arrow_batch({"bits": [np.packbits(found).tobytes()]}, {"bits": pa.binary()})
+
+    parts = ids.select("doc_id").repartition(SIEVE_PARTS).mapInArrow(bits, "bits binary").collect()
+    total = np.zeros(SIEVE // 8, np.uint8)
+    for row in parts:
+        total |= np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(total).astype(bool)
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(_U)) & _U(SIEVE - 1)).astype(np.int64)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, levels: Broadcast, width: int, folder: str) -> DataFrame:
-    """Of candidate pairs of nodes those that link. Only texts of candidates are shuffled beyond one semi join."""
-    pairs = stored(pairs.distinct(), f"{folder}/pairs")
+    """Of candidate pairs of nodes those that link. Only texts of promising candidates are shuffled."""
+    pairs = stored(_promising(stored(pairs.distinct(), f"{folder}/candidates"), classes, folder), f"{folder}/pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     holders = stored(classes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{folder}/holders")
-    found = texts.join(holders, "doc_id")
+    sieve = texts.sparkSession.sparkContext.broadcast(_sieve(holders))
+
+    def sifted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.value[_places(np.array(batch.column("doc_id")))], pa.bool_()))
+
+    found = texts.mapInArrow(sifted, "doc_id long, text string").join(holders, "doc_id")
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An id may stand at several texts; the node's own text has its digest."""
@@ -207,10 +285,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     folder = scratch(spark)
     texts = texts_of(docs, id_col, text_col)
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    described = stored(hashed.mapInArrow(lambda x: _describe(x, width), "doc_id long, text_hash long, node long, n long, block int, counts binary"), f"{folder}/described")
+    described = stored(hashed.mapInArrow(lambda x: _describe(x, width), "doc_id long, text_hash long, node long, n long, spread binary, block int, counts binary"), f"{folder}/described")
     rows = described.where("block IS NULL").select("doc_id", "text_hash", "node", "n")
-    classes = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    levels = spark.sparkContext.broadcast(_levels(described.where("block IS NOT NULL").select("block", "counts")))
+    classes = described.where("block IS NULL AND doc_id IS NOT NULL AND node IS NOT NULL").select("doc_id", "node", "n", "spread")
+    levels = spark.sparkContext.broadcast(_levels(described.where("block IS NOT NULL").select("block", "counts"), f"{folder}/counters"))
 
     usable = texts.where("doc_id IS NOT NULL")
     posted = usable.mapInArrow(lambda x: _postings(x, levels, width), "token long, node long, n int, at int")
