@@ -224,7 +224,8 @@ def figures(models: Models, texts: pa.Array) -> np.ndarray:
     out = [whole / length]
     for width in WINDOWS:
         sums = np.full(len(total), -np.inf)
-        sums[: len(total) - width] = (total[width:] - total[:-width]) if len(total) > width else []
+        inside = max(len(total) - width, 0)
+        sums[:inside] = total[width:] - total[:inside]
         last = np.maximum(ends - width + 1, starts + 1)
         edges = np.stack([starts, last], axis=1).ravel()
         best = np.maximum.reduceat(sums, edges)[::2]

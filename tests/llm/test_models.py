@@ -146,13 +146,14 @@ def test_toxicity_of_odd_texts(docs, odd, no_docs):
     assert toxicity.clean(odd, nothing).count() == odd.count()
 
 
-GRADE = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+def grade():
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
 
 
 def test_grades_of_held_out_texts(docs):
-    model = quality.fit(docs.where(~held_out(F.col("doc_id"))), docs.select("doc_id", "toxic", "quality"), GRADE)
+    model = quality.fit(docs.where(~held_out(F.col("doc_id"))), docs.select("doc_id", "toxic", "quality"), grade())
     assert (np.diff(model.thresholds) > 0).all()
-    rows = quality.rate(docs, model, reach=1).join(docs.select("doc_id", "quality", GRADE.alias("grade")), "doc_id").where(held_out(F.col("doc_id"))).collect()
+    rows = quality.rate(docs, model, reach=1).join(docs.select("doc_id", "quality", grade().alias("grade")), "doc_id").where(held_out(F.col("doc_id"))).collect()
     assert np.mean([r.selected == (r.quality == 1) for r in rows]) > 0.95
     by_grade = [np.mean([r.expected_grade for r in rows if r.grade == g]) for g in (0, 1, 2)]
     assert by_grade == sorted(by_grade) and by_grade[2] - by_grade[0] > 1
@@ -180,13 +181,13 @@ def test_gradient_climbs_to_the_maximum():
 
 def test_grades_of_odd_texts(docs, odd, no_docs):
     ratings = docs.select("doc_id", "toxic", "quality")
-    model = quality.fit(docs, ratings.union(ratings), GRADE)
+    model = quality.fit(docs, ratings.union(ratings), grade())
     rows = quality.rate(odd, model, reach=2).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect())
     assert all(0 <= r.expected_grade <= 2 for r in rows)
-    none = quality.fit(no_docs, ratings, GRADE)
+    none = quality.fit(no_docs, ratings, grade())
     assert {(r.expected_grade, r.tail) for r in quality.rate(odd, none, reach=1).collect()} == {(0.0, 0.0)}
-    one = quality.fit(docs, ratings.where("quality = 1 AND toxic = 0"), GRADE)
+    one = quality.fit(docs, ratings.where("quality = 1 AND toxic = 0"), grade())
     assert {(r.expected_grade, r.tail) for r in quality.rate(odd, one, reach=1).collect()} == {(2.0, 1.0)}
     assert quality.rate(no_docs, model, reach=1).count() == 0
 
