@@ -41,7 +41,7 @@ def _numbered(version_days: DataFrame, spine: DataFrame | None) -> DataFrame:
     """
     days = version_days.select("day", F.lit(1 if spine is None else 0).alias("is_snapshot")).distinct()
     if spine is not None:
-        asked = spine.select(F.col("snapshot_date").alias("day"), F.lit(1).alias("is_snapshot"))
+        asked = spine.select(F.to_date("snapshot_date").alias("day"), F.lit(1).alias("is_snapshot"))
         days = days.union(asked).groupBy("day").agg(F.max("is_snapshot").alias("is_snapshot"))
     so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
