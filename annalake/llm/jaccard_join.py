@@ -334,3 +334,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return left
     repeated = left.join(again, own(again), "left_semi").dropDuplicates([id_col, text_col])
     return left.join(again, own(again), "left_anti").unionByName(repeated)
+
+
+def oracle() -> str:
+    """The same by counting the shingles that every two documents share."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    shingled AS MATERIALIZED (
+      SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) END) AS s FROM words)),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= {PERCENT} * (p.n + q.n - o)),
+    edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    walk(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT w.doc_id, e.y FROM walk w JOIN edges e ON e.x = w.reached)
+    SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(reached) AS component_id
+    FROM walk w LEFT JOIN sizes s ON s.doc_id = w.doc_id GROUP BY w.doc_id, n"""
