@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,16 +114,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     driver are at most languages x buckets counts."""
     learn = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL")
     parts = learn.mapInArrow(lambda batches: _count(batches, buckets), "lang string, bucket int, n long")
-    found = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = tuple(sorted(found["lang"].unique()))
+    found = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = tuple(sorted(found["lang"].unique().to_pylist()))
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the broadcast matrix is bounded by {MAX_LANGUAGES}")
     counts, rows = np.zeros((len(languages), buckets)), np.zeros(len(languages))
-    for k, lang in enumerate(languages):
-        own = found[found["lang"] == lang]
-        marks = own["bucket"] < 0
-        rows[k] = own.loc[marks, "n"].sum()
-        counts[k, own.loc[~marks, "bucket"]] = own.loc[~marks, "n"]
+    place = pc.index_in(found["lang"], pa.array(languages, pa.string())).to_numpy()
+    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+    marks = bucket < 0
+    rows[place[marks]] = n[marks]
+    counts[place[~marks], bucket[~marks]] = n[~marks]
     smoothed = counts + SMOOTHING
     log_probability = np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).astype(np.float32)
     return LanguageModel(languages, log_probability, np.log(np.maximum(rows, 1) / max(rows.sum(), 1)))

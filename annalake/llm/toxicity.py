@@ -33,7 +33,7 @@ from annalake.llm.shingles import mix, text_bytes
 ORDER, SHARED = 5, 2
 DISCOUNT = 0.75
 #: log2 of the size of the hashed table of n-grams of each length.
-TABLE_BITS = (4, 10, 16, 18, 19, 20)
+TABLE_BITS = (4, 10, 16, 17, 18, 19)
 #: Bytes of the windows whose ratio is taken.
 WINDOWS = (6, 12, 24, 96)
 #: At most so many rows fit the curve: those with the smallest hashed ids.
@@ -158,8 +158,8 @@ def _dense(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow_batch({"model": [one], "part": [part], "table": [table.tobytes()]}, {"model": pa.int32(), "part": pa.int32(), "table": pa.binary()})
 
 
-def _models(counted: DataFrame, folder: str) -> list[Models]:
-    """Models of the first half of the rows, and of all of them.
+def _tables(counted: DataFrame, folder: str) -> DataFrame:
+    """The tables of two models: 0 of the first half of the rows, 1 of all of them.
 
     Lower orders count the different n-grams that end in theirs, level by level;
     at ``SHARED`` the classes' n-grams become one."""
@@ -175,9 +175,7 @@ def _models(counted: DataFrame, folder: str) -> list[Models]:
         lower = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
         level = level.groupBy("model", "label", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     sums = placed.mapInArrow(_place, "model int, part int, bucket int, n double").groupBy("model", "part", "bucket").agg(F.sum("n").alias("n"))
-    dense = sums.repartition("model", "part").mapInArrow(_dense, "model int, part int, table binary").toArrow()
-    found = {(m, p): np.frombuffer(t.as_buffer(), np.float32) for m, p, t in zip(dense["model"].to_pylist(), dense["part"].to_pylist(), dense["table"], strict=True)}
-    return [Models.of({part: table for (one, part), table in found.items() if one == m}) for m in (0, 1)]
+    return stored(sums.repartition("model", "part").mapInArrow(_dense, "model int, part int, table binary"), f"{folder}/dense")
 
 
 @dataclass(frozen=True)
@@ -187,7 +185,9 @@ class Models:
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, found: dict[int, np.ndarray]) -> Models:
+    def of(cls, dense: DataFrame, model: int) -> Models:
+        """One model's tables at a time reach the driver; their size is fixed."""
+        found = {row["part"]: np.frombuffer(row["table"], np.float32) for row in dense.where(F.col("model") == model).select("part", "table").collect()}
         tables = {}
         for order in range(1, ORDER + 1):
             for label in (-1,) if order <= SHARED else (0, 1):
@@ -289,14 +289,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = stored(learn.select("fold", "label", "text").mapInArrow(_count, "fold int, label int, gram long, n long").groupBy("fold", "label", "gram").agg(F.sum("n").alias("n")), f"{folder}/counted")
     if learn.select("label").distinct().count() < 2:
         return Toxicity(None, None)
-    half, whole = _models(counted, f"{folder}/levels")
+    dense = _tables(counted, f"{folder}/levels")
     other = learn.where("fold = 1").withColumn("key", F.xxhash64("doc_id", F.lit(1)))
     last = other.select("key").orderBy("key").limit(CALIBRATION_ROWS).agg(F.max("key")).first()[0]
     sample = other.where(F.col("key") <= F.lit(last)).select("text", F.col("label").cast("long").alias("label"))
-    found = _scored(sample, half, "label").toPandas().to_numpy()
+    scored = _scored(sample, Models.of(dense, 0), "label").toArrow()
+    found = np.column_stack([np.array(c, np.float64) for c in scored.columns])
     if len(np.unique(found[:, 0])) < 2:
         return Toxicity(None, None)
-    return Toxicity(whole, fit_curve(found[:, 1:], found[:, 0]))
+    return Toxicity(Models.of(dense, 1), fit_curve(found[:, 1:], found[:, 0]))
 
 
 def detect(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -119,7 +119,8 @@ def test_ratios_equal_plain_kneser_ney(spark):
     rows = [(i, t, label) for i, (label, t) in enumerate((label, t) for label, own in texts.items() for t in own)]
     learn = spark.createDataFrame([(0, label, t) for _, t, label in rows], "fold int, label int, text string")
     counted = learn.mapInArrow(toxicity._count, "fold int, label int, gram long, n long").groupBy("fold", "label", "gram").agg(F.sum("n").alias("n"))
-    half, whole = toxicity._models(counted, toxicity.scratch(spark))
+    dense = toxicity._tables(counted, toxicity.scratch(spark))
+    half, whole = (toxicity.Models.of(dense, model) for model in (0, 1))
     probability = plain_kneser_ney(texts)
     text = "the scum house"
     grams, _, _ = toxicity._grams(pa.array([text]))
