@@ -7,8 +7,9 @@ are length-normalised log-likelihood ratios: of the whole text, and the highest
 of its windows of some widths. A logistic curve, fitted to figures that models
 of one half of the learning rows give the other half, makes them a score.
 
-All learning rows are counted, and the n-gram tables grow with them; what is
-broadcast are those counts in hashed tables of fixed size.
+All learning rows are counted. What is broadcast are those counts as sorted
+n-grams, each with its own entry, so it grows with the number of different
+n-grams and none falls together with another.
 
 Defined results: a NULL or empty text has ratio 0 everywhere and is scored like
 any other. Labels other than 0 and 1 teach nothing; an id with several labels
@@ -27,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalake.llm.common import arrow_batch, kept_rows, scratch, stored, text_slices, texts_of
-from annalake.llm.shingles import mix, text_bytes
+from annalake.llm.shingles import text_bytes
 
 #: Highest order, and the order up to which the classes share their counts.
 ORDER, SHARED = 5, 2
 DISCOUNT = 0.75
-#: log2 of the size of the hashed table of n-grams of each length.
-TABLE_BITS = (4, 10, 16, 18, 19, 20)
 #: Bytes of the windows whose ratio is taken.
 WINDOWS = (6, 12, 24, 96)
 #: At most so many rows fit the curve: those with the smallest hashed ids.
@@ -41,6 +40,7 @@ CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 SLICE = 1 << 18
 _HELD = 1 << 22  # n-grams a task holds before it adds them up
+_PACKED = 1 << 18  # n-grams of one packed row
 _BYTES = np.arange(256, dtype=np.uint8)
 _BYTES[65:91] += 32
 _BYTES[:33] = 32
@@ -103,59 +103,30 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def _bucket(gram: np.ndarray, length: int) -> np.ndarray:
-    return (mix(gram + _U(length * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> _U(64 - TABLE_BITS[length])).astype(np.int64)
-
-
-def _part(order: int, label: int, kind: int) -> int:
-    return (order * 3 + label + 1) * 3 + kind
-
-
-def _empty(part: int) -> np.ndarray:
-    """Contexts are one byte shorter than the n-grams."""
-    return np.zeros(1 << TABLE_BITS[part // 9 - (part % 3 > 0)], np.float32)
-
-
-def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(model, part, bucket, n): what n-grams add to the tables. A context's sum and
-    its number of followers add up over n-grams too, as each is there once."""
-    keys: list[np.ndarray] = []
-    values: list[np.ndarray] = []
-    types = {"model": pa.int32(), "part": pa.int32(), "bucket": pa.int32(), "n": pa.float64()}
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams or contexts of a task by model, order, label and kind, as bytes:
+    64-bit keys, counts, and followers of contexts."""
+    types = {"model": pa.int32(), "order": pa.int32(), "label": pa.int32(), "context": pa.bool_(), "gram": pa.binary(), "n": pa.binary(), "kinds": pa.binary()}
+    held: dict[tuple[int, int, int, bool], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    size = 0
 
-    def summed() -> pa.RecordBatch:
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        part = (found >> 20) & 255
-        return arrow_batch({"model": found >> 28, "part": part, "bucket": found & (1 << 20) - 1, "n": np.bincount(at, weights=np.concatenate(values))}, types)
+    def rows() -> Iterator[pa.RecordBatch]:
+        for key, parts in held.items():
+            whole = [np.concatenate(column).tobytes() for column in zip(*parts, strict=True)]
+            yield arrow_batch({name: [value] for name, value in zip(types, [*key, *whole], strict=True)}, types)
 
     for batch in batches:
-        model, order, label, n = (np.array(batch.column(c)).astype(np.int64) for c in ("model", "order", "label", "n"))
-        gram = np.array(batch.column("gram")).view(_U)
-        for kind in range(3):
-            grams, length = (gram >> _U(8) if kind else gram), order - (kind > 0)
-            bucket = np.zeros(len(gram), np.int64)
-            for one in np.unique(length).tolist():
-                bucket[length == one] = _bucket(grams[length == one], one)
-            keys.append(model << 28 | _part(order, label, kind) << 20 | bucket)
-            values.append(np.ones(len(n)) if kind == 2 else n)
-        if len(keys) > 6000:
-            yield summed()
-            keys, values = [], []
-    if keys:
-        yield summed()
-
-
-def _dense(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        model, part, bucket, n = (np.array(batch.column(c)) for c in ("model", "part", "bucket", "n"))
-        for key in set(zip(model.tolist(), part.tolist(), strict=True)):
-            own = (model == key[0]) & (part == key[1])
-            if key not in tables:
-                tables[key] = _empty(key[1])
-            tables[key][bucket[own]] = n[own]
-    for (one, part), table in tables.items():
-        yield arrow_batch({"model": [one], "part": [part], "table": [table.tobytes()]}, {"model": pa.int32(), "part": pa.int32(), "table": pa.binary()})
+        columns = [np.array(batch.column(c)).astype(np.int64) for c in ("model", "order", "label", "context", "gram", "n", "kinds")]
+        model, order, label, context = columns[:4]
+        names, first, at = np.unique(((model * (ORDER + 1) + order) * 3 + label + 1) * 2 + context, return_index=True, return_inverse=True)
+        for i, one in enumerate(first.tolist()):
+            own = at == i if len(names) > 1 else slice(None)
+            held.setdefault((int(model[one]), int(order[one]), int(label[one]), bool(context[one])), []).append(tuple(c[own] for c in columns[4:]))
+        size += batch.num_rows
+        if size > _PACKED:
+            yield from rows()
+            held, size = {}, 0
+    yield from rows()
 
 
 def _tables(counted: DataFrame, folder: str) -> DataFrame:
@@ -174,44 +145,73 @@ def _tables(counted: DataFrame, folder: str) -> DataFrame:
             level = level.select("model", F.lit(-1).alias("label"), "gram").distinct()
         lower = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
         level = level.groupBy("model", "label", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    sums = placed.mapInArrow(_place, "model int, part int, bucket int, n double").groupBy("model", "part", "bucket").agg(F.sum("n").alias("n"))
-    return stored(sums.repartition("model", "part").mapInArrow(_dense, "model int, part int, table binary"), f"{folder}/dense")
+    contexts = placed.groupBy("model", "order", "label", F.shiftrightunsigned("gram", 8).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+    both = placed.withColumn("kinds", F.lit(0)).withColumn("context", F.lit(False)).unionByName(contexts.withColumn("context", F.lit(True)))
+    packed = both.mapInArrow(_pack, "model int, order int, label int, context boolean, gram binary, n binary, kinds binary")
+    return stored(packed, f"{folder}/packed")
 
 
 @dataclass(frozen=True)
-class Models:
-    """tables[order, label]: the n-grams' counts, and of contexts 1 / sum and what goes to the lower order."""
+class Level:
+    """One order: sorted n-grams with their counts, and sorted contexts with 1 / sum
+    and what goes to the lower order; a row for each class, one if they share. The
+    last column is that of n-grams or contexts that were never seen."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    inverse: np.ndarray
+    rest: np.ndarray
+
+
+def _unpacked(rows: list, labels: tuple[int, ...], columns: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted keys of all labels, and a table of each column with a last 0."""
+    read = {label: [np.frombuffer(b"".join(r[c] for r in rows if r["label"] == label), np.int64) for c in ("gram", *columns)] for label in labels}
+    keys = np.unique(np.concatenate([found[0] for found in read.values()]))
+    tables = [np.zeros((len(labels), len(keys) + 1)) for _ in columns]
+    for i, label in enumerate(labels):
+        at = np.searchsorted(keys, read[label][0])
+        for table, values in zip(tables, read[label][1:], strict=True):
+            table[i, at] = values
+    return keys.view(_U), tables
+
+
+def _slots(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the keys are, the last column for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, len(keys))
 
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+@dataclass(frozen=True)
+class Models:
+    levels: list[Level]
 
     @classmethod
-    def of(cls, dense: DataFrame, model: int) -> Models:
-        """One model's tables at a time reach the driver; their size is fixed."""
-        found = {row["part"]: np.frombuffer(row["table"], np.float32) for row in dense.where(F.col("model") == model).select("part", "table").collect()}
-        tables = {}
+    def of(cls, packed: DataFrame, model: int) -> Models:
+        """One model's orders reach the driver one at a time; they grow with the different n-grams."""
+        levels = []
         for order in range(1, ORDER + 1):
-            for label in (-1,) if order <= SHARED else (0, 1):
-                counts, sums, kinds = (found[p] if (p := _part(order, label, kind)) in found else _empty(p) for kind in range(3))
-                seen = sums > 0
-                inverse = np.where(seen, 1 / np.where(seen, sums, 1), 0).astype(np.float32)
-                tables[order, label] = counts, inverse, np.where(seen, np.minimum(DISCOUNT * kinds * inverse, 1), 1).astype(np.float32)
-        return cls(tables)
+            labels = (-1,) if order <= SHARED else (0, 1)
+            rows = packed.where((F.col("model") == model) & (F.col("order") == order)).collect()
+            grams, (counts,) = _unpacked([r for r in rows if not r["context"]], labels, ("n",))
+            contexts, (sums, kinds) = _unpacked([r for r in rows if r["context"]], labels, ("n", "kinds"))
+            seen = sums > 0
+            inverse = np.where(seen, 1 / np.where(seen, sums, 1), 0)
+            rest = np.where(seen, DISCOUNT * kinds * inverse, 1)
+            levels.append(Level(grams, counts.astype(np.float32), contexts, inverse.astype(np.float32), rest.astype(np.float32)))
+        return cls(levels)
 
     def ratios(self, grams: list[np.ndarray]) -> np.ndarray:
-        """At each byte log P(toxic) - log P(ordinary)."""
-        size = len(grams[0])
-        shared = np.full(size, 1 / 256, np.float32)
-        each = [shared, shared]
-        for order in range(1, ORDER + 1):
-            bucket = _bucket(grams[order - 1], order)
-            context = _bucket(grams[order - 1] >> _U(8), order - 1)
-            for label in (0, 1):
-                if order <= SHARED and label:
-                    each[1] = each[0]
-                    continue
-                counts, inverse, rest = self.tables[order, -1 if order <= SHARED else label]
-                each[label] = np.minimum(np.maximum(counts[bucket] - np.float32(DISCOUNT), 0) * inverse[context], 1) + rest[context] * each[label]
-        return np.log(each[1]) - np.log(each[0])
+        """At each byte log P(toxic) - log P(ordinary), computed once for each different n-gram."""
+        top, at = np.unique(grams[-1], return_inverse=True)
+        each = np.full((1, len(top)), 1 / 256, np.float32)
+        for order, level in enumerate(self.levels, 1):
+            gram = top & _U((1 << 8 * order) - 1)
+            own, context = _slots(level.grams, gram), _slots(level.contexts, gram >> _U(8))
+            each = np.maximum(level.counts[:, own] - np.float32(DISCOUNT), 0) * level.inverse[:, context] + level.rest[:, context] * each
+        return (np.log(each[1]) - np.log(each[0]))[at]
 
 
 def figures(models: Models, texts: pa.Array) -> np.ndarray:

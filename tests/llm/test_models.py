@@ -133,6 +133,20 @@ def test_ratios_equal_plain_kneser_ney(spark):
     assert np.allclose(half.ratios(grams), wanted, atol=1e-3)
 
 
+def test_every_gram_has_its_own_entry(spark):
+    """More n-grams than a table of 2^20 has room for: each keeps its own count, and
+    those that weren't seen score as plain Kneser-Ney without them."""
+    n = 600_000
+    grams = np.random.default_rng(4).choice(1 << 40, 2 * n, replace=False).astype(np.int64)
+    rows = spark.createDataFrame(pa.table({"fold": np.zeros(n, np.int32), "label": (np.arange(n) % 2).astype(np.int32), "gram": grams[:n], "n": np.arange(1, n + 1)}))
+    top = toxicity.Models.of(toxicity._tables(rows, toxicity.scratch(spark)), 1).levels[-1]
+    assert len(top.grams) == n
+    slots = toxicity._slots(top.grams, grams.view(np.uint64))
+    assert (slots[n:] == len(top.grams)).all() and not top.counts[:, -1].any()
+    at = np.arange(n)
+    assert (top.counts[at % 2, slots[:n]] == at + 1).all() and not top.counts[1 - at % 2, slots[:n]].any()
+
+
 def test_toxicity_of_odd_texts(docs, odd, no_docs):
     labels = docs.select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.union(labels).unionByName(labels.limit(2).withColumn("toxic", F.lit(None).cast("int"))))
