@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A window has as many words as the item it is held against. Its fingerprint adds
-up its five-word shingles, each as often as it occurs, and keeps 64 signs. The
-fingerprints are cut into RADIUS + 1 blocks: two fingerprints within RADIUS bits
-agree in one block at least, so looking items up by block finds all of them.
+up its five-word shingles, each as often as it occurs, and keeps 64 signs.
 Candidates within the radius are then compared exactly, by the weighted Jaccard
-similarity of the two multisets of shingles.
+similarity of the two multisets of shingles. A pair of that similarity is lost
+if its fingerprints are further apart; the radius makes that rare (README).
 
-Only windows that have a shingle in common with some item are fingerprinted:
-without one the similarity is 0. Items are the stated query set; they go to the
-tasks in blocks of bounded size, and the table of documents is read once a block.
+Only windows with enough shingles of items to reach the similarity are
+fingerprinted: what no item has can't be shared. Their fingerprints are held
+against those of all items of their length, as blocks of a few bits, which so
+wide a radius needs, would leave out next to none. Items are the stated query
+set; they go to the tasks in blocks of bounded size, and the table of documents
+is read once a block.
 
 Words are runs of letters and digits (ASCII) or characters beyond ASCII, with
 A-Z lower-cased, so punctuation doesn't hide a passage. Defined results: NULL or
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 from annalake.llm.common import arrow_batch, kept_rows, text_slices, texts_of
 from annalake.llm.shingles import WIDTH, seeded, shingles, words
 
-BITS, RADIUS = 64, 15
+BITS, RADIUS = 64, 22
 SIMILARITY = 0.8
 #: Characters of items that travel at once.
 ITEM_CHARS = 32_000_000
+#: Pairs of fingerprints that are compared at once.
+_TILE = 1 << 20
 _U = np.uint64
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -67,46 +71,25 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.minimum(a, b).sum() / np.maximum(a, b).sum()) if len(names) else 0.0
 
 
-def _blocks(fingerprints: np.ndarray) -> np.ndarray:
-    """The RADIUS + 1 blocks of each fingerprint."""
-    edges = np.linspace(0, BITS, RADIUS + 2).astype(int)
-    return np.stack([(fingerprints >> _U(a)) & _U((1 << (b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)], axis=1)
-
-
 @dataclass(frozen=True)
 class Items:
-    """Items with the same number of shingles, and where each value of each block has them."""
+    """Items with the same number of shingles."""
 
     numbers: np.ndarray
     fingerprints: np.ndarray
-    by_block: list[dict[int, np.ndarray]]
 
     @classmethod
     def of(cls, numbers: list[int], own: list[np.ndarray]) -> Items:
         prints = np.concatenate([_fingerprints(signs(s).sum(axis=0, keepdims=True)) for s in own])
-        by_block: list[dict[int, np.ndarray]] = []
-        for column in _blocks(prints).T:
-            places: dict[int, list[int]] = defaultdict(list)
-            for i, value in enumerate(column.tolist()):
-                places[value].append(i)
-            by_block.append({value: np.array(at) for value, at in places.items()})
-        return cls(np.array(numbers), prints, by_block)
+        return cls(np.array(numbers), prints)
 
     def near(self, fingerprints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(fingerprint's place, item's place, distance) of all pairs within the radius."""
-        found = []
-        for column, places in zip(_blocks(fingerprints).T, self.by_block, strict=True):
-            values, at = np.unique(column, return_inverse=True)
-            for k, value in enumerate(values.tolist()):
-                if value in places:
-                    windows = np.flatnonzero(at == k)
-                    found.append((np.repeat(windows, len(places[value])) * len(self.numbers)) + np.tile(places[value], len(windows)))
-        if found:
-            pairs = np.unique(np.concatenate(found))
-            window, item = pairs // len(self.numbers), pairs % len(self.numbers)
-            distance = np.bitwise_count(fingerprints[window] ^ self.fingerprints[item])
-            for i in np.flatnonzero(distance <= RADIUS):
-                yield int(window[i]), int(item[i]), int(distance[i])
+        step = max(1, _TILE // len(self.numbers))
+        for first in range(0, len(fingerprints), step):
+            distance = np.bitwise_count(fingerprints[first : first + step, None] ^ self.fingerprints)
+            for window, item in np.argwhere(distance <= RADIUS).tolist():
+                yield first + window, item, int(distance[window, item])
 
 
 class Index:
@@ -148,8 +131,16 @@ class Index:
             for n in self.lengths[int(own[place])]:
                 starts[n].update(range(max(0, place - n + 1), min(place, max(len(own) - n, 0)) + 1))
         best: dict[int, tuple[float, int, int]] = {}
+        anchors = np.zeros(len(own) + 1, np.int64)
+        anchors[at + 1] = 1
+        np.cumsum(anchors, out=anchors)
         for n, wanted in starts.items():
             first = np.array(sorted(wanted))
+            stop = np.minimum(first + n, len(own))
+            # Shared shingles s of a and b have similarity s / (a + b - s).
+            first = first[anchors[stop] - anchors[first] >= SIMILARITY / (1 + SIMILARITY) * (stop - first + n) - 1e-9]
+            if not len(first):
+                continue
             for lump in np.split(first, np.flatnonzero(np.diff(first) > n) + 1):
                 region = own[lump[0] : lump[-1] + n]
                 total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(region), axis=0, dtype=np.int32)])

@@ -154,6 +154,40 @@ def test_blocks_find_all_fingerprints_within_the_radius():
     assert near == {(w, i): int(distance[w, i]) for w, i in zip(*np.nonzero(distance <= decontamination.RADIUS), strict=True)}
 
 
+def test_near_copies_at_the_threshold_are_found():
+    """Copies with a similarity from 0.8 to 0.85: the pairs whose fingerprints are
+    too far apart to be compared."""
+    rng = np.random.default_rng(9)
+    pairs = missed = 0
+    while pairs < 20_000:
+        n = int(rng.integers(20, 61))
+        item = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        changed = int(rng.integers(1, n // 9 + 2))
+        alike = (n - changed) / (n + changed)
+        if not 0.8 <= alike <= 0.85:
+            continue
+        copy = np.concatenate([item[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)])
+        pairs += 1
+        items = decontamination.Items.of([0], [item])
+        window = decontamination.Items.of([0], [copy]).fingerprints
+        missed += not any(True for _ in items.near(window))
+    assert missed <= pairs * 0.0005
+
+
+def test_leaks_find_one_changed_word_in_long_items(spark):
+    rng = random.Random(10)
+    items = [(i, " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(49))) for i in range(2000)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        words[rng.randrange(4, 45)] = "changed"
+        docs.append((i, " ".join(words)))
+    df, benchmark = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.leaks(df, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i, _ in items}
+    assert {r.similarity for r in found} == {0.8}
+
+
 def test_licences_equal_sql_and_odd_texts(spark, odd, no_docs):
     rng = random.Random(8)
     lines = [t for _, t in licenses.TEMPLATES] + ["mit license", "The MIT\tLicense", "mit  license mit license", "Apache-License", "transmit license", "general public license", "LICENSED under CC BY-NC 4.0 by them all", "mit", "Kit license", "released under mit"]
