@@ -1,13 +1,14 @@
-"""Licence scan: base phrases, and an exact containment join of lines with templates.
-
-The join compares each line's distinct words with each template's. Words are
-ordered by how many lines of the whole table have them, rare ones first. A line
-meets a template at the threshold t when they share at least ceil(t x template)
-words; then a word of the template's prefix is in the line's prefix (prefix
-filter), the line has that many words (length filter) and so many are left
-behind the shared one on both sides (positional filter). What passes is counted
-exactly. Words that no template has can't be shared, so lines are reduced to the
-templates' vocabulary, which is as small as the templates, before they are ordered.
+"""Licence scan: base phrases, and an exact containment join of blocks with templates.
+
+A block is a window of consecutive words, across line breaks, as long as the
+template and ``SLACK`` words more. It meets a template at the threshold t when it
+has at least ceil(t x template) of the template's distinct words, so wrapped
+notices meet and words scattered over a text don't. Texts that have too few of
+them anywhere are left out first (length filter). Words are ordered by how many
+of the texts left have them, rare ones first; a window that meets a template has
+a word of the template's prefix in this order (prefix filter), so only windows
+around those words are looked at, and what has enough words around one is
+counted exactly.
 
 DataFrame functions only. Defined results: a NULL text counts as empty, has no
 word, no label and score 0. Rows that repeat are scanned alike and come back as
@@ -37,12 +38,15 @@ TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mpl", "This work is subject to the terms of the Mozilla Public License, version 2.0."),
 )
-#: Share of a template's words that a line must have, in hundredths.
+#: Share of a template's words that a block must have, in hundredths.
 THRESHOLD = 90
+#: Words that a block may have beyond the template's.
+SLACK = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters of words before A-Z are lower-cased; a negated class is many times slower.
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+_WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 _GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
@@ -93,42 +97,59 @@ def _places(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
     return by_phrase
 
 
-def _lines(rows: DataFrame, vocabulary: Sequence[str], least: int) -> DataFrame:
-    """Lines with at least ``least`` words of the vocabulary: those words."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    parts = rows.select("_id", "_text_hash", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
-    return parts.withColumn("own", F.array_intersect(known, _words(F.col("_line")))).where(F.size("own") >= least).select("_id", "_text_hash", "line", "own")
+def _listed(words: Sequence[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _candidates(rows: DataFrame, token_sets: Sequence[Sequence[str]], overlaps: Sequence[int]) -> DataFrame:
+    """Texts that have enough words of some template anywhere: all their words."""
+    known = _listed(sorted(set().union(*token_sets)))
+
+    def enough(one: Column) -> Column:
+        met = F.lit(False)
+        for tokens, overlap in zip(token_sets, overlaps, strict=True):
+            met = met | (F.size(F.array_intersect(one["_own"], _listed(tokens))) >= overlap)
+        return (F.size(one["_own"]) >= min(overlaps)) & met
+
+    # An array of one list binds it to a variable, so it is split once for all templates.
+    listed = F.transform(F.array(_words(F.col("_text"))), lambda w: F.struct(w.alias("_words"), F.array_intersect(known, w).alias("_own")))
+    return rows.select("_id", "_text_hash", F.inline(F.filter(listed, enough)))
 
 
 def containment_join(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, _text_hash, line (from 0), label, template, containment: every
-    line that meets a template, once for each template."""
+    """doc_id, _text_hash, label, template, containment: every template that a
+    text meets, with the greatest containment of its blocks."""
     rows = _plain(docs, id_col, text_col)
     token_sets = [template_words(text) for _, text in templates]
-    vocabulary = sorted(set().union(*token_sets))
-    least = min(needed(len(t), threshold) for t in token_sets)
-    lines = stored(_lines(rows, vocabulary, 1), f"{scratch(docs.sparkSession)}/lines")
-    counted = lines.select(F.explode("own").alias("word")).groupBy("word").count().collect()  # one row a word of the vocabulary
+    overlaps = [needed(len(t), threshold) for t in token_sets]
+    found = stored(_candidates(rows, token_sets, overlaps), f"{scratch(docs.sparkSession)}/candidates")
+    counted = found.select(F.explode("_own").alias("word")).groupBy("word").count().collect()  # one row a word of the vocabulary
     frequency = {r["word"]: r["count"] for r in counted}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
 
-    spark = docs.sparkSession
     probes = []
-    for number, ((label, _), tokens) in enumerate(zip(templates, token_sets, strict=True)):
-        ordered = sorted(tokens, key=rank.__getitem__)
-        overlap = needed(len(ordered), threshold)
-        probes += [(number, label, ordered, overlap, word, at) for at, word in enumerate(ordered[: len(ordered) - overlap + 1])]
-    prefixes = spark.createDataFrame(probes, "template int, label string, tokens array<string>, overlap int, word string, at int")
-
-    known = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.__getitem__)])
-    lines = lines.where(F.size("own") >= least).withColumn("own", F.array_intersect(known, "own"))
-    posted = lines.select("*", F.posexplode(F.slice("own", 1, F.size("own") - least + 1)).alias("place", "word"))
+    for number, ((label, text), tokens, overlap) in enumerate(zip(templates, token_sets, overlaps, strict=True)):
+        ordered = sorted(tokens, key=lambda w: (frequency.get(w, 0), w))
+        width = len(_WORDS.findall(text)) + SLACK
+        probes += [(number, label, tokens, overlap, width, word) for word in ordered[: len(ordered) - overlap + 1]]
+    prefixes = docs.sparkSession.createDataFrame(probes, "template int, label string, tokens array<string>, overlap int, width int, word string")
+    anchors, widest = _listed(sorted({p[-1] for p in probes})), max(p[-2] for p in probes)
+
+    # Only the words around an anchor leave the text, so that a long one isn't copied for each.
+    places = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.array_contains(anchors, F.get("_words", i)))
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - (widest - 1), F.lit(0))
+        return F.struct(F.get("_words", i).alias("word"), (i - first).alias("at"), F.slice("_words", first + 1, 2 * widest - 1).alias("near"))
+
+    posted = found.select("_id", "_text_hash", F.inline(F.transform(places, around)))
     met = posted.join(F.broadcast(prefixes), "word")  # as small as the templates are
-    own, tokens, place, at = F.size("own"), F.size("tokens"), F.col("place"), F.col("at")
-    met = met.where((own >= F.col("overlap")) & (F.least(own - place, tokens - at) >= F.col("overlap")))
-    met = met.withColumn("shared", F.size(F.array_intersect("own", "tokens"))).where(F.col("shared") >= F.col("overlap"))
-    met = met.select(F.col("_id").alias("doc_id"), "_text_hash", "line", "label", "template", (F.col("shared") / tokens).alias("containment"))
-    return met.distinct()
+    # Of the words around the anchor those that a block of this template can have.
+    start = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
+    met = met.withColumn("near", F.slice("near", start + 1, F.col("at") - start + F.col("width"))).where(F.size(F.array_intersect("near", "tokens")) >= F.col("overlap"))
+    blocks = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
+    met = met.withColumn("shared", F.array_max(F.transform(blocks, lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("width")), "tokens")))))
+    met = met.where(F.col("shared") >= F.col("overlap")).groupBy("_id", "_text_hash", "label", "template").agg(F.max(F.col("shared") / F.size("tokens")).alias("containment"))
+    return met.withColumnRenamed("_id", "doc_id")
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -161,7 +182,7 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
 
 
 def oracle() -> str:
-    """The same by comparing every line with every template."""
+    """The same where each notice is on a line of its own, by comparing every line with every template."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     sets = ", ".join(f"({i}, {quoted(label)}, [{', '.join(map(quoted, template_words(text)))}], {needed(len(template_words(text)), THRESHOLD)})" for i, (label, text) in enumerate(TEMPLATES))
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -204,6 +204,56 @@ def test_licences_equal_sql_and_odd_texts(spark, odd, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_licences_of_wrapped_notices_and_scattered_words(spark):
+    rng = random.Random(11)
+    text = {label: t for label, t in licenses.TEMPLATES}
+    filler = lambda n: " ".join(rng.choice(["stone", "river", "the", "is", "of", "and"]) for _ in range(n))
+    wrapped = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    docs = [
+        (0, wrapped, "bsd"),
+        (1, filler(20_000) + "\n" + wrapped + "\n" + filler(300), "bsd"),
+        (2, filler(30) + "\n" + text["mpl"].replace(" ", "\n") + " " + filler(30), "mpl"),
+        (3, text["cc-by-nc"].replace("CC", "\n * CC"), "cc-by-nc"),
+        (4, "released " + filler(50) + " under " + filler(50) + " the " + filler(50) + " mit " + filler(50) + " license", ""),
+        (5, text["bsd"].replace(" in ", " " + filler(licenses.SLACK + 20) + " in "), ""),
+        (6, text["bsd"].replace(" in ", " a b c d in "), "bsd"),
+        (7, filler(5000) + " " + text["cc-by-sa"], "cc-by-sa"),
+        (8, None, ""),
+    ]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {i: labels for i, _, labels in docs}
+
+
+def blocks_by_force(text):
+    words, found = ALNUM.findall(ascii_lower(text)), {}
+    for number, (_, template) in enumerate(licenses.TEMPLATES):
+        own = ALNUM.findall(ascii_lower(template))
+        width = len(own) + licenses.SLACK
+        shared = max(len(set(words[i : i + width]) & set(own)) for i in range(max(1, len(words) - width + 1)))
+        if shared >= licenses.needed(len(set(own)), licenses.THRESHOLD):
+            found[number] = shared / len(set(own))
+    return found
+
+
+def test_blocks_equal_brute_force(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            own = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(9)):
+                own.insert(rng.randrange(len(own) + 1), rng.choice(["x", "the", "\n", "license", "\n#"]))
+            if rng.random() < 0.4:
+                del own[rng.randrange(len(own))]
+            words += own + ["y"] * rng.randrange(12)
+        docs.append((i, " ".join(words)))
+    found = {i: {} for i, _ in docs}
+    for r in licenses.containment_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        found[r.doc_id][r.template] = r.containment
+    assert found == {i: blocks_by_force(t) for i, t in docs}
+
+
 def nearest_by_force(rows, every, k):
     out = {}
     for i, v in rows:
