@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalake.llm import decontamination, hilbert_neighbours, jaccard_join, language_id, licenses, quality, sentence_pieces, token_records, tool_calls, toxicity
+from annalake.llm import (
+    conversation_trie,
+    decontamination,
+    fill_in_middle,
+    hidden_markov,
+    hilbert_neighbours,
+    jaccard_join,
+    language_id,
+    licenses,
+    quality,
+    sentence_pieces,
+    token_records,
+    tool_calls,
+    toxicity,
+)
 from annalake.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +82,21 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_ids", "ids_crc32", "n_bytes", "same")
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = hidden_markov.fit(docs.where(hidden_markov.is_learned(F.col("doc_id"))))
+    found = hidden_markov.score(docs, model).withColumn("held_out", ~hidden_markov.is_learned(F.col("doc_id")))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50, digests=True)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_tool_calls": op1_tool_calls,
     "op2_hilbert_neighbours": op2_hilbert_neighbours,
@@ -79,10 +108,15 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scan": op9_license_scan,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op11_hidden_markov": op11_hidden_markov,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_tool_calls": tool_calls.oracle(),
     "op8_jaccard_join": jaccard_join.oracle(),
     "op9_license_scan": licenses.oracle(),
+    "op12_fill_in_middle": fill_in_middle.oracle(),
+    "op13_conversation_trie": conversation_trie.oracle(),
 }
