@@ -2,59 +2,56 @@
 
 The end of a version is the next strictly later load date of its key. One
 window over the key would put a hot key's whole history into a single task, so
-the timeline is cut twice instead: distinct (key, time) pairs are chained
-inside one time slice of the key, and only the last pair of each slice is
-chained across slices. The longest ordered run is then a slice, or one row per
-slice, however many rows the key has; rows sharing a time never meet in a
-window because the pairs are distinct. The result goes back to the rows by an
-equi-join on (key, time), whose row side AQE may split.
+no window follows a key: distinct (key, time) pairs are range-partitioned, a hot
+key like any other over as many partitions as it fills, and chained inside each
+partition. Only the first and the last pair of every partition are chained
+across partitions. Rows sharing a time never meet in a window because the pairs
+are distinct. The result goes back to the rows by an equi-join on (key, time),
+whose row side AQE may split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annalake.operators.matching import present_in
+from annalake.sources.sinks import write_once
 from annalake.specs import END_DATE, IS_ACTIVE, IS_CURRENT, LOAD_DATE, START_DATE
 
-SLICES = ("day", "hour", "minute")
 
-
-def time_slice(ts: Column, unit: str = "hour") -> Column:
-    """Number of the day, hour or minute ``ts`` falls into, counted from 1970."""
-    day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
-    if unit == "day":
-        return day
-    if unit == "hour":
-        return day * 24 + F.hour(ts)
-    if unit == "minute":
-        return day * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    raise ValueError(f"unit must be one of {SLICES}, got {unit!r}")
-
-
-def next_later(df: DataFrame, key: str, ts: str, unit: str = "hour") -> DataFrame:
+def next_later(df: DataFrame, key: str, ts: str) -> DataFrame:
     """One row per distinct (key, ts) with ``next_ts``, the key's next later time.
 
     Rows without key or time belong to no timeline and are left out; joined
-    back, they stay open.
+    back, they stay open. The partitioned pairs are written once, so that
+    everything read from them sees the same partitions.
     """
     given = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    points = given.select(key, ts).distinct().withColumn("_slice", time_slice(F.col(ts), unit))
-    within = Window.partitionBy(key, "_slice").orderBy(ts)
-    across = Window.partitionBy(key).orderBy("_slice")
-    chained = points.withColumns({"_inside": F.lead(ts).over(within), "_head": F.first(ts).over(within)})
-    inner = chained.where(F.col("_inside").isNotNull()).select(key, ts, F.col("_inside").alias("next_ts"))
-    # One row per slice is left, its last; what follows is the next slice's head.
-    # Both branches read the same shuffled pairs.
-    last = chained.where(F.col("_inside").isNull()).select(key, ts, F.lead("_head").over(across).alias("next_ts"))
-    return inner.unionByName(last)
-
-
-def _close(df: DataFrame, key: str, ts: str, flag: str, end: str, unit: str) -> DataFrame:
+    points = given.select(F.col(key).alias("_key"), F.col(ts).alias("_ts")).distinct()
+    placed = points.repartitionByRange("_key", "_ts").withColumn("_part", F.spark_partition_id())
+    pair = F.struct("_key", "_ts")
+    inside = Window.partitionBy("_part").orderBy("_key", "_ts")
+    chained = placed.withColumns({"_next": F.lead(pair).over(inside), "_first": F.lag(pair).over(inside).isNull()})
+    chained = write_once(chained.withColumn("_last", F.col("_next").isNull()))
+    # At most two rows a partition.
+    across = Window.orderBy("_key", "_ts")
+    ends = chained.where("_first OR _last").withColumn("_next", F.lead(pair).over(across)).where("_last")
+    same = F.when(F.col("_next")["_key"] == F.col("_key"), F.col("_next")["_ts"])
+    return chained.where("NOT _last").unionByName(ends).select(F.col("_key").alias(key), F.col("_ts").alias(ts), same.alias("next_ts"))
+
+
+def newest(rows: DataFrame, key: str, ts: str) -> DataFrame:
+    """All rows at their key's latest time, and those without key or time."""
+    latest = rows.groupBy(key).agg(F.max(ts).alias(ts)).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    return present_in(rows, latest, [key, ts]).unionByName(rows.where(F.col(key).isNull() | F.col(ts).isNull()))
+
+
+def _close(df: DataFrame, key: str, ts: str, flag: str, end: str) -> DataFrame:
     order = [c for c in df.columns if c not in (flag, end)]
     rows = df.select(*[f"`{c}`" for c in order])
-    later = next_later(rows, key, ts, unit).withColumnsRenamed({key: "_key", ts: "_ts"})
+    later = next_later(rows, key, ts).withColumnsRenamed({key: "_key", ts: "_ts"})
     joined = rows.join(later, (rows[key] == F.col("_key")) & (rows[ts] == F.col("_ts")), "left")
     return joined.select(
         *[rows[f"`{c}`"] for c in order],
@@ -63,17 +60,17 @@ def _close(df: DataFrame, key: str, ts: str, flag: str, end: str, unit: str) ->
     )
 
 
-def close_versions(sat: DataFrame, hk: str, ts: str = LOAD_DATE, unit: str = "hour") -> DataFrame:
+def close_versions(sat: DataFrame, hk: str, ts: str = LOAD_DATE) -> DataFrame:
     """Recompute ``dss_is_current`` / ``dss_end_date`` from the load dates.
 
     All rows tied at the key's last load date stay current.
     """
-    return _close(sat, hk, ts, IS_CURRENT, END_DATE, unit)
+    return _close(sat, hk, ts, IS_CURRENT, END_DATE)
 
 
-def close_relationships(eff: DataFrame, driving_hk: str, ts: str = START_DATE, unit: str = "hour") -> DataFrame:
+def close_relationships(eff: DataFrame, driving_hk: str, ts: str = START_DATE) -> DataFrame:
     """The same on an effectivity satellite, along its driving key."""
-    return _close(eff, driving_hk, ts, IS_ACTIVE, END_DATE, unit)
+    return _close(eff, driving_hk, ts, IS_ACTIVE, END_DATE)
 
 
 def close_open_only(
@@ -82,7 +79,6 @@ def close_open_only(
     ts: str = LOAD_DATE,
     flag: str = IS_CURRENT,
     end: str = END_DATE,
-    unit: str = "hour",
 ) -> DataFrame:
     """Close only rows still flagged 'Y'; rows closed earlier keep their end date.
 
@@ -91,7 +87,7 @@ def close_open_only(
     end, so intervals may overlap; ``close_versions`` repairs that.
     """
     order = table.columns
-    later = next_later(table, key, ts, unit).withColumnsRenamed({key: "_key", ts: "_ts"})
+    later = next_later(table, key, ts).withColumnsRenamed({key: "_key", ts: "_ts"})
     joined = table.join(later, (table[key] == F.col("_key")) & (table[ts] == F.col("_ts")), "left")
     closing = (F.col(flag) == "Y") & F.col("next_ts").isNotNull()
     return joined.select(
@@ -121,9 +117,9 @@ def relationship_as_of(eff: DataFrame, moment: str) -> DataFrame:
     return as_of(eff, moment, START_DATE, END_DATE)
 
 
-def interval_overlaps(sat: DataFrame, hk: str, ts: str = LOAD_DATE, end: str = END_DATE, unit: str = "hour") -> DataFrame:
+def interval_overlaps(sat: DataFrame, hk: str, ts: str = LOAD_DATE, end: str = END_DATE) -> DataFrame:
     """Versions whose interval reaches past the start of the key's next version."""
-    later = next_later(sat, hk, ts, unit).withColumnsRenamed({hk: "_key", ts: "_ts"})
+    later = next_later(sat, hk, ts).withColumnsRenamed({hk: "_key", ts: "_ts"})
     joined = sat.join(later, (sat[hk] == F.col("_key")) & (sat[ts] == F.col("_ts")), "left")
     reaches = F.col("next_ts").isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col("next_ts")))
     return joined.where(reaches).select(*[sat[f"`{c}`"] for c in sat.columns], F.col("next_ts").alias("next_load_date"))

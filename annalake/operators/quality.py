@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalake.operators.matching import absent_from
@@ -52,63 +52,58 @@ def orphans(sat: DataFrame, hub: DataFrame, hk: str) -> DataFrame:
     return absent_from(sat, hub, [hk])
 
 
-def _result(df: DataFrame, check: Check) -> DataFrame:
-    return df.select(
-        F.lit(check.model).alias("model"),
-        F.lit(check.column).alias("column_name"),
-        F.lit(check.test).alias("test"),
-        F.col("failures").cast("bigint").alias("failures"),
-    )
-
-
-def _one_pass(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """All single-column checks of one table in a single aggregation."""
-    aggregates = []
-    for i, check in enumerate(checks):
+def _records(df: DataFrame, model: str, checks: Sequence[Check]) -> DataFrame:
+    """(check, value, n, known) for all that the checks ask of one table, in one scan:
+    values that are missing, not accepted, or to be counted, and parents' keys."""
+    wanted = []
+    for number, check in enumerate(checks):
         column = F.col(check.column)
-        if check.test == "not_null":
-            failures = F.count(F.when(column.isNull(), 1))
-        else:
-            failures = F.count_distinct(F.when(~column.isin(*check.values), column))
-        aggregates.append(failures.alias(f"c{i}"))
-    rows = [
-        F.struct(
-            F.lit(c.model).alias("model"),
-            F.lit(c.column).alias("column_name"),
-            F.lit(c.test).alias("test"),
-            F.col(f"c{i}").cast("bigint").alias("failures"),
-        )
-        for i, c in enumerate(checks)
+        if check.model == model:
+            if check.test == "not_null":
+                holds = column.isNull()
+            elif check.test == "accepted_values":
+                holds = ~column.isin(*check.values)
+            else:
+                holds = column.isNotNull()
+            wanted.append((number, column, holds, 1))
+        if check.test == "relationships" and check.parent == model:
+            wanted.append((number, F.col(check.field), F.col(check.field).isNotNull(), 0))
+    shown = [
+        F.when(holds, F.struct(F.lit(number).alias("check"), column.cast("string").alias("value"), F.lit(n).cast("bigint").alias("n"), F.lit(n == 0).alias("known")))
+        for number, column, holds, n in wanted
     ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return df.select(F.inline(F.array_compact(F.array(*shown))))
 
 
 def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """(model, column_name, test, failures) for a whole suite.
 
     Failures are rows for not_null and relationships, distinct values for
-    unique and accepted_values. Keys are counted before they are matched with
-    the parent, so a hot child key travels as one row.
+    unique and accepted_values. Every table is scanned once, whatever number of
+    checks look at it, as child or as parent; one aggregation by check and value
+    serves them all, so a hot key travels as one row a task. A key without a
+    parent is a value that no parent's record has.
     """
-    parts = []
-    for model in dict.fromkeys(c.model for c in checks):
-        df = tables[model]
-        own = [c for c in checks if c.model == model]
-        single = [c for c in own if c.test in ("not_null", "accepted_values")]
-        if single:
-            parts.append(_one_pass(df, single))
-        for check in own:
-            if check.test == "unique":
-                found = unique(df, check.column).agg(F.count(F.lit(1)).alias("failures"))
-                parts.append(_result(found, check))
-            elif check.test == "relationships":
-                keys = df.groupBy(check.column).agg(F.count(F.lit(1)).alias("n"))
-                lost = relationships(keys, check.column, tables[check.parent], check.field)
-                found = lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures"))
-                parts.append(_result(found, check))
-            elif check.test not in ("not_null", "accepted_values"):
-                raise ValueError(f"unknown test {check.test!r}")
-    return reduce(DataFrame.unionByName, parts)
+    unknown = {c.test for c in checks} - {"not_null", "unique", "accepted_values", "relationships"}
+    if unknown:
+        raise ValueError(f"unknown tests {sorted(unknown)}")
+    models = dict.fromkeys([c.model for c in checks] + [c.parent for c in checks if c.test == "relationships"])
+    records = reduce(DataFrame.unionByName, [_records(tables[m], m, checks) for m in models])
+    counted = records.groupBy("check", "value").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+
+    def of(test: str) -> Column:
+        return F.col("check").isin([i for i, c in enumerate(checks) if c.test == test])
+
+    failures = (
+        F.when(of("not_null"), F.col("n"))
+        .when(of("unique"), (F.col("n") > 1).cast("bigint"))
+        .when(of("accepted_values"), F.lit(1))
+        .when(~F.col("known"), F.col("n"))
+    )
+    found = counted.groupBy("check").agg(F.sum(failures).alias("failures"))
+    names = [F.struct(F.lit(i).alias("check"), F.lit(c.model).alias("model"), F.lit(c.column).alias("column_name"), F.lit(c.test).alias("test")) for i, c in enumerate(checks)]
+    suite = records.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return suite.join(found, "check", "left").select("model", "column_name", "test", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

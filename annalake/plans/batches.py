@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from annalake.operators import history, loads
 from annalake.sources import sinks
-from annalake.specs import EffSatelliteSpec, HubSpec, LinkSpec, SatelliteSpec
+from annalake.specs import START_DATE, EffSatelliteSpec, HubSpec, LinkSpec, SatelliteSpec
 
 
 # Table loads of one batch submitted at the same time.
@@ -91,12 +91,30 @@ class Vault:
             self._update_state(sat, load_id)
 
     def _load_eff_satellite(self, staged: DataFrame, eff: EffSatelliteSpec, load_id: int) -> None:
-        def new_rows(existing: DataFrame | None) -> DataFrame:
-            if existing is not None and eff.mode == "active":
-                existing = history.close_relationships(existing, eff.driving_hk)
-            return loads.load_eff_satellite(staged, eff.link_hk, eff.driving_hk, eff.hub_hks, existing, eff.mode)
-
-        self._append(eff.name, load_id, new_rows)
+        new_rows = partial(loads.load_eff_satellite, staged, eff.link_hk, eff.driving_hk, eff.hub_hks, mode=eff.mode)
+        if eff.mode != "active":
+            self._append(eff.name, load_id, new_rows)
+            return
+        schema = new_rows().schema
+        active = self.active(eff, load_id, schema)
+        path = self._path(eff.name)
+        sinks.write_append(new_rows(active), path, load_id)
+        new = self.spark.read.schema(schema).parquet(f"{path}/load_id={load_id}")
+        rows = new if active is None else active.unionByName(new)
+        sinks.write_overwrite(history.newest(rows, eff.driving_hk, START_DATE), f"{path}_active", version=load_id)
+        sinks.drop_versions(self.spark, f"{path}_active")
+
+    def active(self, eff: EffSatelliteSpec, before: int | None = None, schema: T.StructType | None = None) -> DataFrame | None:
+        """The relationships in force (before a load): those at their driving key's
+        latest start. Every load keeps them as a version, made of the version before
+        and its own rows, so its input is bounded by them and the batch, not by the
+        history. Where no version is left, for a load run again after later ones,
+        they are derived from all rows."""
+        kept = sinks.read_current(self.spark, f"{self._path(eff.name)}_active", before, schema)
+        if kept is not None:
+            return kept
+        rows = self.rows(eff.name, before, schema)
+        return None if rows is None else history.newest(rows, eff.driving_hk, START_DATE)
 
     def _update_state(self, sat: SatelliteSpec, load_id: int) -> None:
         state = f"{self._path(sat.name)}_state"
@@ -104,6 +122,7 @@ class Vault:
         before = sinks.read_current(self.spark, state, load_id, new.schema)
         rows = new if before is None else before.unionByName(new)
         sinks.write_overwrite(history.close_open_only(rows, sat.hk), state, version=load_id)
+        sinks.drop_versions(self.spark, state)
 
     def run(self, batches: Iterable[DataFrame], first_id: int = 0) -> None:
         """Load staged batches in order."""

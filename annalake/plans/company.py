@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from annalake.functions.hashing import KEY_SEPARATOR
 from annalake.operators import marts
 from annalake.operators.marts import LinkSource, SatelliteSource
+from annalake.operators.matching import with_optional, with_partners
 from annalake.operators.quality import Check
 from annalake.operators.staging import Feed, stage, union_sources
 from annalake.sources.readers import read_seed, write_seed
@@ -221,9 +222,10 @@ def company_extended(hub: DataFrame, sat: DataFrame, link: DataFrame, country: D
 
 
 def company_full(
-    hub: DataFrame, sat: DataFrame, link_role: DataFrame, roles: DataFrame, link_country: DataFrame, country: DataFrame
+    hub: DataFrame, sat: DataFrame, link_role: DataFrame, roles: DataFrame, link_country: DataFrame, country: DataFrame, many: bool = False
 ) -> DataFrame:
-    """Company with role and country; companies without a current version are left out."""
+    """Company with role and country; companies without a current version are left out.
+    ``many`` says that one company may own a large share of the links."""
     versions = sat.where(F.col(IS_CURRENT) == "Y").select(
         "hk_company",
         F.col("name").alias("company_name"),
@@ -236,19 +238,15 @@ def company_full(
         F.col(RECORD_SOURCE).alias("source_system"),
     )
     countries = country.where(F.col(IS_CURRENT) == "Y").select("hk_country", F.col("name").alias("country_name"))
-    return (
-        hub.where(F.col("object_id") > 0)
-        .select("hk_company", "object_id", "source_table")
-        .join(versions, "hk_company")
-        .join(link_role.select("hk_company", "role_code"), "hk_company", "left")
-        .join(link_country.select("hk_company", "hk_country"), "hk_company", "left")
-        .join(roles.select("role_code", "role_name"), "role_code", "left")
-        .join(countries, "hk_country", "left")
-        .select(
-            "hk_company", "object_id", "source_table", "company_name", "street", "zip_code", "city",
-            "country_id", "country_name", "email", "phone", "mobile", "website", "iban", "bic",
-            "credit_rating", "role_code", "role_name", "last_updated", "source_system",
-        )
+    keys = hub.where(F.col("object_id") > 0).select("hk_company", "object_id", "source_table")
+    rows = with_partners(keys, versions, ["hk_company"])
+    rows = with_optional(rows, link_role.select("hk_company", "role_code"), ["hk_company"], many)
+    rows = with_optional(rows, link_country.select("hk_company", "hk_country"), ["hk_company"], many)
+    rows = with_optional(rows, roles.select("role_code", "role_name"), ["role_code"])
+    return with_optional(rows, countries, ["hk_country"]).select(
+        "hk_company", "object_id", "source_table", "company_name", "street", "zip_code", "city",
+        "country_id", "country_name", "email", "phone", "mobile", "website", "iban", "bic",
+        "credit_rating", "role_code", "role_name", "last_updated", "source_system",
     )
 
 

@@ -9,7 +9,6 @@ some clients move to another country. events is a daily change feed.
 
 from __future__ import annotations
 
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -22,7 +21,7 @@ from annalake.functions.hashing import hash_diff, hash_key, link_hash_key
 from annalake.operators import history, loads, replay
 from annalake.operators.staging import stage
 from annalake.plans import company as c
-from annalake.session import shared_dir, tune
+from annalake.session import tune
 from annalake.sources import sinks
 from annalake.sources.readers import read_source
 from annalake.specs import LOAD_DATE, RECORD_SOURCE
@@ -138,11 +137,6 @@ def project_feed(orders: DataFrame) -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/annalake/{uuid.uuid4().hex}"
-
-
 @dataclass(frozen=True)
 class Warehouse:
     """Vault tables of the fixture after both loads.
@@ -164,7 +158,7 @@ class Warehouse:
 
     @cached_property
     def folder(self) -> str:
-        return scratch(self.spark)
+        return sinks.scratch(self.spark)
 
     def keep(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write a table to the shared folder and read it back."""

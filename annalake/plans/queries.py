@@ -35,6 +35,7 @@ from annalake.sources import readers, sinks
 from annalake.specs import END_DATE, IS_CURRENT, LOAD_DATE, RECORD_SOURCE, START_DATE
 from annalake.specs import EffSatelliteSpec, HubSpec, SatelliteSpec
 from annalake.streaming.loads import feed_stream, stream_loads
+from annalake.streaming.state import stream_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,7 +361,7 @@ def _order_versions(w: fx.Warehouse) -> DataFrame:
 
 @query
 def sat_closed_ties(w: fx.Warehouse) -> DataFrame:
-    return history.close_versions(_order_versions(w), "hk_user", unit="day")
+    return history.close_versions(_order_versions(w), "hk_user")
 
 
 def _late_state(w: fx.Warehouse) -> DataFrame:
@@ -549,8 +550,9 @@ def mart_country_view(w: fx.Warehouse) -> DataFrame:
     obsolete = sinks.publish_sql_view(w.spark, select, "v_countries_before", "mart")
     name = sinks.publish_sql_view(w.spark, select, "v_countries", "mart")
     sinks.drop_views(w.spark, [obsolete, "mart.v_never_there"])
-    left = w.spark.sql("SHOW VIEWS IN mart").select("viewName")
-    return w.spark.table(name).join(left.where(F.col("viewName") == "v_countries_before"), F.lit(True), "left_anti")
+    if w.spark.catalog.tableExists(obsolete):
+        raise RuntimeError(f"{obsolete} is still there")
+    return w.spark.table(name)
 
 
 @query
@@ -934,3 +936,14 @@ def stream_satellite(w: fx.Warehouse) -> DataFrame:
     return vault.satellite(USER_VAULT.satellites[0])
 
 
+@query
+def stream_state_satellite(w: fx.Warehouse) -> DataFrame:
+    """The same arrivals against Spark's state store: no micro-batch reads an earlier load."""
+    (sat,) = USER_VAULT.satellites
+    events, arrived, table = w.table("events"), f"{w.folder}/arrived", f"{w.folder}/{sat.name}"
+    week = F.to_date(F.date_trunc("week", "ts"))
+    for (one,) in events.select(week).distinct().orderBy(week).collect():  # as many as the calendar has weeks
+        events.where(week == F.lit(one)).write.mode("append").parquet(arrived)
+        feed = feed_stream(w.spark, arrived, events.schema)
+        stream_versions(fx.event_feed(feed), sat, table, f"{w.folder}/progress").awaitTermination()
+    return history.close_versions(sinks.read_appended(w.spark, table), sat.hk)

@@ -10,20 +10,30 @@ half-way is never read and the previous version stays valid meanwhile.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annalake.session import shared_dir
+
+
+def _file_system(spark: SparkSession, path: str, act: Callable[[Any, Any], Any]) -> Any:
+    """``act`` on a path and the file system it points to."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return act(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder)
+
 
 def _children(spark: SparkSession, path: str) -> list[str]:
-    """Names below a folder, on whatever file system the path points to."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    return [status.getPath().getName() for status in fs.listStatus(folder)]
+    """Names below a folder."""
+
+    def names(fs: Any, folder: Any) -> list[str]:
+        return [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+
+    return _file_system(spark, path, names)
 
 
 def _numbers(names: list[str], label: str) -> list[int]:
@@ -79,6 +89,28 @@ def read_current(
     return _reader(spark, schema).parquet(f"{table}/version={versions[-1]}")
 
 
+def drop_versions(spark: SparkSession, table: str, keep: int = 2) -> None:
+    """Remove all but the newest complete versions and what is left of failed ones
+    before them. With two kept, a reader of the version before a rebuild can finish."""
+    complete = _complete_versions(spark, table)
+    for version in _numbers(_children(spark, table), "version"):
+        if len(complete) >= keep and version < complete[-keep]:
+            _file_system(spark, f"{table}/version={version}", lambda fs, path: fs.delete(path, True))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/annalake/{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows on shared storage: computed once however often they are read, and
+    not again when executors are lost."""
+    path = folder or scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def current_path(spark: SparkSession, table: str) -> str:
     """Folder of the latest complete version."""
     return f"{table}/version={_complete_versions(spark, table)[-1]}"

@@ -681,4 +681,5 @@ ended AS (SELECT f.*, (SELECT min(t.dss_load_date) FROM changes t WHERE t.hk_use
   AND t.dss_load_date > f.dss_load_date) AS dss_end_date FROM changes f)
 SELECT {relation}, {flag} FROM ended"""
     sql["stream_satellite"] = sql["batches_satellite"]
+    sql["stream_state_satellite"] = sql["batches_satellite"]
     return sql

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from contextlib import contextmanager
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -172,6 +173,16 @@ def test_evolve_keeps_history_and_rehashes(spark):
         evolve.evolve(table, "hd_item", ["value"], rebuild=True)
 
 
+@contextmanager
+def setting(spark, name, value):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def brute_force_next(rows):
     return {
         (k, ts): min((t for key, t in rows if key == k and t > ts), default=None) for k, ts in rows
@@ -179,14 +190,33 @@ def brute_force_next(rows):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 400_000)), min_size=1, max_size=60), st.sampled_from(history.SLICES))
-def test_next_later_equals_brute_force(spark, drawn, unit):
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 400_000)), min_size=1, max_size=60), st.booleans())
+def test_next_later_equals_brute_force(spark, drawn, coalesced):
+    """In one partition and in as many as there are."""
     rows = [(k, datetime.datetime(1969, 12, 30) + datetime.timedelta(seconds=s)) for k, s in drawn]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
-    found = {(r.k, r.ts): r.next_ts for r in history.next_later(df, "k", "ts", unit).collect()}
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", str(coalesced).lower()):
+        found = {(r.k, r.ts): r.next_ts for r in history.next_later(df, "k", "ts").collect()}
     assert found == brute_force_next(rows)
 
 
+def test_a_hot_key_is_closed_in_many_partitions(spark, monkeypatch):
+    """All of its times are in one second."""
+    stored = []
+    write = history.write_once
+    monkeypatch.setattr(history, "write_once", lambda df: stored.append(write(df)) or stored[-1])
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    hot = spark.range(20_000).select(F.lit("hot").alias("k"), (start + F.expr("make_dt_interval(0, 0, 0, id / 1000000)")).cast("timestamp_ntz").alias("ts"))
+    cold = spark.range(10_000).select(F.col("id").cast("string").alias("k"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"), setting(spark, "spark.sql.shuffle.partitions", "8"):
+        found = history.next_later(hot.unionByName(cold), "k", "ts")
+        assert found.where("k = 'hot' AND next_ts IS NULL").count() == 1
+        assert found.where("k = 'hot'").agg(F.sum(F.expr("timestampdiff(MICROSECOND, ts, next_ts)"))).first()[0] == 19_999
+        assert found.where("k <> 'hot' AND next_ts IS NOT NULL").count() == 0 and found.count() == 30_000
+    sizes = [r["count"] for r in stored[0].where("_key = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 6000
+
+
 def random_batches(seed, per_key_and_day=1):
     rng = random.Random(seed)
     return [
@@ -246,6 +276,30 @@ def test_repeating_a_load_changes_nothing(spark, loaded):
     assert {t: vault.rows(t).count() for t in before} == before
 
 
+def test_effectivity_loads_read_active_rows_only(spark, tmp_path, monkeypatch):
+    """The history is read by the first load alone; loads run again give the same."""
+    batches = [staged(spark, b).coalesce(1) for b in random_batches(9, per_key_and_day=2)[:4]]
+    vault = Vault(spark, str(tmp_path / "vault"), VaultSpec(eff_satellites=(EFF,)))
+    vault.load(batches[0], 0)
+    rows = Vault.rows
+    monkeypatch.setattr(Vault, "rows", None)
+    for n, batch in enumerate(batches[1:], 1):
+        vault.load(batch, n)
+        assert vault.active(EFF).count() <= 2 * 6
+    vault.load(batches[-1], len(batches) - 1)
+    monkeypatch.setattr(Vault, "rows", rows)
+    feed = staged(spark, [])
+    for n, batch in enumerate(batches):
+        feed = feed.unionByName(batch.withColumn("batch", F.date_add(F.lit("2024-01-01"), n)))
+    expected = replay.replay_eff_satellite(feed, "batch", EFF.link_hk, EFF.driving_hk, EFF.hub_hks).cache()
+    same(vault.rows(EFF.name), expected)
+    same(vault.active(EFF), vault.eff_satellite(EFF).where("dss_is_active = 'Y'"))
+    assert len(list((tmp_path / "vault" / f"{EFF.name}_active").iterdir())) == 2
+    # A load from before the versions that are kept.
+    vault.load(batches[1], 1)
+    same(vault.rows(EFF.name), expected)
+
+
 def test_entity_builds_loads_and_evolves(spark, tmp_path):
     entity = EntitySpec("item", ("item_id",), ("colour", "weight"), "shop", "2024-02-01 00:00:00", {"place": "place"})
     rows = spark.createDataFrame([(1, "red", 2.5, "A"), (2, None, 1.0, None)], "item_id bigint, colour string, weight double, place string")
@@ -278,20 +332,60 @@ def test_replay_keeps_all_rows_of_a_batch(spark):
     assert periods.count() == 3
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_replay_of_late_and_tied_rows_equals_the_loads(spark, seed):
-    """Batches whose load dates overlap and tie."""
-    rng = random.Random(seed)
-    rows = [(key, rng.choice("ABC"), day(rng.randrange(1, 5)), rng.randrange(5)) for key in range(5) for _ in range(14)]
+def numbered(spark, rows):
+    """Staged rows of (key, value, load date, batch)."""
     feed = staged(spark, [r[:3] for r in rows]).drop("batch").distinct()
-    numbers = spark.createDataFrame([(k, v, ts, b) for k, v, ts, b in rows], "item_id bigint, value string, dss_load_date timestamp_ntz, batch int").groupBy("item_id", "value", "dss_load_date").agg(F.min("batch").alias("batch"))
-    feed = feed.join(numbers, ["item_id", "value", "dss_load_date"]).cache()
+    numbers = spark.createDataFrame(rows, "item_id bigint, value string, dss_load_date timestamp_ntz, batch int").distinct()
+    joined = feed.join(numbers, ["item_id", "value", "dss_load_date"])
+    return spark.createDataFrame(joined.collect(), joined.schema).coalesce(1)
+
+
+def one_by_one(feed, load, rows):
+    """What loads leave when each compares with all before it."""
     table = None
-    for batch in range(5):
-        new = loads.load_satellite(feed.where(F.col("batch") == batch), "hk_item", "hd_item", ["value"], table, "latest")
-        table = (new if table is None else table.unionByName(new)).cache()
-        table.count()
-    same(table, replay.replay_satellite(feed, "batch", "hk_item", "hd_item", ["value"], "latest"))
+    for (batch,) in sorted(feed.select("batch").distinct().collect()):
+        new = load(feed.where(F.col("batch") == batch), table)
+        rows = new.collect() + ([] if table is None else table.collect())
+        table = feed.sparkSession.createDataFrame(rows, new.schema).coalesce(1)
+    return table
+
+
+def replayed_and_loaded(spark, rows, busy):
+    feed = numbered(spark, rows)
+
+    def satellite(batch, before):
+        return loads.load_satellite(batch, "hk_item", "hd_item", ["value"], before, "latest")
+
+    def periods(batch, before):
+        active = None if before is None else history.close_relationships(before, EFF.driving_hk)
+        return loads.load_eff_satellite(batch, EFF.link_hk, EFF.driving_hk, EFF.hub_hks, active)
+
+    same(one_by_one(feed, satellite, rows), replay.replay_satellite(feed, "batch", "hk_item", "hd_item", ["value"], "latest", busy))
+    same(one_by_one(feed, periods, rows), replay.replay_eff_satellite(feed, "batch", EFF.link_hk, EFF.driving_hk, EFF.hub_hks, busy))
+
+
+@pytest.mark.parametrize(("seed", "busy"), [(1, replay.BUSY), (2, 20)])
+def test_replay_of_late_and_tied_rows_equals_the_loads(spark, seed, busy):
+    """Load dates overlap, tie and repeat across batches; keys are followed in a
+    stream, batch by batch, or some in one way and some in the other."""
+    rng = random.Random(seed)
+    rows = [(key, rng.choice("ABCDEF"), day(rng.randrange(1, 6)), rng.randrange(6)) for key in range(5) for _ in range(8 + 6 * key)]
+    replayed_and_loaded(spark, rows, busy)
+
+
+@pytest.mark.parametrize("busy", [0, replay.BUSY])
+def test_values_known_at_one_date_over_several_batches(spark, busy):
+    """Batch 4 begins with three values that three batches brought at one date."""
+    rows = [(1, v, day(1), b) for b, v in enumerate("ABC", 1)]
+    rows += [(1, v, day(d), 4) for v, d in zip("ABCD", (10, 9, 8, 7))] + [(1, "A", day(11), 5)]
+    found = replay.replay_satellite(numbered(spark, rows), "batch", "hk_item", "hd_item", ["value"], "latest", busy)
+    assert sorted((r.value, r.dss_load_date.day) for r in found.collect()) == [("A", 1), ("A", 11), ("B", 1), ("C", 1), ("D", 7)]
+
+
+def test_many_batches_of_one_key_cost_the_same_each(spark):
+    rows = [(1, "AB"[n % 2], day(1) + datetime.timedelta(minutes=n), n) for n in range(3000)]
+    feed = numbered(spark, rows)
+    assert replay.replay_satellite(feed, "batch", "hk_item", "hd_item", ["value"], "latest").count() == 3000
 
 
 def test_rebuild_returns_open_versions(spark):
