@@ -17,29 +17,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalake.operators.matching import present_in
-from annalake.sources.sinks import write_once
 from annalake.specs import END_DATE, IS_ACTIVE, IS_CURRENT, LOAD_DATE, START_DATE
 
 
+def in_parts(points: DataFrame, key: str, ts: str) -> DataFrame:
+    """Distinct pairs with ``_part``, the number of their range partition."""
+    return points.repartitionByRange(key, ts).withColumn("_part", F.spark_partition_id())
+
+
 def next_later(df: DataFrame, key: str, ts: str) -> DataFrame:
     """One row per distinct (key, ts) with ``next_ts``, the key's next later time.
 
     Rows without key or time belong to no timeline and are left out; joined
-    back, they stay open. The partitioned pairs are written once, so that
-    everything read from them sees the same partitions.
+    back, they stay open.
     """
     given = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    points = given.select(F.col(key).alias("_key"), F.col(ts).alias("_ts")).distinct()
-    placed = points.repartitionByRange("_key", "_ts").withColumn("_part", F.spark_partition_id())
+    placed = in_parts(given.select(F.col(key).alias("_key"), F.col(ts).alias("_ts")).distinct(), "_key", "_ts")
     pair = F.struct("_key", "_ts")
     inside = Window.partitionBy("_part").orderBy("_key", "_ts")
-    chained = placed.withColumns({"_next": F.lead(pair).over(inside), "_first": F.lag(pair).over(inside).isNull()})
-    chained = write_once(chained.withColumn("_last", F.col("_next").isNull()))
-    # At most two rows a partition.
-    across = Window.orderBy("_key", "_ts")
-    ends = chained.where("_first OR _last").withColumn("_next", F.lead(pair).over(across)).where("_last")
+    chained = placed.withColumns({"_next": F.lead(pair).over(inside), "_edge": F.lag(pair).over(inside).isNull()})
+    # The ends of all partitions, at most two rows each, are chained in a group of
+    # their own; the other rows are groups of one. A second pass over the chained
+    # rows would range-partition them again, perhaps at other bounds.
+    chained = chained.withColumn("_edge", F.col("_edge") | F.col("_next").isNull())
+    groups = [F.when(~F.col("_edge"), F.col(c)) for c in ("_key", "_ts")]
+    across = Window.partitionBy(*groups).orderBy("_key", "_ts")
+    after = chained.withColumn("_next", F.coalesce("_next", F.lead(pair).over(across)))
     same = F.when(F.col("_next")["_key"] == F.col("_key"), F.col("_next")["_ts"])
-    return chained.where("NOT _last").unionByName(ends).select(F.col("_key").alias(key), F.col("_ts").alias(ts), same.alias("next_ts"))
+    return after.select(F.col("_key").alias(key), F.col("_ts").alias(ts), same.alias("next_ts"))
 
 
 def newest(rows: DataFrame, key: str, ts: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalake.operators.matching import present_in
 from annalake.session import shared_dir
+from annalake.sources.sinks import write_once
 
 
 # Frontiers kept apart before they are merged, which bounds the plan of a round.
@@ -41,7 +42,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_r
     """
     shared_dir(edges.sparkSession)
     near, far = _ends(direction)
-    hops = edges.select(F.col(near).alias("_from"), F.col(far).alias("node")).where("node is not null")
+    # Every round reads the edges.
+    hops = write_once(edges.select(F.col(near).alias("_from"), F.col(far).alias("node")).where("node is not null"))
     frontier = seeds.select("node").distinct().withColumn("distance", F.lit(0)).checkpoint()
     visited = [frontier]
     distance = 0

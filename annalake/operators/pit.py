@@ -10,13 +10,15 @@ row, and that run is expanded. The work is linear in the table produced.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalake.operators.matching import with_partners
+from annalake.sources import sinks
 from annalake.specs import LOAD_DATE, RECORD_SOURCE
 
 # Metadata of the rebuilt table.
@@ -131,6 +133,34 @@ def pit(
     )
 
 
+def stored_pit(spark: SparkSession, table: str) -> DataFrame:
+    """A point-in-time table that ``refresh_pit`` keeps, without a job to look at it."""
+    return spark.read.parquet(table).withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+
+
+def refresh_pit(table: str, hub: DataFrame, sat: DataFrame, hk: str, name: str, now: str, changed_from: date | None = None, ts: str = LOAD_DATE) -> None:
+    """Bring a stored point-in-time table, partitioned by day, up to date.
+
+    ``changed_from`` is the earliest load day of what the satellite got since the
+    last refresh, late rows included (None: all of it). The last day kept before it
+    has a row for every key seen so far; these rows stand for the whole history, so
+    only versions loaded after that day are read, and only later days are written,
+    each in place of its old partition. A refresh repeated after a failure writes
+    the same partitions again.
+    """
+    spark = sat.sparkSession
+    days = sinks.partitions(spark, table, "snapshot_date")
+    kept = [d for d in days if changed_from is not None and d < changed_from.isoformat()]
+    if not kept:
+        rows = pit(hub, sat, hk, name, now, ts=ts)
+    else:
+        last = F.lit(kept[-1]).cast("date")
+        seeds = stored_pit(spark, table).where(F.col("snapshot_date") == last).select(hk, F.col(f"{name}_load_date").alias(ts))
+        new = sat.where(F.col(ts) >= F.date_add(last, 1).cast("timestamp_ntz")).select(hk, ts)
+        rows = pit(hub, seeds.unionByName(new), hk, name, now, snapshot_spine([new], ts), ts)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(table)
+
+
 def pit_multi(
     hub: DataFrame, satellites: Mapping[str, DataFrame], hk: str, spine: DataFrame | None = None, ts: str = LOAD_DATE
 ) -> DataFrame:

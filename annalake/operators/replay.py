@@ -114,7 +114,8 @@ def _changes(feed: DataFrame, batch: str, key: str, value: str, busy: int = BUSY
     names = [F.col(c).alias(n) for c, n in ((key, "_key"), (batch, "_batch"), (value, "_value"))]
     last = write_once(given.groupBy(*names).agg(F.max(LOAD_DATE).alias("_last")))
     heavy = last.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > busy).select("_key")
-    some = not heavy.isEmpty()
+    # Stored rows are counted without reading them.
+    some = last.count() > busy and not heavy.isEmpty()
     calm = absent_from(last, heavy, ["_key"]) if some else last
     order = ["_key", "_batch", F.col("_last").desc()]
     added = calm.repartition("_key").sortWithinPartitions(*order).mapInArrow(_follow, last.drop("_last").schema)

@@ -124,6 +124,11 @@ class Vault:
         sinks.write_overwrite(history.close_open_only(rows, sat.hk), state, version=load_id)
         sinks.drop_versions(self.spark, state)
 
+    def compact(self, upto: int) -> None:
+        """Fold the loads up to a number; those that may still be repeated come after it."""
+        for spec in (*self.spec.hubs, *self.spec.links, *self.spec.satellites, *self.spec.eff_satellites):
+            sinks.compact(self.spark, self._path(spec.name), upto)
+
     def run(self, batches: Iterable[DataFrame], first_id: int = 0) -> None:
         """Load staged batches in order."""
         for load_id, staged in enumerate(batches, first_id):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalake.functions import hashing, vectors
+from annalake.functions import hashing, markup, vectors
 from annalake.operators import (
     corpus,
     evolve,
@@ -479,6 +479,21 @@ def pit_user(w: fx.Warehouse) -> DataFrame:
     return pit.pit(_user_hub(w), _user_versions(w), "hk_user", "sat_user", fx.NOW)
 
 
+@query
+def pit_refreshed(w: fx.Warehouse) -> DataFrame:
+    """The same table, brought up to date week by week: each refresh reads the last
+    kept day and what was loaded after it. The first week's first load comes late."""
+    versions, hub, table = _user_versions(w), w.keep("hub_user", _user_hub(w)), f"{w.folder}/pit_user"
+    week = F.to_date(F.date_trunc("week", LOAD_DATE))
+    weeks = [r[0] for r in versions.select(week).distinct().orderBy(week).collect()]  # as many as the calendar has
+    late = versions.agg(F.min(F.to_date(LOAD_DATE))).first()[0]
+    for one in weeks:
+        known = versions.where((week <= F.lit(one)) & (F.to_date(LOAD_DATE) > F.lit(late)))
+        pit.refresh_pit(table, hub, known, "hk_user", "sat_user", fx.NOW, changed_from=one)
+    pit.refresh_pit(table, hub, versions, "hk_user", "sat_user", fx.NOW, changed_from=late)
+    return pit.stored_pit(w.spark, table)
+
+
 @query
 def pit_company(w: fx.Warehouse) -> DataFrame:
     return pit.pit(w.hub_company, w.sat_company, "hk_company", "sat_company", fx.NOW)
@@ -737,6 +752,14 @@ def chunk_metadata(w: fx.Warehouse) -> DataFrame:
     return rows.select("doc_id", "chunk_index", F.array_join("headers", "\n").alias("headers"), "section")
 
 
+@query
+def page_chunk_metadata(w: fx.Warehouse) -> DataFrame:
+    """Chunks of web pages: titles and headings are the headers, and the sections of what follows."""
+    pages = w.table("pages").select("page_id", markup.markdown_of(F.col("html")).alias("text"))
+    rows = corpus.chunk_documents(pages, "page_id", "text", with_metadata=True)
+    return rows.select("page_id", "chunk_index", F.array_join("headers", "\n").alias("headers"), "section")
+
+
 def _old_index(w: fx.Warehouse) -> DataFrame:
     """The index before: labelled documents carry another text, some sources were unknown."""
     labels = w.table("labels").where("toxic = 1").select("doc_id", F.lit(True).alias("flagged"))
@@ -923,6 +946,16 @@ def batches_eff_satellite(w: fx.Warehouse) -> DataFrame:
     return _loaded(w).eff_satellite(USER_VAULT.eff_satellites[0])
 
 
+@query
+def batches_compacted(w: fx.Warehouse) -> DataFrame:
+    """Loads whose folders are folded into one as they come."""
+    vault = Vault(w.spark, f"{w.folder}/vault", USER_VAULT)
+    for load_id, week in enumerate(_weekly(w)):
+        vault.load(week, load_id)
+        vault.compact(load_id - 1)
+    return vault.satellite(USER_VAULT.satellites[0])
+
+
 @query
 def stream_satellite(w: fx.Warehouse) -> DataFrame:
     """Event files arrive week by week; the stream goes on where it stopped, one load per micro-batch."""

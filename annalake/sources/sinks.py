@@ -4,7 +4,8 @@ A table is a folder. Appends go to ``load_id=<n>`` and rewrite exactly that
 folder, so a load repeated after a failure replaces its own rows instead of
 adding them twice. Full rebuilds go to ``version=<n>``; readers follow the
 highest version whose ``_SUCCESS`` marker is present, so a rebuild that died
-half-way is never read and the previous version stays valid meanwhile.
+half-way is never read and the previous version stays valid meanwhile. Many loads
+can be folded into one ``compacted=<n>`` folder in the same way.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -20,6 +22,9 @@ from pyspark.sql import types as T
 
 from annalake.session import shared_dir
 
+# Column that tells the folded loads apart.
+_LOAD = "_load_id"
+
 
 def _file_system(spark: SparkSession, path: str, act: Callable[[Any, Any], Any]) -> Any:
     """``act`` on a path and the file system it points to."""
@@ -47,6 +52,9 @@ def _reader(spark: SparkSession, schema: T.StructType | None) -> DataFrameReader
 
 def write_append(df: DataFrame, table: str, load_id: int) -> None:
     """Append one load; repeating the same ``load_id`` is idempotent."""
+    folded = _complete(df.sparkSession, table, "compacted")
+    if folded and load_id <= folded[-1]:
+        raise ValueError(f"load {load_id} of {table} is folded already")
     df.write.mode("overwrite").parquet(f"{table}/load_id={load_id}")
 
 
@@ -54,15 +62,60 @@ def read_appended(
     spark: SparkSession, table: str, before: int | None = None, schema: T.StructType | None = None
 ) -> DataFrame | None:
     """All loads (those before ``before``), or None when there are none yet."""
-    loads = [n for n in _numbers(_children(spark, table), "load_id") if before is None or n < before]
-    if not loads:
-        return None
-    return _reader(spark, schema).parquet(*[f"{table}/load_id={n}" for n in loads])
+    names = _children(spark, table)
+    folded = _complete(spark, table, "compacted", names)
+    upto = folded[-1] if folded else -1
+    loads = [n for n in _numbers(names, "load_id") if n > upto and (before is None or n < before)]
+    parts = []
+    if folded:
+        own = None if schema is None else T.StructType([*schema.fields, T.StructField(_LOAD, T.LongType())])
+        rows = _reader(spark, own).parquet(f"{table}/compacted={upto}")
+        parts.append((rows if before is None or before > upto else rows.where(F.col(_LOAD) < before)).drop(_LOAD))
+    if loads:
+        parts.append(_reader(spark, schema).parquet(*[f"{table}/load_id={n}" for n in loads]))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def compact(spark: SparkSession, table: str, upto: int) -> None:
+    """Fold all loads up to number ``upto`` into one folder.
+
+    Readers take the folded loads from the newest complete folder and only later
+    loads from their own, so a row is seen once whether this ends or dies at any
+    step. What a folder replaces goes when the next one is complete, which leaves
+    running readers as much time. A folded load can't be repeated.
+    """
+    folded = _complete(spark, table, "compacted")
+    if folded and upto <= folded[-1]:
+        return
+    last = folded[-1] if folded else -1
+    loads = [n for n in _numbers(_children(spark, table), "load_id") if last < n <= upto]
+    if loads:
+        # One scan, and files as large as adaptive execution makes partitions.
+        number = F.regexp_extract("_metadata.file_path", r"/load_id=(\d+)/[^/]*$", 1).cast("bigint")
+        rows = spark.read.parquet(*[f"{table}/load_id={n}" for n in loads]).withColumn(_LOAD, number)
+        if folded:
+            rows = rows.unionByName(spark.read.parquet(f"{table}/compacted={last}"))
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{table}/compacted={upto}")
+    for name in _children(spark, table):
+        label, _, number = name.partition("=")
+        if number.isdigit() and ((label == "load_id" and int(number) <= last) or (label == "compacted" and int(number) < last)):
+            _file_system(spark, f"{table}/{name}", lambda fs, path: fs.delete(path, True))
+
+
+def partitions(spark: SparkSession, table: str, column: str) -> list[str]:
+    """Values of a partition column, from the names of folders."""
+    label = f"{column}="
+    return sorted(n.removeprefix(label) for n in _children(spark, table) if n.startswith(label))
+
+
+def _complete(spark: SparkSession, table: str, label: str, names: list[str] | None = None) -> list[int]:
+    """Numbers of the complete folders with a label."""
+    numbers = _numbers(_children(spark, table) if names is None else names, label)
+    return [n for n in numbers if "_SUCCESS" in _children(spark, f"{table}/{label}={n}")]
 
 
 def _complete_versions(spark: SparkSession, table: str) -> list[int]:
-    versions = _numbers(_children(spark, table), "version")
-    return [v for v in versions if "_SUCCESS" in _children(spark, f"{table}/version={v}")]
+    return _complete(spark, table, "version")
 
 
 def write_overwrite(

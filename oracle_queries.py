@@ -7,6 +7,8 @@ cross join and correlated maximum, chunking by recursion.
 
 from __future__ import annotations
 
+from annalake.functions.markup import MARKUP_RULES
+
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 MOMENT = "TIMESTAMP '2024-01-15 12:00:00'"
 
@@ -626,6 +628,14 @@ placed AS (SELECT c.doc_id, c.chunk_index, c.content, left(d.text, CAST(greatest
   FROM chunk_rows c JOIN documents d ON d.doc_id = c.doc_id)
 SELECT doc_id, chunk_index, array_to_string({titles('content')}, chr(10)) AS headers, list_last({titles('ahead')}) AS section
 FROM placed"""
+    markdown = "html"
+    for pattern, replacement in MARKUP_RULES:
+        markdown = f"regexp_replace({markdown}, '{pattern}', '{replacement.replace('$1', chr(92) + '1')}', 'g')"
+    sql["page_chunk_metadata"] = f"""WITH RECURSIVE documents AS MATERIALIZED (SELECT page_id AS doc_id, {markdown} AS text FROM pages), {CHUNKS},
+placed AS (SELECT c.doc_id, c.chunk_index, c.content, left(d.text, CAST(greatest(strpos(d.text, c.content) - 1, 0) AS BIGINT)) AS ahead
+  FROM chunk_rows c JOIN documents d ON d.doc_id = c.doc_id)
+SELECT doc_id AS page_id, chunk_index, array_to_string({titles('content')}, chr(10)) AS headers, list_last({titles('ahead')}) AS section
+FROM placed""".replace(r"string_split_regex(text, '\n+')", r"string_split_regex(text, '\n\n+')")
     old = """old AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'Draft.' || chr(10) || d.text ELSE d.text END AS text
   FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id WHERE d.lang <> 'de')"""
     sql["reindex_plan"] = f"""WITH {old} SELECT d.doc_id, md5(d.text) AS content_hash,
@@ -680,6 +690,8 @@ SELECT {CLOSED_COLUMNS} FROM ended"""
 ended AS (SELECT f.*, (SELECT min(t.dss_load_date) FROM changes t WHERE t.hk_user = f.hk_user
   AND t.dss_load_date > f.dss_load_date) AS dss_end_date FROM changes f)
 SELECT {relation}, {flag} FROM ended"""
+    sql["batches_compacted"] = sql["batches_satellite"]
     sql["stream_satellite"] = sql["batches_satellite"]
     sql["stream_state_satellite"] = sql["batches_satellite"]
+    sql["pit_refreshed"] = sql["pit_user"]
     return sql

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annalake.functions import chunking
+from annalake.functions import chunking, markup
 from annalake.functions.vectors import cosine_similarity
 from annalake.operators import corpus, similarity
 
@@ -199,3 +199,16 @@ def test_cosine_column(spark):
     )
     found = [r[0] for r in df.select(cosine_similarity(F.col("a"), F.col("b"))).collect()]
     assert found == pytest.approx([0.5**0.5, 0.0, 0.0])
+
+
+def test_pages_become_text_with_headers(spark):
+    page = (
+        "<html><title>A\nb</title><style>p{}</style><script>var t='<h1>no</h1>';</script><nav><ul><li>x</li></ul></nav>"
+        "<!-- <h2>no</h2> --><h1 class='t'>Top <b>of</b> it</h1><p>one<br/>two</p><H2>Sub</H2><p>three</p></html>"
+    )
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id bigint, html string")
+    texts = dict(df.select("id", markup.markdown_of(F.col("html")).alias("text")).collect())
+    assert texts == {1: "# A\n\nb\n\nx\n\n# Top of it\n\none\n\ntwo\n\n## Sub\n\nthree", 2: None, 3: ""}
+    rows = corpus.chunk_documents(df.select("id", markup.markdown_of(F.col("html")).alias("text")), "id", "text", size=12, overlap=0, with_metadata=True)
+    found = [(r.content, r.headers, r.section) for r in rows.orderBy("chunk_index").collect()]
+    assert ("three", [], "Sub") in found and any(h == ["Top of it"] for _, h, _ in found)

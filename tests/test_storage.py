@@ -30,6 +30,43 @@ def test_appends_are_idempotent_per_load(spark, tmp_path):
     assert sinks.read_appended(spark, table).columns == ["id"]
 
 
+def test_folded_loads_are_seen_once(spark, tmp_path, monkeypatch):
+    """Before, after and at every step between."""
+    table, n = str(tmp_path / "t"), 16
+    for load in range(n):
+        sinks.write_append(spark.range(load, load + 1).coalesce(1), table, load)
+
+    def check():
+        for before in (None, 3, 9, 13):
+            rows = sinks.read_appended(spark, table, before, spark.range(1).schema)
+            assert sorted(r.id for r in rows.collect()) == list(range(n if before is None else before))
+        assert sinks.read_appended(spark, table).columns == ["id"]
+        assert sinks.read_appended(spark, table, 0) is None or sinks.read_appended(spark, table, 0).isEmpty()
+
+    def names():
+        return {p.name for p in tmp_path.joinpath("t").iterdir()}
+
+    sinks.compact(spark, table, 3)
+    assert len(names()) == n + 1
+    check()
+    # One dies before its folder is complete, the next before what it replaces is gone.
+    sinks.compact(spark, table, 7)
+    (tmp_path / "t" / "compacted=7" / "_SUCCESS").unlink()
+    assert "compacted=3" in names() and "load_id=3" not in names() and "load_id=4" in names()
+    check()
+    with monkeypatch.context() as patch:
+        act_on = sinks._file_system
+        patch.setattr(sinks, "_file_system", lambda spark, path, act: None if act.__name__ == "<lambda>" else act_on(spark, path, act))
+        sinks.compact(spark, table, 11)
+    check()
+    sinks.compact(spark, table, 14)
+    check()
+    assert names() == {"compacted=11", "compacted=14", *[f"load_id={k}" for k in range(12, 16)]}
+    assert len(sinks.read_appended(spark, table).inputFiles()) <= 4
+    with pytest.raises(ValueError):
+        sinks.write_append(spark.range(1), table, 14)
+
+
 def test_rebuilds_switch_only_when_complete(spark, tmp_path):
     table = str(tmp_path / "t")
     assert sinks.read_current(spark, table) is None
