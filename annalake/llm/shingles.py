@@ -9,14 +9,13 @@ compared, two different shingles fall together with a chance of about 2^-64.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+_STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
@@ -41,14 +40,6 @@ _SEPARATOR[[32, *range(9, 14)]] = True
 _POSITION = mix(np.arange(1, 65, dtype=_U)) | _U(1)
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    power, inverse = np.full(n, _BASE, _U), np.full(n, pow(_BASE, -1, 1 << 64), _U)
-    power[0] = inverse[0] = 1
-    return np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a slice of texts without NULLs, and the offsets of the texts in them."""
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
@@ -61,12 +52,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _LOWERED) -> np.ndarray:
-    """Hashes of data[start:end] for all spans at once, from prefix sums."""
-    power, inverse = _powers(max(20, int(len(data)).bit_length()))
+    """Hashes of data[start:end] for all spans at once, which mustn't overlap, from
+    prefix sums. Every byte counts by a mixed value of its own for each place in its
+    span; a polynomial modulo 2^64 would give some different spans one hash,
+    whatever its base."""
+    place = np.zeros(len(data), np.int64)
+    place[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(place)
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum(values[data] * power[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * inverse[np.minimum(starts, len(inverse) - 1)]
-    return mix(raw + (ends - starts).astype(_U))
+    np.cumsum(mix(values[data] + place.astype(_U) * _U(_STEP)), out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(_U))
 
 
 @dataclass(frozen=True)

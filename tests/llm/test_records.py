@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from annalake.llm import sentence_pieces, token_records
+from annalake.llm import sentence_pieces, shingles, token_records
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "the", "ing", " ", "  ", "   ", "\n", " \n", "\t", "é", "中", "文", "ß", "12", "'s", " don't", "!!", " ", "　", "\u0085", "▁", "😀", "<|endoftext|>", "<0x0A>", "th", "er", "\x00"]
@@ -44,6 +44,21 @@ def test_search_equals_the_library_and_decodes_to_the_text():
         assert [data[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [t.replace("▁", " ") for t in part]
 
 
+def test_texts_that_defeat_a_polynomial_hash():
+    """The word of Thue and Morse and its complement have one hash modulo 2^64 whatever the base."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    own, library = token_records.PieceEncoder(BPE), Tokenizer.from_file(BPE)
+    assert split(*own.encode(pa.array([word, other, word]))) == [library.encode(t, add_special_tokens=False).ids for t in (word, other, word)]
+    pieces, model = sentence_pieces.SentenceEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for texts in ([word], [other], [word, other]):
+        assert split(*pieces.encode(pa.array(texts))) == model.encode(texts)
+    a, b = shingles.sets(pa.array([word, other]))
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
 def test_search_keeps_a_bounded_window():
     model = sentence_pieces.PieceModel(PIECES)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
