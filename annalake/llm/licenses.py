@@ -2,8 +2,9 @@
 
 A block is a window of consecutive words, across line breaks, as long as the
 template and ``SLACK`` words more. It meets a template at the threshold t when it
-has at least ceil(t x template) of the template's distinct words, so wrapped
-notices meet and words scattered over a text don't. Texts that have too few of
+has at least ceil(t x template) of the template's distinct words, and all that tell
+it from a template that could pass for it, so wrapped notices meet and words
+scattered over a text don't. Texts that have too few of
 them anywhere are left out first (length filter). Words are ordered by how many
 of the texts left have them, rare ones first; a window that meets a template has
 a word of the template's prefix in this order (prefix filter), so only windows
@@ -69,6 +70,16 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)))
 
 
+def required_words(token_sets: Sequence[Sequence[str]], overlaps: Sequence[int]) -> list[list[str]]:
+    """For each template the words that tell it from those that have enough of its
+    words to pass for it."""
+    found = []
+    for number, (tokens, overlap) in enumerate(zip(token_sets, overlaps, strict=True)):
+        alike = [set(tokens) - set(other) for k, other in enumerate(token_sets) if k != number and len(set(tokens) & set(other)) >= overlap]
+        found.append(sorted(set().union(*alike)))
+    return found
+
+
 def _places(text: Column, phrases: Sequence[tuple[str, str]]) -> Column:
     """For each phrase the words it starts at. Words are listed only where one occurs."""
     lower, found = _lower(text), F.lit(False)
@@ -127,11 +138,12 @@ def containment_join(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
     frequency = {r["word"]: r["count"] for r in counted}
 
     probes = []
-    for number, ((label, text), tokens, overlap) in enumerate(zip(templates, token_sets, overlaps, strict=True)):
+    needs = required_words(token_sets, overlaps)
+    for number, ((label, text), tokens, overlap, must) in enumerate(zip(templates, token_sets, overlaps, needs, strict=True)):
         ordered = sorted(tokens, key=lambda w: (frequency.get(w, 0), w))
         width = len(_WORDS.findall(text)) + SLACK
-        probes += [(number, label, tokens, overlap, width, word) for word in ordered[: len(ordered) - overlap + 1]]
-    prefixes = docs.sparkSession.createDataFrame(probes, "template int, label string, tokens array<string>, overlap int, width int, word string")
+        probes += [(number, label, tokens, must, overlap, width, word) for word in ordered[: len(ordered) - overlap + 1]]
+    prefixes = docs.sparkSession.createDataFrame(probes, "template int, label string, tokens array<string>, must array<string>, overlap int, width int, word string")
     anchors, widest = _listed(sorted({p[-1] for p in probes})), max(p[-2] for p in probes)
 
     # Only the words around an anchor leave the text, so that a long one isn't copied for each.
@@ -147,7 +159,12 @@ def containment_join(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
     start = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
     met = met.withColumn("near", F.slice("near", start + 1, F.col("at") - start + F.col("width"))).where(F.size(F.array_intersect("near", "tokens")) >= F.col("overlap"))
     blocks = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
-    met = met.withColumn("shared", F.array_max(F.transform(blocks, lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("width")), "tokens")))))
+
+    def shared(i: Column) -> Column:
+        block = F.slice("near", i, F.col("width"))
+        return F.when(F.size(F.array_except("must", block)) == 0, F.size(F.array_intersect(block, "tokens"))).otherwise(0)
+
+    met = met.withColumn("shared", F.array_max(F.transform(blocks, shared)))
     met = met.where(F.col("shared") >= F.col("overlap")).groupBy("_id", "_text_hash", "label", "template").agg(F.max(F.col("shared") / F.size("tokens")).alias("containment"))
     return met.withColumnRenamed("_id", "doc_id")
 
@@ -184,7 +201,11 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
 def oracle() -> str:
     """The same where each notice is on a line of its own, by comparing every line with every template."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    sets = ", ".join(f"({i}, {quoted(label)}, [{', '.join(map(quoted, template_words(text)))}], {needed(len(template_words(text)), THRESHOLD)})" for i, (label, text) in enumerate(TEMPLATES))
+    token_sets = [template_words(text) for _, text in TEMPLATES]
+    overlaps = [needed(len(t), THRESHOLD) for t in token_sets]
+    list_of = lambda words: f"[{', '.join(map(quoted, words))}]::VARCHAR[]"
+    needs = required_words(token_sets, overlaps)
+    sets = ", ".join(f"({i}, {quoted(label)}, {list_of(token_sets[i])}, {list_of(needs[i])}, {overlaps[i]})" for i, (label, _) in enumerate(TEMPLATES))
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     listed = f"regexp_extract_all(translate({{}}, '{_UPPER}', '{_LOWER}'), '{pattern}')"
     places, labels = [], []
@@ -193,7 +214,7 @@ def oracle() -> str:
         places.append(f"list_filter(range(len(w)), lambda i: {same})")
         labels.append(f"CASE WHEN len(list_filter(range(len(w)), lambda i: {same})) > 0 THEN {quoted(label)} END")
     return f"""
-    WITH templates(template, label, tokens, overlap) AS (VALUES {sets}),
+    WITH templates(template, label, tokens, must, overlap) AS (VALUES {sets}),
     d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     words AS (SELECT doc_id, {listed.format('t')} AS w FROM d),
     base AS (
@@ -203,7 +224,7 @@ def oracle() -> str:
     lines AS (SELECT doc_id, list_distinct({listed.format('line')}) AS own FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
     met AS (
       SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(own, tokens)) / len(tokens)) AS containment
-      FROM lines, templates WHERE len(own) >= overlap AND len(list_intersect(own, tokens)) >= overlap GROUP BY doc_id)
+      FROM lines, templates WHERE len(own) >= overlap AND len(list_intersect(own, tokens)) >= overlap AND list_has_all(own, must) GROUP BY doc_id)
     SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,

@@ -224,12 +224,19 @@ def test_licences_of_wrapped_notices_and_scattered_words(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {i: labels for i, _, labels in docs}
 
 
+def test_a_notice_of_one_licence_is_none_of_a_longer_name(spark):
+    text = dict(licenses.TEMPLATES)
+    df = spark.createDataFrame([(1, text["gpl"]), (2, text["lgpl"]), (3, text["gpl"].replace(" ", "\n")), (4, text["lgpl"].replace("Lesser", "lesser"))], "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {1: "gpl", 2: "gpl,lgpl", 3: "gpl", 4: "gpl,lgpl"}
+
+
 def blocks_by_force(text):
     words, found = ALNUM.findall(ascii_lower(text)), {}
-    for number, (_, template) in enumerate(licenses.TEMPLATES):
+    for number, (label, template) in enumerate(licenses.TEMPLATES):
         own = ALNUM.findall(ascii_lower(template))
         width = len(own) + licenses.SLACK
-        shared = max(len(set(words[i : i + width]) & set(own)) for i in range(max(1, len(words) - width + 1)))
+        blocks = [set(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+        shared = max(len(b & set(own)) if label != "lgpl" or "lesser" in b else 0 for b in blocks)
         if shared >= licenses.needed(len(set(own)), licenses.THRESHOLD):
             found[number] = shared / len(set(own))
     return found
