@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from annalake.session import shared_dir, tune
 
-#: Rows of one Arrow batch; a batch is what a Python worker holds at once.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch; a batch is what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
