@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,16 @@ from annalake.functions.chunking import (
     headers_in,
     pack_paragraphs,
 )
-from annalake.operators.matching import absent_from
+from annalake.operators.matching import absent_from, present_in
+from annalake.sources.sinks import write_once
 
 # The helpers travel with the task, so workers need no installed package.
 cloudpickle.register_pickle_by_value(chunking)
 
+# A stored index is cut into so many parts; the column that tells them apart.
+INDEX_PARTS = 64
+PART = "index_part"
+
 # How retrieved chunks are laid out in a context.
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 
@@ -138,6 +143,39 @@ def incremental_reindex(docs: DataFrame, index: DataFrame, id_col: str, text_col
     return kept.unionByName(made.select("*", *rest).select(*[f"`{c}`" for c in index.columns]))
 
 
+def _part(id_col: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
+
+
+def write_index(index: DataFrame, path: str, id_col: str, parts: int = INDEX_PARTS) -> None:
+    """Store an index in parts by a hash of the document."""
+    placed = index.withColumn(PART, _part(id_col, parts))
+    placed.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(PART)
+
+
+def refresh_index(docs: DataFrame, path: str, id_col: str, text_col: str, parts: int = INDEX_PARTS, **chunking_options) -> None:
+    """``incremental_reindex`` on a stored index. The plan is made once, texts are
+    hashed there; the parts that hold new or changed documents are read and
+    replaced, all others are neither read nor written. ``parts`` is the number the
+    index was stored with; about as many as documents change in a run keep what is
+    rewritten in proportion. Repeated after a failure it finds less to do."""
+    spark = docs.sparkSession
+    index = spark.read.parquet(path)
+    plan = write_once(reindex_plan(docs, index, id_col, text_col).where("action <> 'unchanged'").withColumn(PART, _part(id_col, parts)))
+    touched = [r[0] for r in plan.select(PART).distinct().collect()]  # at most ``parts``
+    if not touched:
+        return
+    todo = present_in(docs, plan, [id_col])
+    made = index_documents(todo, id_col, text_col, **chunking_options)
+    kept = absent_from(index.where(F.col(PART).isin(touched)).drop(PART), plan.where("action = 'changed'"), [id_col])
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema.fields if f.name not in made.columns]
+    write_index(kept.unionByName(made.select("*", *rest)), path, id_col, parts)
+
+
 def chunk_stats(index: DataFrame, id_col: str) -> DataFrame:
     """Chunks per document."""
     return index.groupBy(id_col).agg(F.count(F.lit(1)).alias("chunks"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from annalake.sources.sinks import write_once
+
 # The helpers travel with the task, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -22,6 +25,8 @@ THRESHOLD = 0.5
 
 # Similarities equal to this many decimals count as ties, broken by id.
 TIE_DECIMALS = 9
+# Numbers in the vectors of queries that are broadcast at most: 32 MB.
+BROADCAST_VALUES = 4 << 20
 # About so many queries and items meet in one tile.
 TILE_QUERIES = 512
 TILE_ITEMS = 8192
@@ -80,6 +85,35 @@ def _numbered(df: DataFrame, key: Column, tile: int) -> tuple[DataFrame, int]:
     return df.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(parts))), parts
 
 
+def _scan(batches: Iterable[pa.RecordBatch], queries: pa.Table, k: int, threshold: float | None) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best items of a task for each query."""
+    best: list[pa.Table] = []
+    held = 0
+
+    def fewer() -> pa.Table:
+        found = pa.concat_tables(best).sort_by([("query", "ascending"), ("similarity", "descending"), ("item", "ascending")])
+        codes = found["query"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        first = _first_of_run(codes)
+        return found.filter(pa.array(np.arange(len(codes)) - first < k))
+
+    for batch in batches:
+        items = pa.table({"query": pa.nulls(batch.num_rows, queries.schema.field("query").type), "item": batch.column("item"), "vector": batch.column("vector").cast(queries.schema.field("vector").type)})
+        found = _best(pa.concat_tables([queries, items]), k, threshold)
+        best.append(found)
+        held += found.num_rows
+        if held > 4 * k * queries.num_rows:
+            best = [fewer()]
+            held = best[0].num_rows
+    if best:
+        yield from fewer().to_batches()
+
+
+def _first_of_run(codes: np.ndarray) -> np.ndarray:
+    """Where each element's run of equal ones starts."""
+    starts = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1) != 0)
+    return starts[np.cumsum(np.isin(np.arange(len(codes)), starts)) - 1]
+
+
 def similarity_search(
     queries: DataFrame,
     index: DataFrame,
@@ -92,9 +126,12 @@ def similarity_search(
 ) -> DataFrame:
     """(query, item, similarity, rank): the ``k`` most similar items per query.
 
-    Brute force and exact, on executors only: queries and items are dealt to
-    parts by hash, and every pair of parts is a tile of bounded size, scored
-    with one matrix product. A tile returns at most ``k`` rows for each query.
+    Brute force and exact. Queries whose vectors have at most ``BROADCAST_VALUES``
+    numbers are broadcast, and the index is scanned where it lies: a task hands on
+    ``k`` rows for each query, nothing else is shuffled. More queries are dealt to
+    parts by hash, as the items are, and every pair of parts is a tile of bounded
+    size, scored with one matrix product on the executors; a tile returns at most
+    ``k`` rows for each query.
     The threshold applies to the similarity itself; ties are those of its first
     decimals. Items without a vector are skipped; a zero vector or a vector of
     another length has similarity 0.
@@ -104,13 +141,26 @@ def similarity_search(
     def rows(df: DataFrame, key: str, vector: str) -> DataFrame:
         return df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{vector}`").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
 
-    asked, query_parts = _numbered(rows(queries, query_id, query_vector), F.col("_key"), TILE_QUERIES)
-    held, item_parts = _numbered(rows(index, item_id, item_vector).where("_key IS NOT NULL"), F.col("_key"), TILE_ITEMS)
-    asked = asked.select(F.col("_key").alias("query"), F.lit(None).cast(item_type).alias("item"), "vector", F.col("_own").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(item_parts - 1))).alias("i"))
-    held = held.select(F.lit(None).cast(query_type).alias("query"), F.col("_key").alias("item"), "vector", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"), F.col("_own").alias("i"))
     schema = T.StructType([T.StructField("query", query_type), T.StructField("item", item_type), T.StructField("similarity", T.DoubleType())])
-    tiles = asked.unionByName(held).groupBy("q", "i")
-    found = tiles.applyInArrow(lambda table: _best(table.select(["query", "item", "vector"]), k, threshold), schema)
+    asked = write_once(rows(queries, query_id, query_vector))
+    held = rows(index, item_id, item_vector).where("_key IS NOT NULL")
+    size = asked.agg(F.coalesce(F.sum(F.size("vector") + 1), F.lit(0))).first()[0]
+    if size <= BROADCAST_VALUES:
+        few = asked.select(F.col("_key").alias("query"), F.lit(None).cast(item_type).alias("item"), "vector").toArrow()
+        shared = queries.sparkSession.sparkContext.broadcast(few)
+        found = held.select(F.col("_key").alias("item"), "vector").mapInArrow(lambda batches: _scan(batches, shared.value, k, threshold), schema)
+    else:
+        found = _tiles(asked, held, query_type, item_type, k, threshold, schema)
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), F.col("item").asc())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias(query_id), F.col("item").alias(item_id), "similarity", "rank")
+
+
+def _tiles(asked: DataFrame, held: DataFrame, query_type: T.DataType, item_type: T.DataType, k: int, threshold: float | None, schema: T.StructType) -> DataFrame:
+    """Both sides dealt to parts; every pair of parts is scored by itself."""
+    asked, query_parts = _numbered(asked, F.col("_key"), TILE_QUERIES)
+    held, item_parts = _numbered(held, F.col("_key"), TILE_ITEMS)
+    asked = asked.select(F.col("_key").alias("query"), F.lit(None).cast(item_type).alias("item"), "vector", F.col("_own").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(item_parts - 1))).alias("i"))
+    held = held.select(F.lit(None).cast(query_type).alias("query"), F.col("_key").alias("item"), "vector", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"), F.col("_own").alias("i"))
+    tiles = asked.unionByName(held).groupBy("q", "i")
+    return tiles.applyInArrow(lambda table: _best(table.select(["query", "item", "vector"]), k, threshold), schema)

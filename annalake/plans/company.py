@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from annalake.functions.hashing import KEY_SEPARATOR
 from annalake.operators import marts
 from annalake.operators.marts import LinkSource, SatelliteSource
-from annalake.operators.matching import with_optional, with_partners
+from annalake.operators.matching import with_optional
 from annalake.operators.quality import Check
 from annalake.operators.staging import Feed, stage, union_sources
 from annalake.sources.readers import read_seed, write_seed
@@ -239,7 +239,7 @@ def company_full(
     )
     countries = country.where(F.col(IS_CURRENT) == "Y").select("hk_country", F.col("name").alias("country_name"))
     keys = hub.where(F.col("object_id") > 0).select("hk_company", "object_id", "source_table")
-    rows = with_partners(keys, versions, ["hk_company"])
+    rows = keys.join(versions, ["hk_company"])
     rows = with_optional(rows, link_role.select("hk_company", "role_code"), ["hk_company"], many)
     rows = with_optional(rows, link_country.select("hk_company", "hk_country"), ["hk_company"], many)
     rows = with_optional(rows, roles.select("role_code", "role_name"), ["role_code"])

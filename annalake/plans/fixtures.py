@@ -9,6 +9,7 @@ some clients move to another country. events is a daily change feed.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -33,8 +34,27 @@ DEFAULT_SOURCE = "portal"
 BATCH = T.StructField("batch", T.IntegerType())
 
 
+# Columns of the given tables with their types.
+GIVEN = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_source(tune(spark), f"{sf_dir}/{name}.parquet")
+    return read_source(tune(spark), f"{sf_dir}/{name}.parquet", GIVEN[name])
 
 
 def money(column: str) -> Column:
@@ -175,6 +195,18 @@ class Warehouse:
             list(pool.map(lambda name: getattr(kept, name), names))
         return kept
 
+    def bucketed(self, **keys: str) -> Warehouse:
+        """This warehouse with the named tables stored in buckets of a key: what joins
+        them on it later needs no exchange, however often."""
+        kept = replace(self)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        _ = self.folder, self.staged
+        for name, key in keys.items():
+            full = f"{name}_{uuid.uuid4().hex}"
+            sinks.write_bucketed(getattr(self, name), full, key, buckets, f"{self.folder}/{full}")
+            kept.__dict__[name] = self.spark.table(full)
+        return kept
+
     def _vault(self, name: str, df: DataFrame) -> DataFrame:
         return self.keep(name, df) if self.stored else df
 

@@ -610,6 +610,29 @@ def mart_company_full(w: fx.Warehouse) -> DataFrame:
     return c.company_full(w.hub_company, w.sat_company, w.link_role, w.roles, w.link_country, w.sat_country)
 
 
+def _stored(w: fx.Warehouse, *company: str) -> fx.Warehouse:
+    return w.bucketed(**dict.fromkeys(("hub_company", "sat_company", *company), "hk_company"), sat_country="hk_country")
+
+
+@query
+def mart_company_current_stored(w: fx.Warehouse) -> DataFrame:
+    """The marts over vault tables in buckets: no exchange by company is left in them."""
+    w = _stored(w)
+    return c.company_current(w.hub_company, w.sat_company)
+
+
+@query
+def mart_company_extended_stored(w: fx.Warehouse) -> DataFrame:
+    w = _stored(w, "link_country")
+    return c.company_extended(w.hub_company, w.sat_company, w.link_country, w.sat_country)
+
+
+@query
+def mart_company_full_stored(w: fx.Warehouse) -> DataFrame:
+    w = _stored(w, "link_country", "link_role")
+    return c.company_full(w.hub_company, w.sat_company, w.link_role, w.roles, w.link_country, w.sat_country)
+
+
 @query
 def mart_star_aliases(w: fx.Warehouse) -> DataFrame:
     """All attributes of country and company, colliding names prefixed."""
@@ -782,6 +805,15 @@ def incremental_reindex(w: fx.Warehouse) -> DataFrame:
     return corpus.incremental_reindex(w.table("documents"), _old_index(w), "doc_id", "text", separator=SEPARATOR)
 
 
+@query
+def reindex_stored(w: fx.Warehouse) -> DataFrame:
+    """The same on a stored index, of which only the parts with changed documents are written."""
+    path = f"{w.folder}/chunks"
+    corpus.write_index(_old_index(w), path, "doc_id")
+    corpus.refresh_index(w.table("documents"), path, "doc_id", "text", separator=SEPARATOR)
+    return corpus.read_index(w.spark, path)
+
+
 @query
 def chunk_stats(w: fx.Warehouse) -> DataFrame:
     return corpus.chunk_stats(corpus.chunk_documents(w.table("documents"), "doc_id", "text", separator=SEPARATOR), "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_source(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_source(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet scan; with a declared schema the reader neither infers nor merges."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

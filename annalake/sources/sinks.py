@@ -169,13 +169,15 @@ def current_path(spark: SparkSession, table: str) -> str:
     return f"{table}/version={_complete_versions(spark, table)[-1]}"
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """Catalog table bucketed and sorted by its hash key.
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Catalog table bucketed and sorted by its hash key, in the warehouse or at a path.
 
     Hub, satellite and link tables bucketed alike join on the key without a
-    shuffle, which is what repeated mart queries at scale want.
+    shuffle, which is what repeated mart queries at scale want. Rows are dealt
+    by the key first, so a bucket is one file.
     """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
 
 
 def view_name(schema: str | None, name: str, default: str | None = None) -> str:

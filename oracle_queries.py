@@ -694,4 +694,7 @@ SELECT {relation}, {flag} FROM ended"""
     sql["stream_satellite"] = sql["batches_satellite"]
     sql["stream_state_satellite"] = sql["batches_satellite"]
     sql["pit_refreshed"] = sql["pit_user"]
+    sql["reindex_stored"] = sql["incremental_reindex"]
+    for name in ("mart_company_current", "mart_company_extended", "mart_company_full"):
+        sql[f"{name}_stored"] = sql[name]
     return sql

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from annalake.operators import history, marts, pit, quality
 from annalake.operators.marts import LinkSource, SatelliteSource
 from annalake.operators.quality import Check
+from annalake.plans import company as c
+from annalake.plans import fixtures as fx
 
 
 def ts(text):
@@ -218,3 +220,51 @@ def test_refreshed_point_in_time_equals_a_rebuild(spark, tmp_path):
     refresh(on_time, datetime.date(2024, 1, 12))
     refresh(sat, datetime.date(2024, 1, 4))
     assert {p for p in before if p.parent.name < "snapshot_date=2024-01-04"} <= set(files())
+
+
+def test_every_table_of_a_suite_is_scanned_once(spark, tmp_path):
+    """Six checks on three tables, two of them parents."""
+    rows = {"hub": [("a", 1), ("b", 1), (None, 3)], "sat": [("a", 1), ("a", 2), ("c", None), ("d", 9), ("d", 9)], "ref": [("x", 1)]}
+    tables = {}
+    for name, values in rows.items():
+        spark.createDataFrame(values, "hk string, n int").coalesce(1).write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    checks = [
+        Check("hub", "hk", "not_null"),
+        Check("hub", "n", "unique"),
+        Check("sat", "hk", "relationships", parent="hub", field="hk"),
+        Check("sat", "n", "relationships", parent="ref", field="n"),
+        Check("sat", "hk", "accepted_values", ("a",)),
+        Check("ref", "hk", "unique"),
+    ]
+    found = quality.run_checks(tables, checks)
+    assert {(r.model, r.column_name, r.test): r.failures for r in found.collect()} == {
+        ("hub", "hk", "not_null"): 1,
+        ("hub", "n", "unique"): 1,
+        ("sat", "hk", "relationships"): 3,
+        ("sat", "n", "relationships"): 3,
+        ("sat", "hk", "accepted_values"): 2,
+        ("ref", "hk", "unique"): 0,
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
+    with pytest.raises(ValueError):
+        quality.run_checks(tables, [Check("hub", "hk", "between")])
+
+
+def test_marts_over_buckets_exchange_nothing_by_company(spark):
+    """The links of a company stay in its bucket as well."""
+    w = fx.Warehouse(spark, "/root/testdata/sf0.001")
+    w = w.bucketed(hub_company="hk_company", sat_company="hk_company", link_country="hk_company", link_role="hk_company", sat_country="hk_country")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mart in (
+            c.company_current(w.hub_company, w.sat_company),
+            c.company_extended(w.hub_company, w.sat_company, w.link_country, w.sat_country),
+            c.company_full(w.hub_company, w.sat_company, w.link_role, w.roles, w.link_country, w.sat_country),
+        ):
+            plan = mart._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(hk_company" not in plan and "SortMergeJoin [hk_company" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

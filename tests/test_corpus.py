@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,13 +169,16 @@ def brute_force(queries, data, k, threshold):
     return found
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
 @pytest.mark.parametrize("k,threshold", [(5, 0.5), (7, None), (3, 0.99)])
-def test_search_equals_brute_force(spark, vectors, monkeypatch, k, threshold):
+def test_search_equals_brute_force(spark, vectors, monkeypatch, k, threshold, broadcast):
     data, index = vectors
     queries = [(f"q{i}", data[i % len(data)]) for i in range(30)]
     # Many small tiles must give the same answer as one.
     monkeypatch.setattr(similarity, "TILE_QUERIES", 8)
     monkeypatch.setattr(similarity, "TILE_ITEMS", 16)
+    if not broadcast:
+        monkeypatch.setattr(similarity, "BROADCAST_VALUES", 0)
     frame = spark.createDataFrame([(q, v.tolist()) for q, v in queries], "query_id string, embedding array<double>")
     found = similarity.similarity_search(frame, index, k=k, threshold=threshold)
     rows = sorted((r.query_id, r["rank"], r.vec_id, r.similarity) for r in found.collect())
@@ -183,6 +187,22 @@ def test_search_equals_brute_force(spark, vectors, monkeypatch, k, threshold):
     assert np.allclose([r[3] for r in rows], [e[3] for e in expected], atol=1e-8)
 
 
+def test_few_queries_scan_the_index_without_a_shuffle_of_it(spark, vectors):
+    _, index = vectors
+    frame = spark.createDataFrame([(f"q{i}", [1.0, float(i)] * 4) for i in range(3)], "query_id string, embedding array<double>")
+    found = similarity.similarity_search(frame, index.coalesce(3), k=2, threshold=None)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(query") > 0
+    batches = index.select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL").toArrow().to_batches(max_chunksize=7)
+    queries = frame.select(F.col("query_id").alias("query"), F.lit(None).cast("bigint").alias("item"), F.col("embedding").alias("vector")).toArrow()
+    # What a task holds is cut back as it goes; it hands on k rows a query.
+    parts = list(similarity._scan(iter(batches), queries, 2, None))
+    assert sum(p.num_rows for p in parts) == 6
+    one = sorted(zip(*[pa.Table.from_batches(parts)[c].to_pylist() for c in ("query", "item")]))
+    assert one == sorted((r.query_id, r.vec_id) for r in found.collect())
+
+
 def test_search_edge_cases(spark, vectors):
     _, index = vectors
     short = spark.createDataFrame([("s", [1.0, 2.0])], "query_id string, embedding array<double>")
@@ -212,3 +232,26 @@ def test_pages_become_text_with_headers(spark):
     rows = corpus.chunk_documents(df.select("id", markup.markdown_of(F.col("html")).alias("text")), "id", "text", size=12, overlap=0, with_metadata=True)
     found = [(r.content, r.headers, r.section) for r in rows.orderBy("chunk_index").collect()]
     assert ("three", [], "Sub") in found and any(h == ["Top of it"] for _, h, _ in found)
+
+
+def test_stored_index_rewrites_changed_parts_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(i, f"text {i}\n\n" + "more words here " * (i % 5)) for i in range(60)], "doc_id bigint, text string").coalesce(2)
+    first = corpus.index_documents(docs, "doc_id", "text", size=30).withColumn("vector", F.array(F.lit(1.0)))
+    corpus.write_index(first, path, "doc_id", parts=16)
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
+
+    before = files()
+    corpus.refresh_index(docs, path, "doc_id", "text", parts=16, size=30)
+    assert files() == before
+    changed = docs.where("doc_id < 58").withColumn("text", F.when(F.col("doc_id") == 3, "other").otherwise(F.col("text"))).union(spark.createDataFrame([(100, "new")], docs.schema))
+    expected = corpus.incremental_reindex(changed, first, "doc_id", "text", size=30)
+    corpus.refresh_index(changed, path, "doc_id", "text", parts=16, size=30)
+    columns = ["doc_id", "chunk_index", "content", "content_hash", "vector"]
+    found = sorted(map(repr, corpus.read_index(spark, path).select(*columns).collect()))
+    assert found == sorted(map(repr, expected.select(*columns).collect()))
+    kept = {p.parent.name for p, at in files().items() if before.get(p) == at}
+    parts = {p.parent.name for p in before}
+    assert len(parts) >= 12 and len(parts - kept) <= 2
