@@ -58,7 +58,7 @@ HEAD = 1 << 16
 HEAD_BYTES = 64
 #: Tokens of a segment, and of a chunk of texts that is scored at once.
 SEGMENT = 2048
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Steps between two rescalings of a transfer matrix.
 _RESCALE = 8
 #: Expected counts travel as multiples of 1 / _UNIT.
