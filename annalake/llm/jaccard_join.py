@@ -13,7 +13,8 @@ what two sets can have in common.
 
 Links inside one component needn't all be found to know the component. So each
 posting list first links neighbours only, in two sequences, which is linear in
-its length; then only candidates between different components are paired.
+its length; then only candidates between different components are paired, and of
+these only such as can link by what both share with a pivot of their list.
 
 Defined results: a NULL or empty text has no shingle, links with nothing and is
 its own component. Rows with a NULL id are returned with a NULL component and
@@ -42,6 +43,9 @@ COUNTER_BITS = 23
 COUNTERS, BLOCK = 1 << COUNTER_BITS, 1 << 15
 #: Seeds of the global orders; the first one makes candidates, the others filter them.
 ORDERS = (11, 23, 37)
+#: Rows of a posting list that are held against a pivot before they are paired, and
+#: words of 64 bits for the shingles in which a set and its pivot differ.
+PIVOT_LIST, WORDS_OF_BITS = 16, 8
 #: Bits of the sieve for ids, and how many partial ones the driver joins.
 SIEVE, SIEVE_PARTS = 1 << 23, 8
 _U = np.uint64
@@ -161,20 +165,90 @@ def _neighbours(lists: DataFrame, order: list[Column]) -> DataFrame:
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
-def _between(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates of different components. In each list one side leaves out the
-    list's commonest component, so that what is paired is small even where that
-    component has most of a long list."""
+def _bits(some: np.ndarray) -> tuple[np.ndarray, int]:
+    """A few shingles as bits, and how many of them fell on a bit that was set already."""
+    places = (seeded(some, 71) & _U(64 * WORDS_OF_BITS - 1)).astype(np.int64)
+    bits = np.zeros(WORDS_OF_BITS, _U)
+    np.bitwise_or.at(bits, places >> 6, _U(1) << (places & 63).astype(_U))
+    return bits.view(np.int64), len(some) - int(np.bitwise_count(bits).sum())
+
+
+def against(own: np.ndarray, pivot: np.ndarray) -> dict[str, object]:
+    """A set seen from a pivot: what they share, what it has besides and what it lacks.
+
+    Of two sets seen from one pivot, at most
+    shared(x) - lacks(y) + both lack + both have besides are in both of them.
+    """
+    besides, lacking = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
+    (more, more_again), (less, less_again) = _bits(besides), _bits(lacking)
+    return {"shared": len(own) - len(besides), "lacks": len(lacking), "more_again": more_again, "less_again": less_again, "more": more, "less": less}
+
+
+_COUNTS = ("shared", "lacks", "more_again", "less_again")
+_MORE, _LESS = ([f"{side}{i}" for i in range(WORDS_OF_BITS)] for side in ("more", "less"))
+_SEEN = [*_COUNTS, *_MORE, *_LESS]
+
+
+def _views(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(node, pivot, what ``against`` tells) of pairs with their texts."""
+    types = {"node": pa.int64(), "pivot": pa.int64(), **dict.fromkeys(_COUNTS, pa.int32()), **dict.fromkeys([*_MORE, *_LESS], pa.int64())}
+    for batch in batches:
+        known = _sets_of(batch, ("node", "pivot"), ("text_a", "text_b"), width)
+        pairs = list(zip(batch.column("node").to_pylist(), batch.column("pivot").to_pylist(), strict=True))
+        found = [against(known[node], known[pivot]) for node, pivot in pairs]
+        columns = {"node": [p[0] for p in pairs], "pivot": [p[1] for p in pairs], **{c: [f[c] for f in found] for c in _COUNTS}}
+        for side, names in (("more", _MORE), ("less", _LESS)):
+            columns |= {name: [f[side][i] for f in found] for i, name in enumerate(names)}
+        yield arrow_batch(columns, types)
+
+
+def _between(lists: DataFrame, labels: DataFrame, edges: DataFrame, classes: DataFrame, texts: DataFrame, width: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates of different components, and links found on the way. In each list
+    one side leaves out the list's commonest component, so that what is paired is
+    small even where that component has most of a long list.
+
+    In a list of ``PIVOT_LIST`` rows or more, all of them are first held against one
+    of them, the pivot, which is linear. What two sets share with it, lack of it and
+    have besides, as counts and bits, bounds what they have in common. So the many
+    texts that stand around a common one just below the threshold aren't candidates
+    of each other.
+    """
     placed = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    placed = placed.join(mixed, "token", "left_semi")
+    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("token", "rows")
+    placed = stored(placed.join(mixed, "token"), f"{folder}/mixed")
     sizes = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
     common = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).getField("label").alias("common"))
-    left = placed.join(common, "token").where("label <> common")
-    right = placed.join(common, "token").select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("where"), F.col("label").alias("other"), (F.col("label") == F.col("common")).alias("is_common"))
-    pairs = left.select("token", "node", "n", "at", "label").join(right, "token")
-    pairs = pairs.where((F.col("label") != F.col("other")) & (F.col("is_common") | (F.col("node") < F.col("b"))) & _possible(F.col("n"), F.col("at"), F.col("m"), F.col("where")))
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+    degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).getField("node")
+    pivots = placed.where(F.col("rows") >= PIVOT_LIST).join(degree, "node", "left").groupBy("token").agg(best.alias("pivot"))
+    common = stored(common.join(pivots, "token", "left"), f"{folder}/pivots")
+    asked = placed.join(common.where("pivot IS NOT NULL"), "token").select("node", "pivot").distinct()
+    asked = stored(asked, f"{folder}/asked")
+    found = _fetched(asked.select("node").union(asked.select("pivot")).distinct(), classes, texts, width, f"{folder}/asked-of")
+    joined = asked.join(found.withColumnRenamed("text", "text_a"), "node").join(found.select(F.col("node").alias("pivot"), F.col("text").alias("text_b")), "pivot")
+    schema = ", ".join(["node long, pivot long", *[f"{c} int" for c in _COUNTS], *[f"{c} long" for c in [*_MORE, *_LESS]]])
+    views = stored(joined.select("node", "pivot", "text_a", "text_b").mapInArrow(lambda x: _views(x, width), schema), f"{folder}/views")
+
+    rows = placed.join(common, "token").join(views, ["node", "pivot"], "left")
+    left = rows.where("label <> common")
+    right = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("where"), F.col("label").alias("other"), (F.col("label") == F.col("common")).alias("is_common"), *[F.col(c).alias(f"{c}_b") for c in _SEEN])
+    pairs = left.select("token", "node", "n", "at", "label", *_SEEN).join(right, "token")
+
+    def both(names: list[str], again: str) -> Column:
+        return sum((F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}_b"))) for c in names), F.least(again, f"{again}_b"))
+
+    most = F.col("shared") - F.col("lacks_b") + both(_LESS, "less_again") + both(_MORE, "more_again")
+    enough = most.isNull() | (most * (100 + PERCENT) >= F.lit(PERCENT) * (F.col("n") + F.col("m")))
+    pairs = pairs.where((F.col("label") != F.col("other")) & (F.col("is_common") | (F.col("node") < F.col("b"))) & _possible(F.col("n"), F.col("at"), F.col("m"), F.col("where")) & enough)
+    size = classes.groupBy("node").agg(F.min("n").alias("n"))
+    close = views.where("node <> pivot").join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n").alias("m")), "pivot")
+    close = close.where(F.col("shared") * (100 + PERCENT) >= F.lit(PERCENT) * (F.col("n") + F.col("m")))
+    return _ordered(pairs, "node", "b"), stored(_ordered(close, "node", "pivot").distinct(), f"{folder}/close")
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -193,23 +267,27 @@ def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _sets_of(batch: pa.RecordBatch, names: tuple[str, str], columns: tuple[str, str], width: int) -> dict[int, np.ndarray]:
+    """The sets of all nodes of a batch of pairs. Each text is read once."""
+    first: dict[int, tuple[int, int]] = {}
+    for side, name in enumerate(names):
+        for row, node in enumerate(batch.column(name).to_pylist()):
+            first.setdefault(node, (side, row))
+    known: dict[int, np.ndarray] = {}
+    for side, column in enumerate(columns):
+        wanted = [(node, row) for node, (of, row) in first.items() if of == side]
+        texts = pa.RecordBatch.from_arrays([pa.array([node for node, _ in wanted], pa.int64()), batch.column(column).take(pa.array([row for _, row in wanted], pa.int64()))], names=["node", "text"])
+        for part in text_slices([texts]):
+            known.update(zip(part.column("node").to_pylist(), sets(part.column("text"), width), strict=True))
+    return known
+
+
 def _verify(batches: Iterable[pa.RecordBatch], levels: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
-    """The pairs that share prefixes under all further orders, and then link. Each text of a batch is read once."""
+    """The pairs that share prefixes under all further orders, and then link."""
     for batch in batches:
-        nodes = [batch.column(c).to_pylist() for c in ("a", "b")]
-        first: dict[int, tuple[int, int]] = {}
-        for side, own in enumerate(nodes):
-            for row, node in enumerate(own):
-                first.setdefault(node, (side, row))
-        known: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for side, column in enumerate(("text_a", "text_b")):
-            wanted = [(node, row) for node, (of, row) in first.items() if of == side]
-            texts = pa.RecordBatch.from_arrays([pa.array([node for node, _ in wanted], pa.int64()), batch.column(column).take(pa.array([row for _, row in wanted], pa.int64()))], names=["node", "text"])
-            for part in text_slices([texts]):
-                for node, own in zip(part.column("node").to_pylist(), sets(part.column("text"), width), strict=True):
-                    known[node] = own, [np.sort(prefix(own, levels.value, seed)) for seed in ORDERS[1:]]
+        known = {node: (own, [np.sort(prefix(own, levels.value, seed)) for seed in ORDERS[1:]]) for node, own in _sets_of(batch, ("a", "b"), ("text_a", "text_b"), width).items()}
         kept = []
-        for a, b in zip(*nodes, strict=True):
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             (x, firsts), (y, others) = known[a], known[b]
             if all(_shared(p, q) for p, q in zip(firsts, others, strict=True)) and links(x, y):
                 kept.append((a, b))
@@ -253,11 +331,9 @@ def _places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(_U)) & _U(SIEVE - 1)).astype(np.int64)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, levels: Broadcast, width: int, folder: str) -> DataFrame:
-    """Of candidate pairs of nodes those that link. Only texts of promising candidates are shuffled."""
-    pairs = stored(_promising(stored(pairs.distinct(), f"{folder}/candidates"), classes, folder), f"{folder}/pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    holders = stored(classes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{folder}/holders")
+def _fetched(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int, folder: str) -> DataFrame:
+    """(node, text) of some nodes. Only their texts are shuffled."""
+    holders = stored(classes.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{folder}/holders")
     sieve = texts.sparkSession.sparkContext.broadcast(_sieve(holders))
 
     def sifted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +349,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, levels: Br
             yield batch.select(["node", "text"]).filter(pa.array(own, pa.bool_()))
 
     found = found.select("doc_id", "node", "text").mapInArrow(named, "node long, text string").dropDuplicates(["node"])
-    found = stored(found, f"{folder}/texts")
+    return stored(found, f"{folder}/texts")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, levels: Broadcast, width: int, folder: str) -> DataFrame:
+    """Of candidate pairs of nodes those that link. Only texts of promising candidates are shuffled."""
+    pairs = stored(_promising(stored(pairs.distinct(), f"{folder}/candidates"), classes, folder), f"{folder}/pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    found = _fetched(wanted, classes, texts, width, folder)
     joined = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(joined.mapInArrow(lambda x: _verify(x, levels, width), "a long, b long"), f"{folder}/edges")
 
@@ -302,8 +385,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = _neighbours(lists, [F.col("n"), F.col("node")]).union(_neighbours(lists, [F.xxhash64("node", "token"), F.col("node")]))
     first_edges = _verified(near, classes, usable, levels, width, f"{folder}/near")
     first_labels = components(first_edges, f"{folder}/first")
-    across = _between(lists, first_labels)
-    more_edges = _verified(across, classes, usable, levels, width, f"{folder}/across")
+    across, close = _between(lists, first_labels, first_edges, classes, usable, width, f"{folder}/between")
+    more_edges = _verified(across, classes, usable, levels, width, f"{folder}/across").unionByName(close)
     if more_edges.isEmpty():
         labels = first_labels
     else:

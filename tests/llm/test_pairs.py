@@ -302,3 +302,43 @@ def test_hilbert_neighbours_on_the_curve_are_neighbours_in_the_grid():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     order = np.argsort(hilbert_neighbours.hilbert_keys(grid, 3))
     assert (np.abs(np.diff(grid[order], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_bound_by_a_pivot_is_never_too_low():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+        x, y, p = (np.unique(rng.choice(pool, rng.integers(1, 200))) for _ in range(3))
+        a, b = (jaccard_join.against(s, p) for s in (x, y))
+
+        def both(bits, again):
+            return int(np.bitwise_count((a[bits] & b[bits]).view(np.uint64)).sum()) + min(a[again], b[again])
+
+        assert len(np.intersect1d(x, y)) <= a["shared"] - b["lacks"] + both("less", "less_again") + both("more", "more_again")
+        assert a["shared"] == len(np.intersect1d(x, p)) and a["lacks"] == len(p) - a["shared"]
+
+
+def test_many_copies_around_the_threshold_equal_brute_force(spark, monkeypatch):
+    """Copies of one text with some words replaced: links, near misses, and edits that some share."""
+    monkeypatch.setattr(jaccard_join, "PIVOT_LIST", 3)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 120):
+        words = list(base)
+        for k in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(120)] = rng.choice([f"x{i}-{k}", "shared", "also"])
+        if rng.random() < 0.3:
+            words = words[: rng.randrange(80, 120)]
+        docs.append((i, " ".join(words)))
+    rows = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    own = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    label = {i: i for i in own}
+    changed = True
+    while changed:
+        changed = False
+        for i in own:
+            for j in own:
+                if label[j] < label[i] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]):
+                    label[i], changed = label[j], True
+    assert rows == label and len(set(label.values())) > 5
