@@ -202,49 +202,57 @@ def _views(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         yield arrow_batch(columns, types)
 
 
+def _other_component(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
+    """Pairs of rows with one key and different labels, one side without the key's
+    commonest label; the columns of the other side end in _b."""
+    sizes = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("size"))
+    common = sizes.groupBy(key).agg(F.max(F.struct("size", "label")).getField("label").alias("common"))
+    rows = rows.join(common, key)
+    right = rows.select(key, *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", *carried)], (F.col("label") == F.col("common")).alias("is_common"))
+    pairs = rows.where("label <> common").select(key, "node", "n", "label", *carried).join(right, key)
+    return pairs.where((F.col("label") != F.col("label_b")) & (F.col("is_common") | (F.col("node") < F.col("node_b"))))
+
+
 def _between(lists: DataFrame, labels: DataFrame, edges: DataFrame, classes: DataFrame, texts: DataFrame, width: int, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates of different components, and links found on the way. In each list
-    one side leaves out the list's commonest component, so that what is paired is
-    small even where that component has most of a long list.
-
-    In a list of ``PIVOT_LIST`` rows or more, all of them are first held against one
-    of them, the pivot, which is linear. What two sets share with it, lack of it and
-    have besides, as counts and bits, bounds what they have in common. So the many
-    texts that stand around a common one just below the threshold aren't candidates
-    of each other.
+    """Candidates of different components, and links found on the way. One side
+    leaves out the commonest component, so that what is paired is small even where
+    that component has most of a long list.
+
+    The rows of a list of ``PIVOT_LIST`` or more are first held against one of them,
+    the pivot, which is linear; lists with one pivot are one. What two sets share
+    with it, lack of it and have besides, as counts and bits, bounds what they have
+    in common. So the many texts that stand around a common one just below the
+    threshold aren't candidates of each other.
     """
     placed = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("token", "rows")
     placed = stored(placed.join(mixed, "token"), f"{folder}/mixed")
-    sizes = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
-    common = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).getField("label").alias("common"))
+    few = _other_component(placed.where(F.col("rows") < PIVOT_LIST), "token", ["at"])
+    few = few.where(_possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b")))
 
+    long = placed.where(F.col("rows") >= PIVOT_LIST)
     degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).getField("node")
-    pivots = placed.where(F.col("rows") >= PIVOT_LIST).join(degree, "node", "left").groupBy("token").agg(best.alias("pivot"))
-    common = stored(common.join(pivots, "token", "left"), f"{folder}/pivots")
-    asked = placed.join(common.where("pivot IS NOT NULL"), "token").select("node", "pivot").distinct()
-    asked = stored(asked, f"{folder}/asked")
+    pivots = long.join(degree, "node", "left").groupBy("token").agg(best.alias("pivot"))
+    asked = stored(long.join(pivots, "token").select("node", "pivot", "n", "label").distinct(), f"{folder}/asked")
     found = _fetched(asked.select("node").union(asked.select("pivot")).distinct(), classes, texts, width, f"{folder}/asked-of")
     joined = asked.join(found.withColumnRenamed("text", "text_a"), "node").join(found.select(F.col("node").alias("pivot"), F.col("text").alias("text_b")), "pivot")
     schema = ", ".join(["node long, pivot long", *[f"{c} int" for c in _COUNTS], *[f"{c} long" for c in [*_MORE, *_LESS]]])
-    views = stored(joined.select("node", "pivot", "text_a", "text_b").mapInArrow(lambda x: _views(x, width), schema), f"{folder}/views")
-
-    rows = placed.join(common, "token").join(views, ["node", "pivot"], "left")
-    left = rows.where("label <> common")
-    right = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("where"), F.col("label").alias("other"), (F.col("label") == F.col("common")).alias("is_common"), *[F.col(c).alias(f"{c}_b") for c in _SEEN])
-    pairs = left.select("token", "node", "n", "at", "label", *_SEEN).join(right, "token")
+    views = joined.select("node", "pivot", "text_a", "text_b").mapInArrow(lambda x: _views(x, width), schema)
+    views = stored(views.join(asked, ["node", "pivot"]), f"{folder}/views")
 
     def both(names: list[str], again: str) -> Column:
         return sum((F.bit_count(F.col(c).bitwiseAND(F.col(f"{c}_b"))) for c in names), F.least(again, f"{again}_b"))
 
+    def enough(most: Column, n: Column, m: Column) -> Column:
+        return most * (100 + PERCENT) >= F.lit(PERCENT) * (n + m)
+
+    many = _other_component(views, "pivot", _SEEN)
     most = F.col("shared") - F.col("lacks_b") + both(_LESS, "less_again") + both(_MORE, "more_again")
-    enough = most.isNull() | (most * (100 + PERCENT) >= F.lit(PERCENT) * (F.col("n") + F.col("m")))
-    pairs = pairs.where((F.col("label") != F.col("other")) & (F.col("is_common") | (F.col("node") < F.col("b"))) & _possible(F.col("n"), F.col("at"), F.col("m"), F.col("where")) & enough)
-    size = classes.groupBy("node").agg(F.min("n").alias("n"))
-    close = views.where("node <> pivot").join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n").alias("m")), "pivot")
-    close = close.where(F.col("shared") * (100 + PERCENT) >= F.lit(PERCENT) * (F.col("n") + F.col("m")))
-    return _ordered(pairs, "node", "b"), stored(_ordered(close, "node", "pivot").distinct(), f"{folder}/close")
+    many = many.where((F.lit(100) * F.least("n", "n_b") >= F.lit(PERCENT) * F.greatest("n", "n_b")) & enough(most, F.col("n"), F.col("n_b")))
+    close = views.where((F.col("node") != F.col("pivot")) & enough(F.col("shared"), F.col("n"), F.col("shared") + F.col("lacks")))
+    pairs = _ordered(few, "node", "node_b").union(_ordered(many, "node", "node_b"))
+    return pairs, stored(_ordered(close, "node", "pivot").distinct(), f"{folder}/close")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
