@@ -15,6 +15,7 @@ from annalake.plans.queries import USER_VAULT
 from annalake.session import shared_dir
 from annalake.sources import readers, schemas, sinks
 from annalake.specs import SatelliteSpec
+from annalake.streaming import state
 from annalake.streaming.loads import feed_stream, stream_loads
 from annalake.streaming.state import stream_keys, stream_versions
 
@@ -257,6 +258,22 @@ def test_hub_from_the_state_store(spark, tmp_path):
     assert found == [("a", first, "x"), ("a", second, "x"), ("b", second, "y")]
 
 
+def test_states_are_shared_by_keys(spark, tmp_path, monkeypatch):
+    """Many keys in few states, so that Python isn't called for each of them."""
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    source, table, progress = (str(tmp_path / n) for n in ("in", "table", "progress"))
+    kind = "hk_item string, hd_item string, dss_load_date timestamp_ntz, dss_record_source string, n int"
+    spec, at = SatelliteSpec("sat_item", "hk_item", "hd_item", ("n",)), datetime.datetime(2024, 1, 1)
+    for n, keys in enumerate((range(40), range(20, 60))):
+        df = spark.createDataFrame([(f"k{k}", "d", at, "x", n) for k in keys for _ in range(2)], kind)
+        df.coalesce(1).write.mode("append").parquet(source)
+        query = stream_versions(feed_stream(spark, source, df.schema), spec, table, progress)
+        query.awaitTermination()
+        assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]] == [3]
+    found = sorted((r.hk_item, r.n) for r in sinks.read_appended(spark, table).collect())
+    assert found == sorted((f"k{k}", int(k >= 40)) for k in range(60) for _ in range(2))
+
+
 def test_old_versions_are_dropped(spark, tmp_path):
     table = str(tmp_path / "t")
     for n in range(5):
