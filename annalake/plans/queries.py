@@ -364,23 +364,26 @@ def sat_closed_ties(w: fx.Warehouse) -> DataFrame:
     return history.close_versions(_order_versions(w), "hk_user")
 
 
-def _late_state(w: fx.Warehouse) -> DataFrame:
+def _late_arrivals(w: fx.Warehouse) -> DataFrame:
     """Versions of days 16 to 20 arrive after all others were closed."""
     rows = w.keep("versions", loads.open_version(_events(w).select("hk_user", *fx.EVENT_PAYLOAD, LOAD_DATE)))
     late = F.to_date(LOAD_DATE).between("2024-01-16", "2024-01-20")
     on_time = history.close_versions(rows.where(~late), "hk_user")
-    state = w.keep("sat_user_state", on_time.unionByName(rows.where(late)))
-    return history.close_open_only(state, "hk_user")
+    return w.keep("sat_user_state", on_time.unionByName(rows.where(late)))
 
 
 @query
 def sat_closed_strict(w: fx.Warehouse) -> DataFrame:
-    return _late_state(w)
+    return history.close_open_only(_late_arrivals(w), "hk_user")
 
 
 @query
 def interval_overlaps(w: fx.Warehouse) -> DataFrame:
-    return history.interval_overlaps(w.keep("sat_user_closed", _late_state(w)), "hk_user")
+    """Closing moves no load date, so both steps share the times that follow."""
+    state = _late_arrivals(w)
+    later = history.next_later(state, "hk_user", LOAD_DATE)
+    closed = w.keep("sat_user_closed", history.close_open_only(state, "hk_user", later=later))
+    return history.interval_overlaps(closed, "hk_user", later=later)
 
 
 @query

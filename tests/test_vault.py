@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from annalake.operators import evolve, ghosts, history, loads, replay
 from annalake.functions.hashing import hash_diff, hash_key, link_hash_key
+from annalake.plans import fixtures as fx
+from annalake.plans import queries
 from annalake.plans.batches import Vault, VaultSpec
 from annalake.plans.entity import EntitySpec
 from annalake.specs import EffSatelliteSpec, HubSpec, LinkSpec, SatelliteSpec
@@ -215,6 +217,24 @@ def test_a_hot_key_is_closed_in_many_partitions(spark):
     assert len(sizes) >= 5 and max(sizes) < 6000
 
 
+def test_chained_pairs_are_not_shuffled_again(spark):
+    df = spark.range(100).select((F.col("id") % 7).cast("string").alias("k"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"))
+    later = history.next_later(df, "k", "ts")
+    assert sum(r.next_ts is None for r in later.collect()) == 7
+    plan = later._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") <= 1  # of the ends of partitions
+
+
+def test_late_versions_are_chained_once(spark, tmp_path, monkeypatch):
+    """Closing and looking for overlaps share the times that follow."""
+    rows = [(i, datetime.datetime(2024, 1, 1 + i, 12), i % 2, "click" if i % 3 else "view", 1.0 * i, None) for i in range(29)]
+    spark.createDataFrame(rows, fx.GIVEN["events"]).write.parquet(str(tmp_path / "events.parquet"))
+    calls, chain = [], history.next_later
+    monkeypatch.setattr(history, "next_later", lambda *args: calls.append(args) or chain(*args))
+    found = {(r.dss_load_date.day, r.next_load_date.day) for r in queries.interval_overlaps(fx.Warehouse(spark, str(tmp_path))).collect()}
+    assert found == {(14, 16), (15, 17)} and len(calls) == 2
+
+
 def random_batches(seed, per_key_and_day=1):
     rng = random.Random(seed)
     return [
