@@ -8,27 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _match(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def _match(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str, distinct: bool = False) -> DataFrame:
     """Keys are folded to one row each before they are shuffled. Folding leaves
     them partitioned by key, the join would take them as they lie, and adaptive
     execution splits an oversized partition only where both sides come from a
     shuffle of the join itself. A fingerprint of the key, joined along with it,
-    asks for that shuffle; it carries keys only."""
+    asks for that shuffle; it carries keys only. Distinct rows are found where the
+    join has put them, before the fingerprint goes."""
     names = list(keys)
     fingerprint = F.xxhash64(*names)
     probe = others.select(*names).distinct().withColumn("_fingerprint", fingerprint)
     joined = rows.withColumn("_fingerprint", fingerprint).join(probe, [*names, "_fingerprint"], how)
+    joined = joined.distinct() if distinct else joined
     return joined.select(*[f"`{c}`" for c in rows.columns])
 
 
-def present_in(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+def present_in(rows: DataFrame, others: DataFrame, keys: Sequence[str], distinct: bool = False) -> DataFrame:
     """Rows whose key occurs in ``others``."""
-    return _match(rows, others, keys, "left_semi")
+    return _match(rows, others, keys, "left_semi", distinct)
 
 
-def absent_from(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+def absent_from(rows: DataFrame, others: DataFrame, keys: Sequence[str], distinct: bool = False) -> DataFrame:
     """Rows whose key does not occur in ``others``; a NULL key occurs nowhere."""
-    return _match(rows, others, keys, "left_anti")
+    return _match(rows, others, keys, "left_anti", distinct)
 
 
 def with_partners(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -52,26 +52,52 @@ def orphans(sat: DataFrame, hub: DataFrame, hk: str) -> DataFrame:
     return absent_from(sat, hub, [hk])
 
 
-def _records(df: DataFrame, model: str, checks: Sequence[Check]) -> DataFrame:
-    """(check, value, n, known) for all that the checks ask of one table, in one scan:
-    values that are missing, not accepted, or to be counted, and parents' keys."""
-    wanted = []
-    for number, check in enumerate(checks):
-        column = F.col(check.column)
+def _groups(checks: Sequence[Check]) -> list[tuple[int, int]]:
+    """(group, place in it) of every check. Relationships with the same parent's field
+    and a unique check of that field look at the same values and are a group, any
+    other check is one of its own."""
+    fields = {(c.parent, c.field) for c in checks if c.test == "relationships"}
+    numbers: dict[tuple, int] = {}
+    sizes: dict[int, int] = {}
+    places = []
+    for i, c in enumerate(checks):
+        name: tuple = (i,)
+        if c.test == "relationships":
+            name = (c.parent, c.field)
+        elif c.test == "unique" and (c.model, c.column) in fields:
+            name = (c.model, c.column)
+        group = numbers.setdefault(name, len(numbers))
+        places.append((group, sizes.get(group, 0)))
+        sizes[group] = places[-1][1] + 1
+    return places
+
+
+def _short(value: Column) -> Column:
+    """Text as bytes, or as the 32 bytes of its SHA-256 where it isn't shorter than those."""
+    return F.when(F.octet_length(value) < 32, value.cast("binary")).otherwise(F.unhex(F.sha2(value.cast("binary"), 256)))
+
+
+def _records(df: DataFrame, model: str, checks: Sequence[Check], places: Sequence[tuple[int, int]], width: int) -> DataFrame:
+    """(group, value, n0.., known) for all that the checks ask of one table, in one scan:
+    values that are missing, not accepted, or to be counted, and parents' keys. What
+    looks at the same values of a column shares a record."""
+    wanted: dict[tuple, set[int]] = {}
+    for check, (group, place) in zip(checks, places):
         if check.model == model:
-            if check.test == "not_null":
-                holds = column.isNull()
-            elif check.test == "accepted_values":
-                holds = ~column.isin(*check.values)
-            else:
-                holds = column.isNotNull()
-            wanted.append((number, column, holds, 1))
+            test = check.test if check.test in ("not_null", "accepted_values") else "given"
+            wanted.setdefault((group, check.column, test, check.values), set()).add(place)
         if check.test == "relationships" and check.parent == model:
-            wanted.append((number, F.col(check.field), F.col(check.field).isNotNull(), 0))
-    shown = [
-        F.when(holds, F.struct(F.lit(number).alias("check"), column.cast("string").alias("value"), F.lit(n).cast("bigint").alias("n"), F.lit(n == 0).alias("known")))
-        for number, column, holds, n in wanted
-    ]
+            wanted.setdefault((group, check.field, "given", ()), set()).add(-1)
+
+    def holds(column: Column, test: str, values: tuple[str, ...]) -> Column:
+        return column.isNull() if test == "not_null" else ~column.isin(*values) if test == "accepted_values" else column.isNotNull()
+
+    shown = []
+    for (group, name, test, values), asked in wanted.items():
+        column = F.col(name)
+        counts = [F.lit(int(i in asked)).cast("bigint").alias(f"n{i}") for i in range(width)]
+        record = F.struct(F.lit(group).alias("group"), _short(column.cast("string")).alias("value"), *counts, F.lit(-1 in asked).alias("known"))
+        shown.append(F.when(holds(column, test, values), record))
     return df.select(F.inline(F.array_compact(F.array(*shown))))
 
 
@@ -80,19 +106,28 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
 
     Failures are rows for not_null and relationships, distinct values for
     unique and accepted_values. Every table is scanned once, whatever number of
-    checks look at it, as child or as parent; one aggregation by check and value
-    serves them all, so a hot key travels as one row a task. A key without a
-    parent is a value that no parent's record has.
+    checks look at it, as child or as parent; one aggregation by group of checks and
+    value serves them all, so a hot key travels as one row a task, and a parent's key
+    once however many children it has. A key without a parent is a value that no
+    parent's record has.
     """
     unknown = {c.test for c in checks} - {"not_null", "unique", "accepted_values", "relationships"}
     if unknown:
         raise ValueError(f"unknown tests {sorted(unknown)}")
     models = dict.fromkeys([c.model for c in checks] + [c.parent for c in checks if c.test == "relationships"])
-    records = reduce(DataFrame.unionByName, [_records(tables[m], m, checks) for m in models])
-    counted = records.groupBy("check", "value").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+    places = _groups(checks)
+    width = 1 + max(place for _, place in places)
+    codes = [group * width + place for group, place in places]
+    records = reduce(DataFrame.unionByName, [_records(tables[m], m, checks, places, width) for m in models])
+    counted = records.groupBy("group", "value").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(width)], F.max("known").alias("known"))
+    asked = [
+        F.when(F.col(f"n{i}") > 0, F.struct((F.col("group") * width + i).alias("check"), F.col(f"n{i}").alias("n"), F.col("known").alias("known")))
+        for i in range(width)
+    ]
+    counted = counted.select(F.inline(F.array_compact(F.array(*asked))))
 
     def of(test: str) -> Column:
-        return F.col("check").isin([i for i, c in enumerate(checks) if c.test == test])
+        return F.col("check").isin([code for code, c in zip(codes, checks) if c.test == test])
 
     failures = (
         F.when(of("not_null"), F.col("n"))
@@ -101,7 +136,7 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
         .when(~F.col("known"), F.col("n"))
     )
     found = counted.groupBy("check").agg(F.sum(failures).alias("failures"))
-    names = [F.struct(F.lit(i).alias("check"), F.lit(c.model).alias("model"), F.lit(c.column).alias("column_name"), F.lit(c.test).alias("test")) for i, c in enumerate(checks)]
+    names = [F.struct(F.lit(code).alias("check"), F.lit(c.model).alias("model"), F.lit(c.column).alias("column_name"), F.lit(c.test).alias("test")) for code, c in zip(codes, checks)]
     suite = records.sparkSession.range(1).select(F.inline(F.array(*names)))
     return suite.join(found, "check", "left").select("model", "column_name", "test", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
 

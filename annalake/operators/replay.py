@@ -33,11 +33,12 @@ BUSY = 1 << 18
 
 
 def _first_seen(feed: DataFrame, columns: list[str], key: str, batch: str) -> DataFrame:
-    """Distinct rows whose batch is the first one carrying their key."""
-    rows = feed.where(F.col(key).isNotNull()).groupBy(*columns).agg(F.min(batch).alias("_batch"))
-    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_batch").alias("_first"))
-    match = (F.col(key) == F.col("_key")) & (F.col("_batch") == F.col("_first"))
-    return rows.join(first, match, "left_semi").select(*columns)
+    """Distinct rows whose batch is the first one carrying their key. Rows are shuffled
+    once, for the join: what is left of them is folded where it lies."""
+    given = feed.where(F.col(key).isNotNull())
+    first = given.groupBy(key).agg(F.min(batch).alias("_batch"))
+    rows = given.select(*columns, F.col(batch).alias("_batch"))
+    return present_in(rows, first, [key, "_batch"], distinct=True).select(*columns)
 
 
 def replay_hub(feed: DataFrame, batch: str, hk: str, business_keys: Sequence[str]) -> DataFrame:

@@ -255,7 +255,9 @@ class Warehouse:
     @cached_property
     def sat_company(self) -> DataFrame:
         s = c.SAT_COMPANY
-        return self._vault("sat_company", history.close_versions(replay.replay_satellite(self.staged, "batch", s.hk, s.hd, s.payload), s.hk))
+        # Closing reads its rows twice.
+        rows = self.keep("sat_company_open", replay.replay_satellite(self.staged, "batch", s.hk, s.hd, s.payload))
+        return self._vault("sat_company", history.close_versions(rows, s.hk))
 
     @cached_property
     def sat_country(self) -> DataFrame:
@@ -276,7 +278,8 @@ class Warehouse:
     def sat_client_ext(self) -> DataFrame:
         first = self.client_ext(self.staged_batch(1))
         second = self.client_ext(self.staged_batch(2), first)
-        return self._vault("sat_company_client_ext", history.close_versions(first.unionByName(second), c.SAT_CLIENT_EXT.hk))
+        rows = self.keep("sat_company_client_ext_open", first.unionByName(second))
+        return self._vault("sat_company_client_ext", history.close_versions(rows, c.SAT_CLIENT_EXT.hk))
 
     @cached_property
     def link_role(self) -> DataFrame:
@@ -291,7 +294,7 @@ class Warehouse:
     @cached_property
     def eff_country(self) -> DataFrame:
         s = c.EFF_COUNTRY
-        rows = replay.replay_eff_satellite(self.staged, "batch", s.link_hk, s.driving_hk, s.hub_hks)
+        rows = self.keep("eff_sat_company_country_open", replay.replay_eff_satellite(self.staged, "batch", s.link_hk, s.driving_hk, s.hub_hks))
         return self._vault("eff_sat_company_country", history.close_relationships(rows, s.driving_hk))
 
     @cached_property

@@ -252,6 +252,18 @@ def test_every_table_of_a_suite_is_scanned_once(spark, tmp_path):
         quality.run_checks(tables, [Check("hub", "hk", "between")])
 
 
+def test_a_parent_key_travels_once(spark):
+    """However many checks look at it, and as no more than 32 bytes."""
+    hub = spark.range(5).select(F.sha2(F.col("id").cast("string"), 256).alias("hk"))
+    sat = hub.limit(3).unionByName(spark.createDataFrame([("lost" * 20,), ("lost",)], "hk string"))
+    checks = [Check("hub", "hk", "unique"), *[Check(m, "hk", "relationships", parent="hub", field="hk") for m in ("sat", "link")]]
+    places = quality._groups(checks)
+    records = quality._records(hub, "hub", checks, places, 3).collect()
+    assert len(records) == 5 and {len(r.value) for r in records} == {32}
+    found = quality.run_checks({"hub": hub, "sat": sat, "link": sat}, checks).collect()
+    assert sorted((r.model, r.failures) for r in found) == [("hub", 0), ("link", 2), ("sat", 2)]
+
+
 def test_marts_over_buckets_exchange_nothing_by_company(spark):
     """The links of a company stay in its bucket as well."""
     w = fx.Warehouse(spark, "/root/testdata/sf0.001")
