@@ -131,10 +131,10 @@ def load_eff_satellite(
         RECORD_SOURCE,
     )
     if mode == "active":
-        rows = rows.distinct()
         if existing is None:
-            return rows
-        return absent_from(rows, existing.where(F.col(IS_ACTIVE) == "Y"), [link_hk])
+            return rows.distinct()
+        # Periods differ by their start, so folding them first would shuffle most rows twice.
+        return absent_from(rows, existing.where(F.col(IS_ACTIVE) == "Y"), [link_hk], distinct=True)
     if mode == "driving_start":
         return rows if existing is None else absent_from(rows, existing, [driving_hk, START_DATE])
     raise ValueError("mode must be 'active' or 'driving_start'")

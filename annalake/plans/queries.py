@@ -956,13 +956,13 @@ USER_VAULT = VaultSpec(
 
 
 def _weekly(w: fx.Warehouse) -> list[DataFrame]:
-    """All events, one staged batch per week."""
-    feed = _events(w).withColumn("batch", F.to_date(F.date_trunc("week", LOAD_DATE)))
-    path = f"{w.folder}/weeks"
-    sinks.write_overwrite(feed, path, partition_by=["batch"])
-    stored = sinks.read_current(w.spark, path, schema=feed.schema)
-    weeks = [r[0] for r in stored.select("batch").distinct().orderBy("batch").collect()]
-    return [stored.where(F.col("batch") == week) for week in weeks]
+    """All events, one batch per week, staged as they are read: hashes take many times
+    the room of the events, and a load keeps its staged rows while it runs."""
+    events = w.table("events").select("ts", "user_id", "event_type", "value")
+    stored = w.keep("weeks", events.withColumn("week", F.to_date(F.date_trunc("week", "ts"))), partition_by=["week"])
+    weeks = [r[0] for r in stored.select("week").distinct().orderBy("week").collect()]
+    feeds = [fx.event_feed(stored.where(F.col("week") == week).drop("week")) for week in weeks]
+    return [feed.withColumn("batch", F.to_date(F.date_trunc("week", LOAD_DATE))) for feed in feeds]
 
 
 def _loaded(w: fx.Warehouse) -> Vault:

@@ -24,6 +24,8 @@ from annalake.session import shared_dir
 
 # Column that tells the folded loads apart.
 _LOAD = "_load_id"
+# Bytes of a file of folded loads, about.
+FILE_SIZE = 64 << 20
 
 
 def _file_system(spark: SparkSession, path: str, act: Callable[[Any, Any], Any]) -> Any:
@@ -76,6 +78,22 @@ def read_appended(
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _folding(spark: SparkSession, table: str, loads: list[int], folded: int | None) -> DataFrame:
+    """Rows of load folders and of a folded one, in one scan without a shuffle and as
+    many partitions as files of ``FILE_SIZE`` take."""
+
+    def size(fs: Any, folder: Any) -> int:
+        return fs.getContentSummary(folder).getLength()
+
+    paths = [f"{table}/load_id={n}" for n in loads]
+    number = F.regexp_extract("_metadata.file_path", r"/load_id=(\d+)/[^/]*$", 1).cast("bigint")
+    rows = spark.read.parquet(*paths).withColumn(_LOAD, number)
+    if folded is not None:
+        paths.append(f"{table}/compacted={folded}")
+        rows = rows.unionByName(spark.read.parquet(paths[-1]))
+    return rows.coalesce(1 + sum(_file_system(spark, path, size) for path in paths) // FILE_SIZE)
+
+
 def compact(spark: SparkSession, table: str, upto: int) -> None:
     """Fold all loads up to number ``upto`` into one folder.
 
@@ -90,12 +108,8 @@ def compact(spark: SparkSession, table: str, upto: int) -> None:
     last = folded[-1] if folded else -1
     loads = [n for n in _numbers(_children(spark, table), "load_id") if last < n <= upto]
     if loads:
-        # One scan, and files as large as adaptive execution makes partitions.
-        number = F.regexp_extract("_metadata.file_path", r"/load_id=(\d+)/[^/]*$", 1).cast("bigint")
-        rows = spark.read.parquet(*[f"{table}/load_id={n}" for n in loads]).withColumn(_LOAD, number)
-        if folded:
-            rows = rows.unionByName(spark.read.parquet(f"{table}/compacted={last}"))
-        rows.hint("rebalance").write.mode("overwrite").parquet(f"{table}/compacted={upto}")
+        rows = _folding(spark, table, loads, last if folded else None)
+        rows.write.mode("overwrite").parquet(f"{table}/compacted={upto}")
     for name in _children(spark, table):
         label, _, number = name.partition("=")
         if number.isdigit() and ((label == "load_id" and int(number) <= last) or (label == "compacted" and int(number) < last)):

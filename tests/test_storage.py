@@ -274,6 +274,33 @@ def test_states_are_shared_by_keys(spark, tmp_path, monkeypatch):
     assert found == sorted((f"k{k}", int(k >= 40)) for k in range(60) for _ in range(2))
 
 
+def test_folding_does_not_shuffle(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for load in range(3):
+        sinks.write_append(spark.range(load, load + 1), table, load)
+    sinks.compact(spark, table, 1)
+    rows = sinks._folding(spark, table, [2], 1)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_periods_are_shuffled_once(spark):
+    """Folded where the anti-join has put them, twice staged rows come once."""
+    at = datetime.datetime(2024, 1, 1)
+    kind = "hk_link string, hk_a string, hk_b string, dss_load_date timestamp_ntz, dss_record_source string"
+    rows = spark.createDataFrame([(f"l{i % 9}", f"a{i % 9}", "b", at, "x") for i in range(18)], kind)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = loads.load_eff_satellite(rows.where("hk_link = 'l0'"), "hk_link", "hk_a", ["hk_a", "hk_b"])
+        new = loads.load_eff_satellite(rows, "hk_link", "hk_a", ["hk_a", "hk_b"], old)
+        assert sorted(r.hk_link for r in new.collect()) == [f"l{i}" for i in range(1, 9)]
+        plan = new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("LeftAnti")[0]
+        assert "Aggregate" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_old_versions_are_dropped(spark, tmp_path):
     table = str(tmp_path / "t")
     for n in range(5):
