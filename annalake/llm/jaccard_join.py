@@ -11,10 +11,15 @@ by a hash of its own. Any order that is the same everywhere loses no pair. Befor
 texts are fetched, the numbers of shingles in hashed buckets bound from above
 what two sets can have in common.
 
+A row of a posting list that the bounds pair with no other row is dropped before
+the list is stored: the larger the corpus, the longer the lists of texts that share
+a passage and little else.
+
 Links inside one component needn't all be found to know the component. So each
 posting list first links neighbours only, in two sequences, which is linear in
-its length; then only candidates between different components are paired, and of
-these only such as can link by what both share with a pivot of their list.
+its length; then only candidates between different components are paired, and where
+the bounds leave many pairs a row, only such as can link by what both share with a
+pivot of their list.
 
 Defined results: a NULL or empty text has no shingle, links with nothing and is
 its own component. Rows with a NULL id are returned with a NULL component and
@@ -46,6 +51,9 @@ ORDERS = (11, 23, 37)
 #: Rows of a posting list that are held against a pivot before they are paired, and
 #: words of 64 bits for the shingles in which a set and its pivot differ.
 PIVOT_LIST, WORDS_OF_BITS = 16, 8
+#: A list is crowded with more pairs a row than this, or with more rows than are paired to
+#: count them; how many pairs, and how many rows of lists, are looked at in one go.
+CROWDED, COUNTED_LIST, SQUARE, LIST_ROWS = 4, 2048, 1 << 18, 1 << 16
 #: Bits of the sieve for ids, and how many partial ones the driver joins.
 SIEVE, SIEVE_PARTS = 1 << 23, 8
 _U = np.uint64
@@ -85,7 +93,7 @@ def _describe(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     for block in range(COUNTERS // BLOCK):
         part = counts[block * BLOCK : (block + 1) * BLOCK]
         if part.any():
-            yield arrow_batch({"doc_id": [None], "text_hash": [None], "node": [None], "n": [None], "spread": [None], "block": [block], "counts": [part.tobytes()]}, types)
+            yield arrow_batch({"doc_id": [None], "text_hash": [None], "node": [None], "n": [None], "spread": [None], "block": [block], "counts": [pa.compress(part.tobytes(), "zstd", asbytes=True)]}, types)
 
 
 def spread(own: np.ndarray) -> bytes:
@@ -105,7 +113,8 @@ def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+            part = np.frombuffer(pa.decompress(counts, 2 * BLOCK, "zstd", asbytes=True), np.uint16)
+            total[block] = total.get(block, 0) + part.astype(np.int64)
     for block, counts in total.items():
         yield arrow_batch({"block": [block], "counts": [counts.tobytes()]}, {"block": pa.int32(), "counts": pa.binary()})
 
@@ -157,6 +166,68 @@ def _possible(n: Column, at: Column, m: Column, where: Column) -> Column:
     return (F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)) & (F.least(n - at, m - where) * (100 + PERCENT) >= union_share)
 
 
+def possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The same for arrays of numbers."""
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - at, m - where) * (100 + PERCENT) >= PERCENT * (n + m))
+
+
+def partnered(token: np.ndarray, n: np.ndarray, at: np.ndarray, through: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of whole lists, ordered by token: whether a row may pair with
+    another one of its list, and whether its list is crowded. Lists that are too
+    long to be counted, and the one with token ``through``, keep all rows."""
+    rows = len(token)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.append(first, rows))
+    uncounted = (sizes > COUNTED_LIST) | (token[first] == through if through is not None else False)
+    after = np.repeat(first + sizes, sizes) - np.arange(rows) - 1
+    kept, pairs = np.repeat(uncounted, sizes), np.zeros(rows, np.int64)
+    step, x = 1, np.flatnonzero(np.repeat((sizes < PIVOT_LIST) & ~uncounted, sizes) & (after > 0))
+    while len(x):
+        y = x + step
+        ok = possible(n[x], at[x], n[y], at[y])
+        kept[x[ok]] = kept[y[ok]] = True
+        pairs[x] += ok
+        step += 1
+        x = x[after[x] >= step]
+    for k in np.flatnonzero((sizes >= PIVOT_LIST) & ~uncounted):
+        own, places = (c[first[k] : first[k] + sizes[k]] for c in (n, at))
+        for a in range(0, len(own), SQUARE // len(own)):
+            b = min(len(own), a + SQUARE // len(own))
+            ok = possible(own[a:b, None], places[a:b, None], own, places)
+            ok[np.arange(b - a), np.arange(a, b)] = False
+            kept[first[k] + a : first[k] + b] = ok.any(axis=1)
+            pairs[first[k] + a : first[k] + b] = ok.sum(axis=1)
+    halves = np.where(sizes >= PIVOT_LIST, 1, 2)  # in long lists both rows of a pair count it
+    left = np.add.reduceat(kept, first, dtype=np.int64)
+    return kept, np.repeat(uncounted | (halves * np.add.reduceat(pairs, first) > 2 * CROWDED * left), sizes)
+
+
+def _partnered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that ``partnered`` keeps of lists that come ordered by token."""
+    waiting, held, through = [], 0, None
+
+    def judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(rows):
+            kept, crowded = partnered(*(rows.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "at")), through)
+            for batch in rows.append_column("crowded", pa.array(crowded)).filter(pa.array(kept)).combine_chunks().to_batches(LIST_ROWS):
+                yield batch
+
+    for batch in batches:
+        waiting.append(batch)
+        held += len(batch)
+        if held < LIST_ROWS:
+            continue
+        rows = pa.Table.from_batches(waiting)
+        token = rows.column("token").to_numpy()
+        end = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
+        if not end:  # one list with so many rows: they pass as they come
+            through, end = int(token[0]), len(rows)
+        yield from judged(rows.slice(0, end))
+        waiting, held = rows.slice(end).to_batches(), len(rows) - end
+    if held:
+        yield from judged(pa.Table.from_batches(waiting))
+
+
 def _neighbours(lists: DataFrame, order: list[Column]) -> DataFrame:
     """Pairs of rows that follow each other in a posting list."""
     w = W.partitionBy("token").orderBy(*order)
@@ -218,8 +289,8 @@ def _between(lists: DataFrame, labels: DataFrame, edges: DataFrame, classes: Dat
     leaves out the commonest component, so that what is paired is small even where
     that component has most of a long list.
 
-    The rows of a list of ``PIVOT_LIST`` or more are first held against one of them,
-    the pivot, which is linear; lists with one pivot are one. What two sets share
+    The rows of a crowded list of ``PIVOT_LIST`` or more are first held against one of
+    them, the pivot, which is linear; lists with one pivot are one. What two sets share
     with it, lack of it and have besides, as counts and bits, bounds what they have
     in common. So the many texts that stand around a common one just below the
     threshold aren't candidates of each other.
@@ -227,10 +298,11 @@ def _between(lists: DataFrame, labels: DataFrame, edges: DataFrame, classes: Dat
     placed = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("token", "rows")
     placed = stored(placed.join(mixed, "token"), f"{folder}/mixed")
-    few = _other_component(placed.where(F.col("rows") < PIVOT_LIST), "token", ["at"])
+    pivoted = (F.col("rows") >= PIVOT_LIST) & F.col("crowded")
+    few = _other_component(placed.where(~pivoted), "token", ["at"])
     few = few.where(_possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b")))
 
-    long = placed.where(F.col("rows") >= PIVOT_LIST)
+    long = placed.where(pivoted)
     degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).getField("node")
     pivots = long.join(degree, "node", "left").groupBy("token").agg(best.alias("pivot"))
@@ -388,7 +460,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     lists = posted.withColumns({"first": F.min("node").over(whole), "last": F.max("node").over(whole), "before": F.lag("node").over(by_size)})
     lists = lists.where("first <> last AND (before IS NULL OR before <> node)").select("token", "node", "n", "at")
-    lists = stored(lists, f"{folder}/lists")
+    lists = lists.sortWithinPartitions("token", "n", "node")
+    lists = stored(lists.mapInArrow(_partnered, "token long, node long, n int, at int, crowded boolean"), f"{folder}/lists")
 
     near = _neighbours(lists, [F.col("n"), F.col("node")]).union(_neighbours(lists, [F.xxhash64("node", "token"), F.col("node")]))
     first_edges = _verified(near, classes, usable, levels, width, f"{folder}/near")

@@ -342,3 +342,54 @@ def test_many_copies_around_the_threshold_equal_brute_force(spark, monkeypatch):
                 if label[j] < label[i] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]):
                     label[i], changed = label[j], True
     assert rows == label and len(set(label.values())) > 5
+
+
+def test_rows_of_lists_are_kept_where_the_bounds_leave_a_pair():
+    rng = np.random.default_rng(17)
+    for case in range(40):
+        sizes = rng.integers(1, 60, rng.integers(1, 30))
+        token = np.repeat(np.sort(rng.choice(1 << 40, len(sizes), replace=False)) - (1 << 39), sizes)
+        n = rng.integers(90, 110, len(token)) if case % 2 else rng.integers(5, 400, len(token))
+        at = rng.integers(0, 1 + n // 5)
+        kept, crowded = jaccard_join.partnered(token, n, at)
+        for one in np.unique(token):
+            rows = np.flatnonzero(token == one).tolist()
+            pairs = [(x, y) for x, y in combinations(rows, 2) if 100 * min(n[x], n[y]) >= 80 * max(n[x], n[y]) and min(n[x] - at[x], n[y] - at[y]) * 180 >= 80 * (n[x] + n[y])]
+            wanted = {row for pair in pairs for row in pair}
+            assert {row for row in rows if kept[row]} == wanted
+            assert {bool(crowded[row]) for row in rows} == {len(pairs) > jaccard_join.CROWDED * len(wanted)}
+        kept, crowded = jaccard_join.partnered(token, n, at, through=int(token[0]))
+        assert kept[token == token[0]].all() and crowded[token == token[0]].all()
+
+
+def test_long_lists_keep_all_rows_over_batches():
+    rows = jaccard_join.LIST_ROWS + 5000
+    token = np.concatenate([np.full(3, -7), np.zeros(rows, np.int64), np.full(2, 9)])
+    n = np.concatenate([[10, 100, 101], 100 + np.arange(rows) % 1000, [50, 50]])
+    table = pa.table({"token": token, "node": np.arange(len(token)), "n": n.astype(np.int32), "at": np.zeros(len(token), np.int32)})
+    found = pa.Table.from_batches(jaccard_join._partnered(table.to_batches(500)))
+    assert found.column("node").to_pylist() == list(range(1, len(token)))
+    assert found.column("crowded").to_pylist() == [False] * 2 + [True] * rows + [False] * 2
+
+
+def test_texts_of_many_lengths_with_a_passage_are_not_fetched(spark, monkeypatch):
+    """Counters that tell nothing stand for a corpus with many shingles a counter."""
+    rng = random.Random(33)
+    passage, docs = [f"p{i}" for i in range(60)], []
+    for i in range(40):
+        own = [f"w{i}-{k}" for k in range(int(60 * 1.08**i))]
+        at = rng.randrange(len(own))
+        docs.append(own[:at] + passage + own[at:])
+    docs += [[*d[:-1], "changed"] for d in docs[::8]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    tables, store = {}, jaccard_join.stored
+
+    def recorded(df, path):
+        return tables.setdefault(path, store(df, path))
+
+    monkeypatch.setattr(jaccard_join, "stored", recorded)
+    monkeypatch.setattr(jaccard_join, "_levels", lambda blocks, folder: np.zeros(jaccard_join.COUNTERS, np.uint8))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    assert found == components_by_force(rows)
+    assert [t.count() for path, t in tables.items() if path.endswith("/asked")] == [0]
